@@ -5,14 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesselith.llm import exact_dedup
+from tesselith.llm import exact_dedup, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("bigint")
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *(count(k).alias(f"n_{k}") for k in base),
+        F.sha2(secret_scan.spans(F.filter("findings", lambda f: f["kind"].isin(base))), 256).alias("base_sha256"),
+        secret_scan.spans(F.col("findings")).alias("spans"),
+    )
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """SQL for one kind's spans in the text t: a list of structs."""
+    pattern = pattern.replace("'", "''")
+    total = lambda x: f"coalesce(list_sum({x}), 0)"
+    test = f" WHERE g[i] >= {least}" if least else ""
+    return f"""(SELECT list({{'s': p, 'r': {rank}, 'e': p + m[i], 'k': '{kind}'}}) FROM (
+        SELECT i, m, g, CAST({total('b[1:i]')} + {total('m[1:i-1]')} AS BIGINT) AS p FROM (
+            SELECT unnest(range(1, len(m) + 1)) AS i, b, m, g FROM (SELECT
+                list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS b,
+                list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) AS m,
+                list_transform(regexp_extract_all(t, '{pattern}', {group}), lambda x: length(x)) AS g))){test})"""
+
+
+OP2_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, list_sort(list_concat({", ".join(f"coalesce({_spans_sql(r.kind, i, r.pattern, r.group, r.least)}, [])" for i, r in enumerate(secret_scan.RULES))})) AS f FROM docs),
+texts AS (SELECT doc_id, f, list_transform(f, lambda x: x.k || ':' || x.s || ':' || x.e) AS a,
+                 list_transform(list_filter(f, lambda x: x.r < 3), lambda x: x.k || ':' || x.s || ':' || x.e) AS b FROM found)
+SELECT doc_id, CAST(len(list_filter(f, lambda x: x.r = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(f, lambda x: x.r = 1)) AS BIGINT) AS n_access,
+       CAST(len(list_filter(f, lambda x: x.r = 2)) AS BIGINT) AS n_hex, sha256(coalesce(array_to_string(b, ','), '')) AS base_sha256,
+       coalesce(array_to_string(a, ','), '') AS spans
+FROM texts
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -25,9 +63,11 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
 }
