@@ -128,6 +128,8 @@ def scan(
             .withColumn("blob", blob(F.col("text")))
             .join(readers, F.col("path").eqNullSafe(F.col("of")) & (F.col("blob") == F.col("of_blob")), "left_semi")
         )
+        if ledger is not None:  # a table, lest the scan's filter is pushed below the join and reads what was scanned before
+            texts = stage(texts, "texts")
         fresh.append(scan_texts(texts.select("blob", "text"), group, ranks))
     new = fresh[0]
     for more in fresh[1:]:
