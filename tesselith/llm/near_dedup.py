@@ -1,31 +1,35 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and verification.
 
-A text is the weighted set of its five-word shingles, a shingle's weight being
-its count. ProbMinHash gives each shingle a Poisson process of arrivals at
-components of the signature, with a rate in proportion to the weight; a
-component keeps the shingle that arrives first, and a shingle stops as soon as
-its next arrival is later than the latest first arrival of the text. Two texts
-agree in a component with the probability Jaccard similarity J_P of their
-shingles. Texts that agree in all components of a band are compared exactly:
-they are linked if J_P is at least the threshold, and a class is what links
-connect.
-
-No bucket is expanded into all its pairs. Each member is first compared with
-the bucket's smallest id, then with a random member unless they are in one
-class by then; only the pairs that are in different classes after that, which
-are few, are compared one by one. So every link between texts of one bucket is
-found or implied.
+A text is the weighted set of its five-word shingles; a shingle's weight is one
+plus the logarithm of its count. ProbMinHash gives each shingle a Poisson
+process of arrivals at components of the signature, with a rate in proportion
+to the weight; a component keeps the shingle that arrives first, and a shingle
+stops as soon as its next arrival is later than the latest first arrival of the
+text. Two texts agree in a component with the probability Jaccard similarity of
+their weighted shingles, which for equal weights is the plain Jaccard
+similarity. Texts that agree in all components of a band are compared exactly:
+they are linked if the Jaccard similarity of their shingles is at least the
+threshold, and a class is what links connect.
+
+No bucket is expanded into its pairs. Each member is first compared with the
+bucket's smallest id, then with a random member unless they are in one class by
+then. What may still link different classes within a bucket is found by a
+prefix join: of two texts with enough shingles in common, the rarest few of
+each, so many as their sizes allow to be missing, have one in common. Pairs
+within one class are never made there, so no link between classes is lost and
+a large class costs no more than its number of texts.
 
 Defined results: null and empty texts, and others without words, have no
-shingles and are only in a class with equal texts; texts of fewer than five words have one shingle;
-equal texts are always in one class; a repeated row gets its own result row;
-rows without a doc_id are kept apart, each as a class without id; other columns
-are not read by the operator and carried along by ``deduplicate``.
+shingles and are only in a class with equal texts; texts of fewer than five
+words have one shingle; equal texts are always in one class; a repeated row
+gets its own result row; rows without a doc_id are kept apart, each as a class
+without id; other columns are not read by the operator and carried along by
+``deduplicate``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +44,14 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 BAND_ROWS = 4
+#: Counters of how many texts have a shingle, for the order of the prefix join.
+COUNTERS = 1 << 18
+#: Sizes of one class in the prefix join are within this ratio.
+SIZE_RATIO = 1.03
 
 
 def weighted(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, their counts, and their places."""
+    """The distinct shingles of each text, their weights, and their places."""
     found, at = W.shingles(*W.hashes(column), size)
     keys, counts, lengths = [], [], np.zeros(len(at), np.int64)
     for d in range(len(at) - 1):
@@ -55,7 +63,7 @@ def weighted(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
             lengths[d + 1] = len(first)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0), np.cumsum(lengths)
-    return np.concatenate(keys), np.concatenate(counts).astype(np.float64), np.cumsum(lengths)
+    return np.concatenate(keys), 1 + np.log(np.concatenate(counts)), np.cumsum(lengths)
 
 
 def signatures(keys: np.ndarray, weights: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
@@ -82,8 +90,14 @@ def signatures(keys: np.ndarray, weights: np.ndarray, at: np.ndarray, m: int) ->
     return signature.reshape(n, m)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """J_P of two weighted sets, each as sorted keys and weights."""
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets of keys."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) if common else 0.0
+
+
+def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The similarity that signatures estimate, of two weighted sets, each as sorted keys and weights."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
     p, q = a[1] / a[1].sum(), b[1] / b[1].sum()
@@ -120,12 +134,90 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.pieces(batch, "a_text"):
             sets = []
             for side in ("a_text", "b_text"):
-                keys, weights, at = weighted(part.column(side), SHINGLE_WORDS)
-                sets.append([(keys[at[d] : at[d + 1]], weights[at[d] : at[d + 1]]) for d in range(part.num_rows)])
+                keys, _, at = weighted(part.column(side), SHINGLE_WORDS)
+                sets.append([keys[at[d] : at[d + 1]] for d in range(part.num_rows)])
             close = np.array([similarity(x, y) for x, y in zip(*sets, strict=True)], np.float64)
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(close)], names=["a", "b", "similarity"])
 
 
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for part in W.pieces(batch):
+            counts += np.bincount((weighted(part.column("text"), SHINGLE_WORDS)[0] % W.U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["counter", "n"])
+
+
+def _size_class(size: float) -> int:
+    return int(np.floor(np.log(size) / np.log(SIZE_RATIO) + 1e-9))
+
+
+def prefixes(keys: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The join keys of one text's rarest shingles, as the smaller and as the larger of a pair.
+
+    Texts of sizes s and n, s at most n, with similarity t have at least t / (1 + t) * (s + n) shingles in
+    common, so the first common one, in any order that all texts use, is among the first n - that + 1 of the larger.
+    As the smaller, n is taken as s; as the larger, each class of smaller sizes gets its own keys."""
+    size = len(keys)
+    order = keys[np.lexsort((keys, counts[(keys % W.U(COUNTERS)).astype(np.int64)]))]
+    mark = lambda some, k: W.mix(some + W.U((k + 1) * 0x9FB21C651E98DF25 % (1 << 64)))
+    first = lambda other: order[: size - int(np.ceil(threshold / (1 + threshold) * (size + other) - 1e-6)) + 1]
+    smaller = [mark(first(size), _size_class(size))]
+    larger = []
+    for k in range(_size_class(max(1.0, threshold * size)), _size_class(size) + 1):
+        larger.append(mark(first(max(threshold * size, SIZE_RATIO**k)), k))
+    return smaller, larger
+
+
+def _prefix_rows(counts: Callable[[], np.ndarray], threshold: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = counts()
+        for batch in batches:
+            for part in W.pieces(batch):
+                keys, _, at = weighted(part.column("text"), SHINGLE_WORDS)
+                for is_larger in (False, True):
+                    rows, marks = [], []
+                    for d in np.flatnonzero(np.diff(at)):
+                        own = np.concatenate(prefixes(keys[at[d] : at[d + 1]], held, threshold)[is_larger])
+                        rows.append(np.full(len(own), d))
+                        marks.append(own)
+                    if rows:
+                        row = np.concatenate(rows)
+                        size = np.diff(at)[row]
+                        yield pa.RecordBatch.from_arrays(
+                            [part.column("doc_id").take(pa.array(row)), part.column("class_id").take(pa.array(row)), pa.array(size, pa.int64()), pa.array(np.full(len(row), is_larger)), pa.array(np.concatenate(marks).view(np.int64))],
+                            names=["doc_id", "class_id", "size", "larger", "mark"],
+                        )
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, other) of all pairs of different classes in (doc_id, class_id, text) that may be similar enough.
+
+    Of each key's members the class that has most is joined with the others alone, not with itself."""
+    spark = texts.sparkSession
+    texts = stage(texts, "texts")
+    counts = np.zeros(COUNTERS, np.int64)
+    for row in texts.select("text").mapInArrow(_count_shingles, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[row["counter"]] = row["n"]  # at most COUNTERS rows
+    sent = spark.sparkContext.broadcast(counts)
+    rows = stage(texts.mapInArrow(_prefix_rows(lambda: sent.value, threshold), "doc_id bigint, class_id bigint, size bigint, larger boolean, mark bigint"), "prefixes")
+    per_class = rows.groupBy("mark", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    keys = stage(
+        per_class.groupBy("mark").agg(F.max(F.struct("n", "class_id")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("mark", F.col("most.class_id").alias("main")),
+        "keys",
+    )
+    members = stage(rows.join(keys, "mark"), "members")
+    right = members.where("larger").select("mark", F.col("doc_id").alias("other"), F.col("class_id").alias("other_class"), F.col("size").alias("other_size"), "main")
+    left = members.where(~F.col("larger"))
+    fits = (F.col("class_id") != F.col("other_class")) & ((F.col("size") < F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("doc_id") < F.col("other"))))
+    minor = left.drop("main").join(right.where("other_class <> main"), "mark").where(fits)
+    major = left.where("class_id <> main").drop("main").join(right.where("other_class = main"), "mark").where(fits)
+    return minor.select("doc_id", "other").unionByName(major.select("doc_id", "other"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of those pairs of ids whose texts are close enough. ``texts``: (doc_id, text), one per id."""
     a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
@@ -179,7 +271,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     tried = stage(members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     links = stage(verified(tried, texts, threshold), "links")
     classes = components(links)
-    for turn in ("random", "all"):
+    for turn in ("random", "rest"):
         labelled = members.join(classes, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
         labelled = stage(labelled, "labelled")
         mixed = stage(
@@ -195,10 +287,10 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         )
         if turn == "random":
             pairs = labelled.join(mixed, "bucket").where("class_id <> other_class").select("doc_id", "other")
-        else:
-            left = stage(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "left")
-            right = left.select("bucket", F.col("doc_id").alias("other"), F.col("class_id").alias("other_class"))
-            pairs = left.join(right, "bucket").where("class_id < other_class").select("doc_id", "other")
+        else:  # buckets of two have had their one pair compared
+            large = mixed.join(shared.where("n > 2").select("bucket"), "bucket", "left_semi").select("bucket")
+            left = stage(labelled.join(large, "bucket", "left_semi").select("doc_id", "class_id").distinct(), "left")
+            pairs = prefix_pairs(texts.join(left, "doc_id").select("doc_id", "class_id", "text"), threshold)
         pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
