@@ -36,8 +36,8 @@ SEQUENCE_TOKENS = 2048
 SEPARATOR = 0
 #: A group's room at least halves with each slot it gets (11 times for 2,048), and a length adds at most four groups.
 PLAN_ROWS = 4 * 2048 * 11
-#: Words whose ids a task remembers.
-CACHE_WORDS = 500_000
+#: Words whose ids a Python worker remembers, in about 200 MB; beyond, it starts anew.
+CACHE_WORDS = 1_000_000
 BUCKET_ROWS = 4096
 MAX_BUCKETS = 1 << 16
 
@@ -54,30 +54,62 @@ def _load(tokenizer: str | None):
     return Tokenizer.from_file(tokenizer)
 
 
-class WordIds:
-    """Little-endian 32-bit ids of texts, for a tokenizer that works within words and drops spaces.
+#: Byte-level vocabularies write a byte that can't be printed as a character from code point 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Words that show whether a tokenizer lower-cases words and feeds their bytes straight to its model.
+_PROBES = ("the", "Über", "ÇA", "straße", "wordpieces", "Aÿ", "X")
 
-    Blanks and line feeds always separate words there, so a text's ids are those of its words in turn,
-    and each different word is encoded once."""
+
+class WordIds(dict):
+    """Little-endian 32-bit ids of words, for a tokenizer that works within words and drops spaces.
+
+    Blanks and line feeds always separate words there, so a text's ids are those of its words in turn, and
+    each different word is encoded once. A word of Latin-1 letters has the ids of its lower case, which the
+    tokenizer's model gives by itself, and with a full stop or comma behind it those of the two in turn."""
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {"": b""}
-        unknown = list(words - self.known.keys())
-        for i in range(0, len(unknown), 4096):
-            some = unknown[i : i + 4096]
-            for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = array.array("I", coded.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                self.known[word] = ids.tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.direct = all(self.encode(w) == self.encode_letters(w.lower()) for w in _PROBES)
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self[""] = b""
+        self["."], self[","] = self.encode("."), self.encode(",")
+
+    @staticmethod
+    def as_bytes(ids: list[int]) -> bytes:
+        out = array.array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return self.as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def encode_letters(self, word: str) -> bytes:
+        chars = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return self.as_bytes([t.id for t in self.model.tokenize(chars)])
+
+    def __missing__(self, word: str) -> bytes:
+        end = word[-1] if word[-1] in ".," else ""
+        stem = word[:-1] if end else word
+        if not (self.direct and stem.isalpha() and max(stem) <= "\xff"):
+            self[word] = coded = self.encode(word)
+            return coded
+        low = stem.lower()
+        coded = self.get(low)
+        if coded is None:
+            self[low] = coded = self.encode_letters(low)
+        if low != word:
+            self[word] = coded = coded + self[end]
+        return coded
+
+    def of(self, text: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.start()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _loaded: dict[str | None, WordIds] = {}
@@ -99,8 +131,8 @@ def _pieces(tokenizer: str | None, size: int) -> Callable:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out: list[tuple[int, int, int, int, int]] = []
-                for row, coded in enumerate(ids(part.column("text").to_pylist())):
-                    coded += end
+                for row, text in enumerate(part.column("text").to_pylist()):
+                    coded = ids.of(text) + end
                     for piece, start in enumerate(range(0, len(coded), 4 * size)):
                         own = coded[start : start + 4 * size]
                         out.append((row, piece, start // 4, len(own) // 4, zlib.crc32(own)))
