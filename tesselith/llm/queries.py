@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselith.llm import archives, decontaminate, exact_dedup, language_id, near_dedup, packing, quality, secret_scan
+from tesselith.llm import archives, decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, quality, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,29 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+OP5_SQL = f"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"({_text(name)}, {_text(pair)}, {n})" for name, pair, n in licenses.template_rows(licenses.TEMPLATES))}) AS v(license, bigram, license_bigrams)),
+d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+u AS (SELECT doc_id, r, 0 AS line, text FROM d WHERE contains(text, chr(10))
+      UNION ALL SELECT doc_id, r, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS text FROM d),
+w AS (SELECT doc_id, r, line, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM u),
+b AS (SELECT doc_id, r, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w),
+e AS (SELECT doc_id, r, line, len(b) AS unit_bigrams, unnest(b) AS bigram FROM b),
+c AS (SELECT doc_id, r, line, license, unit_bigrams, license_bigrams, count(*) AS shared FROM e JOIN t USING (bigram) GROUP BY ALL)
+SELECT doc_id, CAST(line AS INTEGER) AS line, license, shared, CAST(unit_bigrams AS INTEGER) AS unit_bigrams, license_bigrams,
+       round(2.0::DOUBLE * shared / (unit_bigrams + license_bigrams), 6) AS dice
+FROM c WHERE 2.0::DOUBLE * shared / (unit_bigrams + license_bigrams) >= {licenses.DICE} - 1e-9
+"""
+
+
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = archives.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -107,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_license_scan": op5_license_scan,
     "op7_arc_to_warc": op7_arc_to_warc,
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
@@ -116,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op5_license_scan": OP5_SQL,
     "op7_arc_to_warc": OP7_SQL,
 }
