@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselith.llm import archives, decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, quality, secret_scan
+from tesselith.llm import archives, decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, quality, secret_scan, tool_calls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,55 @@ FROM c WHERE 2.0::DOUBLE * shared / (unit_bigrams + license_bigrams) >= {license
 """
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.derived_calls(table(spark, sf_dir, "conversations")))
+
+
+OP6_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, text AS content, length(coalesce(text, '')) AS n, len(string_split(coalesce(text, ''), ' ')) AS w FROM conversations),
+made AS (
+    SELECT conv_id, 'c' || turn AS call_id, turn, n, w, to_json(text) AS j,
+           CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'lookup' END AS tool,
+           CASE WHEN n % 5 = 0 THEN 'c' || (turn + 2) WHEN w % 2 = 0 THEN 'c' || (turn - 2) END AS needs
+    FROM t WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY conv_id, call_id) AS n_calls, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, tool, j) AS k FROM made),
+calls AS (SELECT * FROM ranked WHERE k = 1),
+answers AS (
+    SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS result_turn, min(content) AS content, count(*) AS n_results
+    FROM t WHERE role = 'user' AND turn > 0 AND conv_id IS NOT NULL GROUP BY ALL),
+edges AS (SELECT a.conv_id, a.call_id, a.turn, b.call_id AS needs FROM calls a JOIN calls b ON a.conv_id = b.conv_id AND a.needs = b.call_id),
+paths AS (
+    SELECT conv_id, turn AS from_turn, call_id, turn, 0 AS hops, false AS back FROM calls
+    UNION ALL
+    SELECT p.conv_id, p.from_turn, e.call_id, e.turn, p.hops + 1, e.turn = p.from_turn
+    FROM paths p JOIN edges e ON e.conv_id = p.conv_id AND e.needs = p.call_id
+    WHERE NOT p.back AND e.turn <= p.from_turn),
+cyclic AS (SELECT DISTINCT conv_id, from_turn FROM paths WHERE back),
+offered AS (
+    SELECT p.conv_id, p.call_id, p.from_turn, CASE WHEN c.from_turn IS NULL THEN 0 ELSE 1 END AS cycle, CASE WHEN c.from_turn IS NULL THEN hops ELSE 0 END AS hops
+    FROM paths p LEFT JOIN cyclic c ON p.conv_id = c.conv_id AND p.from_turn = c.from_turn),
+label AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY from_turn DESC, cycle DESC, hops DESC) AS k FROM offered),
+linked AS (
+    SELECT c.*, l.from_turn AS order_turn, l.hops AS order_hops, l.cycle, a.result_turn, a.content, a.n_results,
+           n % 3 = 2 AND n % 11 = 0 AS broken, c.needs IS NOT NULL AND e.needs IS NULL AS lacks,
+           CASE WHEN n % 3 = 0 AND n % 7 = 0 THEN 'limit: not integer' WHEN n % 3 = 1 AND n % 5 = 0 THEN 'to: not allowed' ELSE '' END AS problems
+    FROM calls c JOIN label l ON c.conv_id = l.conv_id AND c.call_id = l.call_id AND l.k = 1
+    LEFT JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
+    LEFT JOIN edges e ON c.conv_id = e.conv_id AND c.call_id = e.call_id)
+SELECT conv_id, call_id, turn, order_turn, CAST(order_hops AS INTEGER) AS order_hops,
+       CASE WHEN broken THEN 'invalid_json' WHEN problems <> '' THEN 'invalid_arguments' WHEN cycle = 1 THEN 'cycle' WHEN lacks THEN 'missing_dependency'
+            WHEN n_results IS NULL THEN 'missing_result' ELSE 'linked' END AS status,
+       problems, n_calls, coalesce(n_results, 0) AS n_results, result_turn,
+       '{"arguments":' || CASE WHEN broken THEN 'null' WHEN n % 3 = 0 THEN '{"limit":' || CASE WHEN n % 7 = 0 THEN '"' || w || '"' ELSE '' || w END || ',"query":' || j || '}'
+            WHEN n % 3 = 1 THEN '{"text":' || j || ',"to":"' || CASE WHEN n % 5 = 0 THEN 'xx' ELSE 'en' END || '"}' ELSE '{"exact":true,"id":' || turn || '}' END
+       || ',"id":"' || call_id || '","result":' || coalesce(to_json(content), 'null') || ',"tool":"' || tool || '"}' AS line
+FROM linked
+UNION ALL
+SELECT a.conv_id, a.call_id, NULL, a.result_turn, 0, 'orphan_result', '', 0, a.n_results, a.result_turn, NULL
+FROM answers a ANTI JOIN calls c ON a.conv_id = c.conv_id AND a.call_id = c.call_id
+"""
+
+
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = archives.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -131,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_tool_calls": op6_tool_calls,
     "op7_arc_to_warc": op7_arc_to_warc,
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
@@ -141,5 +191,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op5_license_scan": OP5_SQL,
+    "op6_tool_calls": OP6_SQL,
     "op7_arc_to_warc": OP7_SQL,
 }
