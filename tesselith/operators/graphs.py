@@ -38,7 +38,8 @@ def to_root(edges: DataFrame, node: str = "node", parent: str = "parent") -> Dat
 
 def rebase(paths: DataFrame, new_root: DataFrame) -> DataFrame:
     """Transforms to other roots. ``new_root``: (root, reference), one node of each tree that shall be its root."""
-    reference = paths.join(new_root, (paths["root"] == new_root["root"]) & (paths["node"] == new_root["reference"])).select(paths["root"].alias("root"), "reference", *Affine.of().columns("r_"))
+    wanted = new_root.select("root", F.col("reference").alias("node"))
+    reference = paths.join(wanted, ["root", "node"]).select("root", F.col("node").alias("reference"), *Affine.of().columns("r_"))
     m = Affine.of("r_").inverse().after(Affine.of())
     return paths.join(reference, "root").select("node", F.col("reference").alias("root"), *m.columns())
 
