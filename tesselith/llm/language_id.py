@@ -52,8 +52,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Trigrams lie within a word and the single blanks around it; each text begins and ends with a blank."""
     joined = "".join(f" {t} " for t in texts)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
-    code = np.where(_letters()[code], code, 0).astype(np.uint64)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in texts])
+    code = np.where(_letters()[code], code, np.uint32(0))
     has = np.zeros(len(texts), bool)
     has[text[code > 0]] = True
     keep = np.ones(len(code), bool)
@@ -61,9 +61,9 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, text = code[keep], text[keep]
     if len(code) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), has
-    inner = (code[1:-1] > 0) & (text[2:] == text[:-2])
-    key = (code[:-2] << W.U(42)) ^ (code[1:-1] << W.U(21)) ^ code[2:]
-    return text[1:-1][inner], (W.mix(key[inner]) % W.U(BUCKETS)).astype(np.int64), has
+    middle = np.flatnonzero((code[1:-1] > 0) & (text[2:] == text[:-2])) + 1
+    key = (code[middle - 1].astype(np.uint64) << W.U(42)) ^ (code[middle].astype(np.uint64) << W.U(21)) ^ code[middle + 1]
+    return text[middle].astype(np.int64), (W.mix(key) % W.U(BUCKETS)).astype(np.int64), has
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,8 +36,8 @@ SEQUENCE_TOKENS = 2048
 SEPARATOR = 0
 #: A group's room at least halves with each slot it gets (11 times for 2,048), and a length adds at most four groups.
 PLAN_ROWS = 4 * 2048 * 11
-#: Words whose ids a Python worker remembers, in about 200 MB; beyond, it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a Python worker remembers, in about 60 MB; beyond, it starts anew.
+CACHE_WORDS = 300_000
 BUCKET_ROWS = 4096
 MAX_BUCKETS = 1 << 16
 

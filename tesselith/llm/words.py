@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (one longer text is one piece).
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
