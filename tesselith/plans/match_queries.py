@@ -15,16 +15,16 @@ from tesselith.plans.registry import query
 @query(
     "nn_match",
     with_views(
-        """WITH p AS (SELECT a.star AS cur, b.star AS prev, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM stars a JOIN stars b ON a.frame = 1 AND b.frame = 0 AND abs(a.x - b.x) < 12 AND abs(a.y - b.y) < 12),
+        """WITH p AS (SELECT a.frame, a.star AS cur, b.star AS prev, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM stars a JOIN stars b ON a.frame = b.frame + 1 AND abs(a.x - b.x) < 12 AND abs(a.y - b.y) < 12),
         o AS (SELECT * FROM p WHERE d < 12 QUALIFY row_number() OVER (PARTITION BY cur ORDER BY round(d, 9), prev) = 1)
-        SELECT cur AS current, prev AS previous, round(d, 6) AS dist FROM o QUALIFY row_number() OVER (PARTITION BY prev ORDER BY round(d, 9), cur) = 1""",
+        SELECT frame, cur AS current, prev AS previous, round(d, 6) AS dist FROM o QUALIFY row_number() OVER (PARTITION BY prev ORDER BY round(d, 9), cur) = 1""",
         "stars",
     ),
 )
 def nn_match(spark, sf_dir):
-    stars = view(spark, sf_dir, "stars").withColumn("pair", F.lit(0))
-    found = M.nearest_matches(stars.where("frame = 1"), stars.where("frame = 0"), ["pair"], 12.0)
-    return found.select("current", "previous", F.round("dist", 6).alias("dist"))
+    stars = view(spark, sf_dir, "stars")
+    found = M.nearest_matches(stars, stars.withColumn("frame", F.col("frame") + 1), ["frame"], 12.0)
+    return found.select("frame", "current", "previous", F.round("dist", 6).alias("dist"))
 
 
 @query("spatial_nms")
@@ -70,11 +70,11 @@ def quad_hash(spark, sf_dir):
 
 @query("quad_match")
 def quad_match(spark, sf_dir):
-    """Stars of frame 0 against a turned and doubled copy of them, some of whose stars are moved."""
-    stars = view(spark, sf_dir, "stars").where("frame = 0")
+    """Stars of each frame against a turned and doubled copy of them, some of whose stars are moved."""
+    stars = view(spark, sf_dir, "stars")
     moved = F.when(F.col("star") % 25 == 0, 40.0).otherwise(0.0)
     copy = stars.select("star", "frame", (2 * F.col("x") * 0.8 - 2 * F.col("y") * 0.6 + 90 + moved).alias("x"), (2 * F.col("x") * 0.6 + 2 * F.col("y") * 0.8 - 30).alias("y"), "flux")
-    return M.quad_matches(M.quad_hashes(M.quads(stars, ["frame"], 60)), M.quad_hashes(M.quads(copy, ["frame"], 60)))
+    return M.quad_matches(M.quad_hashes(M.quads(stars, ["frame"], 60)), M.quad_hashes(M.quads(copy, ["frame"], 60)), ["frame"])
 
 
 @query(

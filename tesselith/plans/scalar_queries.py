@@ -13,17 +13,16 @@ from tesselith.plans.registry import query
 @query(
     "scan_sequence_order",
     with_views(
-        """SELECT frame_id, row_number() OVER (ORDER BY CASE WHEN regexp_extract(path, '_(\\d+)\\.[^.]*$', 1) = '' THEN 1 ELSE 0 END,
-           TRY_CAST(regexp_extract(path, '_(\\d+)\\.[^.]*$', 1) AS BIGINT), lower(path), frame_id) AS place FROM frames WHERE batch = 'Brand#11'""",
+        """SELECT frame_id, batch, row_number() OVER (PARTITION BY batch ORDER BY CASE WHEN regexp_extract(path, '_(\\d+)\\.[^.]*$', 1) = '' THEN 1 ELSE 0 END,
+           TRY_CAST(regexp_extract(path, '_(\\d+)\\.[^.]*$', 1) AS BIGINT), lower(path), frame_id) AS place FROM frames""",
         "frames",
     ),
 )
 def scan_sequence_order(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    # A file listing of one folder: its order is of one batch, not of the table.
-    frames = view(spark, sf_dir, "frames").where("batch = 'Brand#11'")
-    return frames.select("frame_id", F.row_number().over(Window.partitionBy("batch").orderBy(*text.sequence_key(F.col("path")), "frame_id")).alias("place"))
+    frames = view(spark, sf_dir, "frames")
+    return frames.select("frame_id", "batch", F.row_number().over(Window.partitionBy("batch").orderBy(*text.sequence_key(F.col("path")), "frame_id")).alias("place"))
 
 
 @query(

@@ -66,7 +66,7 @@ def reject_winsor(spark, sf_dir):
 @query(
     "reject_small_n",
     with_views(
-        """WITH s AS (SELECT frame % 40 AS night, pos, CASE WHEN ok THEN v END AS s FROM pixels WHERE batch < 3),
+        """WITH s AS (SELECT frame // 5 AS night, pos, CASE WHEN ok THEN v END AS s FROM pixels),
         c AS (SELECT night, pos, median(s) AS centre, stddev_pop(s) AS spread, count(s) AS n FROM s GROUP BY ALL)
         SELECT night, pos, round(CASE WHEN n < 4 THEN avg(s) ELSE median(CASE WHEN NOT coalesce(spread > 1e-10, false) OR s BETWEEN centre - 1.5 * spread AND centre + 1.5 * spread THEN s END) END, 6) AS value, n
         FROM s JOIN c USING (night, pos) WHERE s IS NOT NULL GROUP BY night, pos, n""",
@@ -74,7 +74,7 @@ def reject_winsor(spark, sf_dir):
     ),
 )
 def reject_small_n(spark, sf_dir):
-    stack = pixels(spark, sf_dir).where("batch < 3").withColumn("night", F.col("frame") % 40)
+    stack = pixels(spark, sf_dir).withColumn("night", F.expr("frame div 5"))
     return _rounded(S.reject_or_combine(stack, ["night", "pos"], S.Rejection("sigma", 1.5, 1.5), "mean"), "value")
 
 
@@ -183,9 +183,9 @@ def bundle_hier(spark, sf_dir):
     return masters.groupBy("pos").agg(F.round(F.median("value"), 6).alias("value"))
 
 
-@query("master_median", with_views("SELECT y, x, round(median(v), 6) AS dark FROM pixels WHERE batch = 0 GROUP BY ALL", "pixels"))
+@query("master_median", with_views("SELECT batch, y, x, round(median(v), 6) AS master FROM pixels GROUP BY ALL", "pixels"))
 def master_median(spark, sf_dir):
-    return pixels(spark, sf_dir).where("batch = 0").groupBy("y", "x").agg(F.round(F.median("v"), 6).alias("dark"))
+    return pixels(spark, sf_dir).groupBy("batch", "y", "x").agg(F.round(F.median("v"), 6).alias("master"))
 
 
 _CAL = """d AS (SELECT pos, median(v) AS dark FROM pixels WHERE batch = 0 GROUP BY pos), f0 AS (SELECT pos, median(v) AS f FROM pixels WHERE batch = 1 GROUP BY pos),
