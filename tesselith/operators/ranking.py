@@ -98,7 +98,7 @@ def best_share(frames: DataFrame, group: list[str], metric: str, percent: float,
 def first_per_group(rows: DataFrame, group: list[str], order: list[Column], n: int = 1, place: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group. Spark keeps only those of each task before the shuffle."""
     name = place or "_place"
-    kept = rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= n)
+    kept = rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")).where(F.col(name) <= n)
     return kept if place else kept.drop(name)
 
 

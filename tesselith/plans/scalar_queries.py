@@ -22,7 +22,7 @@ def scan_sequence_order(spark, sf_dir):
     from pyspark.sql.window import Window
 
     frames = view(spark, sf_dir, "frames")
-    return frames.select("frame_id", "batch", F.row_number().over(Window.partitionBy("batch").orderBy(*text.sequence_key(F.col("path")), "frame_id")).alias("place"))
+    return frames.select("frame_id", "batch", F.row_number().over(Window.partitionBy("batch").orderBy(*text.sequence_key(F.col("path")), "frame_id")).cast("bigint").alias("place"))
 
 
 @query(
@@ -37,7 +37,7 @@ def scan_sequence_order(spark, sf_dir):
 def natural_order(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    return view(spark, sf_dir, "frames").select("frame_id", "batch", F.row_number().over(Window.partitionBy("batch").orderBy(text.natural_key(F.col("path")), "frame_id")).alias("place"))
+    return view(spark, sf_dir, "frames").select("frame_id", "batch", F.row_number().over(Window.partitionBy("batch").orderBy(text.natural_key(F.col("path")), "frame_id")).cast("bigint").alias("place"))
 
 
 @query("scan_batch_counts", with_views("SELECT split_part(path, '/', 1) AS folder, count(*) AS n_frames FROM frames GROUP BY 1", "frames"))
