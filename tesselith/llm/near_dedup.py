@@ -12,8 +12,8 @@ they are linked if the Jaccard similarity of their shingles is at least the
 threshold, and a class is what links connect.
 
 No bucket is expanded into its pairs. Each member is first compared with the
-bucket's smallest id, then with a random member unless they are in one class by
-then. What may still link different classes within a bucket is found by a
+bucket's most central text (the one that shares most buckets with others), then
+with a random member unless they are in one class by then. What may still link different classes within a bucket is found by a
 prefix join: of two texts with enough shingles in common, the rarest few of
 each, so many as their sizes allow to be missing, have one in common. Pairs
 within one class are never made there, so no link between classes is lost and
@@ -264,11 +264,16 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     groups = stage(signed.groupBy("h").agg(F.min("doc_id").alias("rep")), "groups")
     reps = signed.join(groups.select(F.col("rep").alias("doc_id"), F.col("h")), ["doc_id", "h"], "left_semi").select("doc_id", "buckets")
     member = reps.select("doc_id", F.explode("buckets").alias("bucket"))
-    shared = stage(member.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    members = stage(member.join(shared, "bucket").select("bucket", "doc_id", "least").distinct(), "members")
+    shared = stage(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    members = stage(member.join(shared, "bucket").select("bucket", "doc_id", "n").distinct(), "members")
+    # The text whose buckets have most members is the least changed one of its family, and near more of it than others.
+    central = stage(members.groupBy("doc_id").agg(F.sum("n").alias("central")), "central")
+    first = members.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct(F.col("central"), (-F.col("doc_id")).alias("id"))).alias("most"))
+    leaders = stage(first.select("bucket", (-F.col("most.id")).alias("leader")), "leaders")
     texts = with_id.select("doc_id", F.lower("text").alias("text"))
 
-    tried = stage(members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    led = members.join(leaders, "bucket").where("doc_id <> leader")
+    tried = stage(led.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct(), "pairs")
     links = stage(verified(tried, texts, threshold), "links")
     classes = components(links)
     for turn in ("random", "rest"):
