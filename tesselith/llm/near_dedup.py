@@ -7,9 +7,12 @@ to the weight; a component keeps the shingle that arrives first, and a shingle
 stops as soon as its next arrival is later than the latest first arrival of the
 text. Two texts agree in a component with the probability Jaccard similarity of
 their weighted shingles, which for equal weights is the plain Jaccard
-similarity. Texts that agree in all components of a band are compared exactly:
-they are linked if the Jaccard similarity of their shingles is at least the
-threshold, and a class is what links connect.
+similarity. Links are verified by the plain one, which may be high where the
+weighted one is low, so each text is signed with equal weights, and one that
+repeats shingles by its weights as well, into the same buckets. Texts that agree
+in all components of a band are compared exactly: they are linked if the Jaccard
+similarity of their shingles is at least the threshold, and a class is what
+links connect.
 
 No bucket is expanded into its pairs. Each member is first compared with the
 bucket's most central text (the one that shares most buckets with others), then
@@ -114,18 +117,33 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (np.maximum(above, 0) / pc + np.maximum(below, 0) / qc)).sum())
 
 
+def band_buckets(keys: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The buckets of each text, one row per text."""
+    n = len(at) - 1
+    bands = signatures(keys, weights, at, BANDS * BAND_ROWS).reshape(n, BANDS, BAND_ROWS)
+    bucket = np.tile(W.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * W.U(0x9E6C63D0876A9A47)), (n, 1))
+    for k in range(BAND_ROWS):
+        bucket = W.mix(bucket * W.U(3) + bands[:, :, k])
+    return bucket
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salt = W.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * W.U(0x9E6C63D0876A9A47))
     for batch in batches:
         for part in W.pieces(batch):
             keys, weights, at = weighted(part.column("text"), SHINGLE_WORDS)
-            bands = signatures(keys, weights, at, BANDS * BAND_ROWS).reshape(part.num_rows, BANDS, BAND_ROWS)
-            bucket = np.tile(salt, (part.num_rows, 1))
-            for k in range(BAND_ROWS):
-                bucket = W.mix(bucket * W.U(3) + bands[:, :, k])
-            has = np.diff(at) > 0
-            offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket[has].reshape(-1).view(np.int64)))
+            lengths = np.diff(at)
+            # Where no shingle is repeated, the two signatures are the same.
+            text = np.repeat(np.arange(part.num_rows), lengths)
+            repeats = np.bincount(text[weights > 1], minlength=part.num_rows) > 0
+            own = repeats[text]
+            equal = band_buckets(keys, np.ones(len(keys)), at)
+            by_weight = np.zeros_like(equal)
+            by_weight[repeats] = band_buckets(keys[own], weights[own], np.concatenate([[0], np.cumsum(lengths[repeats])]))
+            made = np.repeat((lengths > 0)[:, None], 2 * BANDS, axis=1)
+            made[:, BANDS:] &= repeats[:, None]
+            offsets = np.concatenate([[0], np.cumsum(made.sum(axis=1))]).astype(np.int32)
+            bucket = np.concatenate([equal, by_weight], axis=1)[made]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), lists], names=["doc_id", "h", "buckets"])
 
 
@@ -263,7 +281,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     # Equal texts first: one of them stands for all, so that they cost one row from here on.
     groups = stage(signed.groupBy("h").agg(F.min("doc_id").alias("rep")), "groups")
     reps = signed.join(groups.select(F.col("rep").alias("doc_id"), F.col("h")), ["doc_id", "h"], "left_semi").select("doc_id", "buckets")
-    member = reps.select("doc_id", F.explode("buckets").alias("bucket"))
+    member = reps.select("doc_id", F.explode(F.array_distinct("buckets")).alias("bucket"))
     shared = stage(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     members = stage(member.join(shared, "bucket").select("bucket", "doc_id", "n").distinct(), "members")
     # The text whose buckets have most members is the least changed one of its family, and near more of it than others.

@@ -115,6 +115,20 @@ def test_near_classes_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_classes_of_repeated_lines_equal_brute_force(spark):
+    """Copies that differ in how often a line is repeated, and in words too: plain similarity is high, that by weights low."""
+    rows = []
+    for pair in range(40):
+        words, line = prose(500 + pair, 160).split(), prose(700 + pair, 40)
+        own = list(words)
+        if pair % 2:
+            own[80] = own[90] = "new"
+        rows += [(2 * pair, " ".join(words) + f" {line}" * 300), (2 * pair + 1, " ".join(own) + f" {line}" + f" {line}" * (pair % 3))]
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(table(spark, [(d, t, "en") for d, t in rows])).collect()}
+    want = brute_classes(rows)
+    assert sum(d != c for d, c in want.items()) == 40 and got == want
+
+
 def test_near_odd_cases(odd, empty):
     got = near_dedup.near_classes(odd).collect()
     assert len(got) == 11
