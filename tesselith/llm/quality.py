@@ -4,8 +4,9 @@ A document's score is linear in features of its text. Training draws pairs of a
 better and a worse document and fits the weights by logistic loss on the
 difference of their features, as the Bradley-Terry model has it: the chance that
 one beats another is the logistic function of the difference of their scores.
-The threshold is the quantile of the training scores that leaves the share of
-worse documents below it; a score is shifted so that the threshold is 0.7.
+The fit may take a sample of the labelled documents; the threshold is the quantile
+of the scores of all of them that are not held out, which leaves their share of
+worse documents below it. A score is shifted so that the threshold is 0.7.
 
 Defined results: null and empty texts have all features 0 and a score like any
 other text; without labels of both kinds all weights are 0 and every score is
@@ -44,10 +45,11 @@ FEATURES = (
     "repeated_lines",
     "line_words",
 )
-#: Labelled rows that training uses at most (those with the least hash), of each label.
+#: Labelled rows that the fit uses at most (those with the least hash), of each label.
 MOST_LABELLED = 20_000
-#: Pairs for each better document.
+#: Pairs for each document of the label that has more in the sample.
 PAIRS = 4
+BINS = 1024
 THRESHOLD = 0.7
 REGULARISATION = 1e-3
 
@@ -134,6 +136,27 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
+def quantile(values: DataFrame, share: float) -> float:
+    """The exact quantile of the column ``v``, between two values in proportion, as F.percentile has it.
+
+    Each round counts the values of some bins, and goes on with the one that holds the value of the rank sought; no
+    task gets more than BINS rows of a count."""
+    whole = values.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    position = share * (whole["n"] - 1)
+    rank, low, high, below = int(position), whole["low"], whole["high"], 0
+    while low < high:
+        bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.lit(low)) / F.lit(high - low) * BINS))
+        rows = values.where(F.col("v").between(low, high)).groupBy(bin_.alias("bin")).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for row in sorted(rows.collect(), key=lambda r: r["bin"]):  # at most BINS rows
+            if rank < below + row["n"]:
+                low, high = row["low"], row["high"]
+                break
+            below += row["n"]
+    after = values.agg(F.count_if(F.col("v") <= low).alias("n"), F.min(F.when(F.col("v") > low, F.col("v"))).alias("next")).first()
+    following = low if rank + 1 < after["n"] or after["next"] is None else after["next"]
+    return low + (position - rank) * (following - low)
+
+
 def train(rows: DataFrame, labels: DataFrame) -> Model:
     """Fit on ``rows`` (doc_id, features) with ``labels`` (doc_id, quality), by preference pairs."""
     known = rows.join(labels.select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)"), "doc_id").select("doc_id", "features", "label")
@@ -144,22 +167,25 @@ def train(rows: DataFrame, labels: DataFrame) -> Model:
     if len(counts) < 2:
         return Model((0.0,) * len(FEATURES), 0.0)
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1)  # at most MOST_LABELLED rows of a label
-    worse = ranked.where("label = 0").select("rank", F.col("features").alias("worse"))
-    better = ranked.where("label = 1").select(F.col("features").alias("better"), F.explode(F.sequence(F.lit(0), F.lit(PAIRS - 1))).alias("turn"), F.col("rank").alias("of"))
-    better = better.withColumn("rank", F.pmod(F.col("of") * PAIRS + F.col("turn"), F.lit(counts[0])))
+    # Each row of the label with more rows gets PAIRS of the other one's, in turn, so that every row is in some pair.
+    names = {0: "worse", 1: "better"}
+    more = 1 if counts[1] >= counts[0] else 0
+    less = ranked.where(F.col("label") == 1 - more).select("rank", F.col("features").alias(names[1 - more]))
+    turns = ranked.where(F.col("label") == more).select(F.col("features").alias(names[more]), F.explode(F.sequence(F.lit(0), F.lit(PAIRS - 1))).alias("turn"), F.col("rank").alias("of"))
+    turns = turns.withColumn("rank", F.pmod(F.col("of") * PAIRS + F.col("turn"), F.lit(counts[1 - more])))
     vector = F.udf(lambda x: Vectors.dense(x), VectorUDT())
     difference = F.zip_with("better", "worse", lambda a, b: a - b)
     # Each pair once as a win and once, turned round, as a loss, for a loss function that knows two outcomes.
     turned = F.explode(F.array(F.lit(1.0), F.lit(0.0))).alias("won")
-    pairs = better.join(worse, "rank").select(difference.alias("d"), turned)
+    pairs = turns.join(less, "rank").select(difference.alias("d"), turned)
     pairs = pairs.select(vector(F.when(F.col("won") == 1, F.col("d")).otherwise(F.transform("d", lambda x: -x))).alias("features"), F.col("won").alias("label"))
     pairs = stage(pairs, "pairs")
     fitted = LogisticRegression(fitIntercept=False, regParam=REGULARISATION, maxIter=50, standardization=True).fit(pairs)
     weights = tuple(float(w) for w in fitted.coefficients)
     raw = F.aggregate(F.zip_with("features", F.array(*(F.lit(w) for w in weights)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
-    share = counts[0] / (counts[0] + counts[1])
-    threshold = both.agg(F.percentile(raw, F.lit(share)).alias("q")).first()["q"]
-    return Model(weights, float(threshold))
+    every = stage(known.select("label", raw.alias("v")), "training_scores")
+    share = every.agg(F.avg(F.when(F.col("label") == 0, 1.0).otherwise(0.0)).alias("share")).first()["share"]
+    return Model(weights, float(quantile(every, share)))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -352,6 +352,33 @@ def test_quality_learns_and_holds_out(spark, odd, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_quality_threshold_is_over_all_labels(spark, monkeypatch):
+    """A sample that is smaller than the labelled rows, evenly of both labels, leaves the share of worse ones as it is."""
+    monkeypatch.setattr(quality, "MOST_LABELLED", 30)
+    docs = table(spark, [(i, prose(i, 20 + i % 60) if i % 6 else "BUY!!! NOW$$$ " * (5 + i % 20) + str(i), "en") for i in range(600)])
+    labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(600)], "doc_id bigint, quality int")
+    own = [r for r in quality.classify(docs, labels).collect() if not r.held_out]
+    worse = sum(r.doc_id % 6 == 0 for r in own)
+    assert abs(sum(r.predicted == 0 for r in own) - worse) <= 1
+
+
+@pytest.mark.parametrize("share", [0.0, 0.14, 0.5, 1.0])
+def test_quality_quantile_is_exact(spark, share):
+    r = random.Random(3)
+    values = [r.choice((r.gauss(0, 1), 0.5, 1e6 * r.random())) for _ in range(3000)]
+    assert abs(quality.quantile(spark.createDataFrame([(v,) for v in values], "v double"), share) - np.quantile(values, share)) < 1e-9
+
+
+def test_quality_pairs_use_every_sampled_row(spark, monkeypatch):
+    """One better row and many worse ones: the fit must see the last of them too."""
+    seen = []
+    fit = quality.LogisticRegression.fit
+    monkeypatch.setattr(quality.LogisticRegression, "fit", lambda self, pairs: seen.append(pairs.where("label = 1").select("features").distinct().count()) or fit(self, pairs))
+    rows = spark.createDataFrame([(i, [float(i + k) for k in range(len(quality.FEATURES))]) for i in range(40)], "doc_id bigint, features array<double>")
+    quality.train(rows, spark.createDataFrame([(i, int(i == 0)) for i in range(40)], "doc_id bigint, quality int"))
+    assert seen == [39]
+
+
 # --- language
 
 
