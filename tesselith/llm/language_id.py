@@ -4,7 +4,8 @@ Each language is a distribution over hashed letter trigrams, counted over all
 training texts. A document is a mixture of languages; expectation-maximisation
 estimates the proportions from its trigrams' likelihoods, first over all
 languages, then over the likeliest one, two, ... of them, and the set with the
-best penalised likelihood is taken. The language predicted is the one with the
+best penalised likelihood is taken; a text is done when its best possible
+likelihood can't pay the penalty of a further language. The language predicted is the one with the
 largest proportion.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
@@ -30,8 +31,6 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 ROUNDS = 8
-#: The largest set of languages that a document is given.
-MOST_LANGUAGES = 3
 #: A further language must raise the log-likelihood by this times log(trigrams).
 PENALTY = 3.0
 #: So many languages fit a model that is sent to every task (128 KB each).
@@ -129,13 +128,23 @@ def infer(texts: list[str], langs: list[str], table: np.ndarray) -> list[tuple[s
     first = np.argmax(alone, axis=1)
     best[np.arange(len(starts)), first] = 1
     score = alone[np.arange(len(starts)), first]
-    for k in range(2, min(MOST_LANGUAGES, size) + 1):
-        part = np.zeros_like(share)
-        np.put_along_axis(part, order[:, :k], np.maximum(np.take_along_axis(share, order[:, :k], axis=1), 1e-6), axis=1)
-        part, fit = _em(chance, count, starts, doc, part / part.sum(axis=1, keepdims=True), ROUNDS // 2)
-        fit = fit - PENALTY * (k - 1) * np.log(n + 1)
-        better = fit > score
-        best[better], score[better] = part[better], fit[better]
+    # The log-likelihood is concave in the shares, so its slopes bound what any set of languages can reach.
+    mixed = (chance * share[doc]).sum(axis=1)
+    slope = np.add.reduceat(chance * (count / mixed)[:, None], starts, axis=0).max(axis=1)
+    most = np.add.reduceat(count * np.log(mixed), starts) + slope - n
+    for k in range(2, size + 1):
+        open_ = np.flatnonzero(most - PENALTY * (k - 1) * np.log(n + 1) + 1e-6 > score)
+        if not len(open_):
+            break
+        rows = np.isin(doc, open_)
+        lengths = np.diff(np.append(starts, len(text)))[open_]
+        own_doc, own_starts = np.repeat(np.arange(len(open_)), lengths), np.cumsum(lengths) - lengths
+        part, near = np.zeros((len(open_), size)), order[open_, :k]
+        np.put_along_axis(part, near, np.maximum(np.take_along_axis(share[open_], near, axis=1), 1e-6), axis=1)
+        part, fit = _em(chance[rows], count[rows], own_starts, own_doc, part / part.sum(axis=1, keepdims=True), ROUNDS // 2)
+        fit = fit - PENALTY * (k - 1) * np.log(n[open_] + 1)
+        better = fit > score[open_]
+        best[open_[better]], score[open_[better]] = part[better], fit[better]
     for i, d in enumerate(where):
         ranked = [(langs[j], float(best[i, j])) for j in np.argsort(-best[i], kind="stable") if best[i, j] > 0]
         # The posterior mean of the proportion: few trigrams leave it near even.

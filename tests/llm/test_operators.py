@@ -400,6 +400,16 @@ def test_language_mixtures(spark, odd, empty):
     assert {x.lang_pred for x in language_id.predict(odd, language_id.train(empty.select("text", "lang"))).collect()} == {"und"}
 
 
+def test_language_sets_have_no_fixed_size(spark):
+    vocabulary = {"aa": "bada gado dabo", "bb": "xyl wyx zyw", "cc": "miro romi rimo", "dd": "kesu seku uske", "ee": "thun nuht huth"}
+    r = random.Random(2)
+    mk = lambda lang, n: " ".join("".join(r.choice(vocabulary[lang].split()) for _ in range(2)) for _ in range(n))
+    model = language_id.train(spark.createDataFrame([(mk(lang, 400), lang) for lang in vocabulary], "text string, lang string"))
+    texts = [" ".join(mk(lang, 60 - 5 * i) for i, lang in enumerate(list(vocabulary)[:k])) for k in range(1, 6)]
+    found = language_id.infer(texts, *model)
+    assert [sorted(x for x, _ in f[2]) for f in found] == [sorted(vocabulary)[:k] for k in range(1, 6)]
+
+
 # --- packing
 
 
