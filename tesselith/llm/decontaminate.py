@@ -13,10 +13,11 @@ to all tasks whatever the benchmark's size; a fuller bitmap only lets more
 rows through to the join.
 
 Defined results: null, empty and wordless texts or items match nothing; an item
-shorter than MIN_MATCHES words must match in ITEM_SHARE of its words; items too
-short for any mask are compared as a run of their own words; a document that
-holds several items has a row for each; repeated rows of a doc_id give one row
-per item; an empty table gives an empty result; further columns are carried
+shorter than MIN_MATCHES words must match in ITEM_SHARE of its words, and is
+sought by masks for its own length, down to the whole item; a document that
+holds several items has a row for each; repeated rows of a doc_id or an item_id,
+with equal texts or not, give one row per doc_id and item_id; items without an
+item_id are compared like others, and share the row without item_id; an empty table gives an empty result; further columns are carried
 along by ``decontaminate``.
 """
 
@@ -33,20 +34,43 @@ from tesselith.llm import words as W
 from tesselith.session import ship_package
 from tesselith.staging import stage
 
-#: Six words count in each mask; together they find 97 % of 20-word overlaps with a fifth of the words changed.
-MASKS = ("11101101", "1101100011", "111000111", "1010110011")
+#: Six words count in each mask; together they find all overlaps of up to 20 words that have MIN_MATCHES matches.
+MASKS = (
+    "11101101", "1101100011", "111000111", "1010110011", "11010000001011", "10100010111",
+    "101001001011", "1001000010111", "11001100101", "11010001011", "1000100001111",
+)
+#: Further masks for items of so few words, which leave out the words that may differ.
+SHORT_MASKS = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("1111", "11011"),
+    6: ("11111", "110111", "111011"),
+    7: ("111111", "1101111", "1110111", "1111011"),
+    8: ("1111011", "11011101"),
+    9: ("110110011",),
+    10: ("110101011",),
+}
+ALL_MASKS = (*MASKS, *sorted({m for masks in SHORT_MASKS.values() for m in masks}))
 BITMAP_BITS = 1 << 24
 PENALTY = 1.5
 MIN_MATCHES = 12
 ITEM_SHARE = 0.8
 
 
-def seeds(words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each mask: its number, the seed hashes, the texts and the places they are from."""
+def seeds(words: np.ndarray, at: np.ndarray, numbers: set[int] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each mask: its number, the seed hashes, the texts and the places they are from.
+
+    ``numbers``: the masks for all texts; else those that each text has as an item of its length."""
     lengths = np.diff(at)
-    for number, mask in enumerate(MASKS):
+    for number, mask in enumerate(ALL_MASKS):
+        if numbers is not None and number not in numbers:
+            continue
         taken = [k for k, bit in enumerate(mask) if bit == "1"]
         counts = np.maximum(lengths - len(mask) + 1, 0)
+        if numbers is None and number >= len(MASKS):
+            counts[~np.isin(lengths, [n for n, masks in SHORT_MASKS.items() if mask in masks])] = 0
         if not counts.sum():
             continue
         rolled = np.zeros(len(words) - len(mask) + 1, np.uint64)
@@ -58,27 +82,28 @@ def seeds(words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray,
         yield number, W.mix(rolled[at[:-1][text] + place]), text, place
 
 
-def _seed_rows(bitmap: Callable[[], np.ndarray] | None, key: str) -> Callable:
+def _seed_rows(bitmap: Callable[[], np.ndarray] | None, key: str, numbers: set[int] | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if bitmap is None else bitmap()
         for batch in batches:
             for part in W.pieces(batch):
                 words, at = W.hashes(part.column("text"))
-                for _, found, text, place in seeds(words, at):
+                for number, found, text, place in seeds(words, at, numbers):
                     if held is not None:
                         bit = found % W.U(BITMAP_BITS)
                         some = np.flatnonzero((held[(bit >> W.U(6)).astype(np.int64)] >> (bit & W.U(63))) & W.U(1))
                         found, text, place = found[some], text[some], place[some]
                     if len(found):
                         ids = part.column(key).take(pa.array(text))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(place.astype(np.int32)), pa.array(found.view(np.int64))], names=[key, "place", "seed"])
+                        mask = pa.array(np.full(len(found), number, np.int32))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(place.astype(np.int32)), pa.array(found.view(np.int64)), mask], names=[key, "place", "seed", "mask"])
 
     return run
 
 
-def seed_hashes(texts: DataFrame, key: str, bitmap: Callable[[], np.ndarray] | None = None) -> DataFrame:
-    """(key, place, seed) of (key, text)."""
-    return texts.select(key, F.lower("text").alias("text")).mapInArrow(_seed_rows(bitmap, key), f"{key} bigint, place int, seed bigint")
+def seed_hashes(texts: DataFrame, key: str, bitmap: Callable[[], np.ndarray] | None = None, numbers: set[int] | None = None) -> DataFrame:
+    """(key, place, seed, mask) of (key, text)."""
+    return texts.select(key, F.lower("text").alias("text")).mapInArrow(_seed_rows(bitmap, key, numbers), f"{key} bigint, place int, seed bigint, mask int")
 
 
 def seed_bitmap(tests: DataFrame) -> np.ndarray:
@@ -134,17 +159,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     # A table: its joins can be broadcast by size, or split where an item is in very many documents.
-    items = stage(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").dropDuplicates(["item_id"]), "items")
+    # An item is a text with its item_id: several texts of one item_id are all compared.
+    named = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = stage(named.withColumn("item", F.monotonically_increasing_id()), "items")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    tests = stage(seed_hashes(items, "item_id"), "tests")
+    tests = stage(seed_hashes(items, "item"), "tests")
     sent = spark.sparkContext.broadcast(seed_bitmap(tests))
-    hits = stage(seed_hashes(own, "doc_id", lambda: sent.value), "hits")
-    joined = hits.join(tests.select("item_id", "seed", F.col("place").alias("item_place")), "seed")
-    diagonals = joined.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"))
+    used = {row["mask"] for row in tests.select("mask").distinct().collect()}  # at most one for each of ALL_MASKS
+    hits = stage(seed_hashes(own, "doc_id", lambda: sent.value, used).drop("mask"), "hits")
+    joined = hits.join(tests.select("item", "seed", F.col("place").alias("item_place")), "seed")
+    diagonals = joined.select("doc_id", "item", (F.col("place") - F.col("item_place")).alias("diagonal"))
     # Distinct first: within a task, the hits along one diagonal become one row before the shuffle.
-    candidates = stage(diagonals.distinct().groupBy("doc_id", "item_id").agg(F.collect_list("diagonal").alias("diagonals")), "candidates")
+    candidates = stage(diagonals.distinct().groupBy("doc_id", "item").agg(F.collect_list("diagonal").alias("diagonals")), "candidates")
     texts = own.select("doc_id", F.lower("text").alias("text"))
-    both = texts.join(candidates, "doc_id").join(items.select("item_id", F.lower("text").alias("item_text")), "item_id")
+    both = texts.join(candidates, "doc_id").join(items.select("item", "item_id", F.lower("text").alias("item_text")), "item")
     found = both.select("doc_id", "item_id", "text", "item_text", "diagonals").mapInArrow(
         _verify, "doc_id bigint, item_id bigint, matched_words int, overlap_words int, doc_word int, item_word int, item_words int"
     )

@@ -196,6 +196,36 @@ def test_overlaps(spark, empty):
     assert decontaminate.overlaps(docs, bench.where("item_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("size", range(1, 21))
+def test_masks_hit_every_overlap_that_counts(size):
+    """All patterns of matches of an item of so many words: what _verify accepts has a hit of a mask."""
+    needed = min(decontaminate.MIN_MATCHES, int(np.ceil(decontaminate.ITEM_SHARE * size)))
+    same = np.arange(1 << size)
+    same = same[np.bitwise_count(same) >= needed]
+    for mask in (*decontaminate.MASKS, *decontaminate.SHORT_MASKS.get(size, ())):
+        for k in range(size - len(mask) + 1):
+            bits = int(mask[::-1], 2) << k
+            same = same[(same & bits) != bits]
+    for pattern in same.tolist():
+        assert decontaminate.best_stretch(np.array([pattern >> k & 1 for k in range(size)], bool))[2] < needed
+
+
+def test_overlaps_of_short_and_repeated_items(spark):
+    words = [prose(900 + n, n).split() for n in range(1, 13)]
+    docs, want = [], set()
+    for n, item in enumerate(words, 1):
+        docs.append((n, f"{prose(950 + n, 30).upper()} {' '.join(item)} zz", "en"))
+        want.add((n, n))
+        if n >= 8:
+            docs.append((100 + n, f"zz {' '.join([*item[:4], 'zz', *item[5:]])}", "en"))
+            want.add((100 + n, n))
+    docs += [(200, prose(61, 20), "en"), (201, prose(62, 20), "en"), (202, prose(63, 20), "en")]
+    bench = [(n, " ".join(item)) for n, item in enumerate(words, 1)] + [(50, prose(61, 20)), (50, prose(62, 20)), (None, prose(63, 20))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table(spark, docs), spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    short = {(d, i) for d, i in got if i is not None and i <= 3}  # so short that other texts may hold them
+    assert want | {(200, 50), (201, 50), (202, None)} == got - short | {(n, n) for n in (1, 2, 3)} and {(n, n) for n in (1, 2, 3)} <= short
+
+
 # --- secrets
 
 
