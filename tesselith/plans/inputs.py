@@ -77,6 +77,17 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "cast(p_retailprice AS double) AS flux",
         ],
     ),
+    # the same points in frames whose number grows with the table: one for each brand among 500 parts in a row
+    "star_frames": (
+        "part",
+        [
+            "p_partkey AS star",
+            "cast(floor(p_partkey / 500) AS bigint) * 100 + cast(substr(p_brand, 7) AS bigint) AS frame",
+            "cast((p_partkey * 7919) % 2003 AS double) / 2e0 AS x",
+            "cast((p_partkey * 6271) % 1999 AS double) / 2e0 AS y",
+            "cast(p_retailprice AS double) AS flux",
+        ],
+    ),
 }
 
 PIXELS_SQL = """pixels AS (

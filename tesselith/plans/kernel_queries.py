@@ -96,6 +96,6 @@ def phase_shift(spark, sf_dir):
 def register_pairs(spark, sf_dir):
     """Stars of each frame matched with their places after a small turn, a tenth of them wrong."""
     # A detector keeps so many of a frame's brightest stars, which bounds what one task gets.
-    bright = first_per_group(view(spark, sf_dir, "stars"), ["frame"], [F.col("flux").desc(), F.col("star")], 200)
+    bright = first_per_group(view(spark, sf_dir, "star_frames"), ["frame"], [F.col("flux").desc(), F.col("star")], 250)
     wrong = F.when(F.col("star") % 10 == 0, 35.0).otherwise(0.0)
     return K.register(bright.select("frame", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x") * 0.9998 - F.col("y") * 0.02 + 3 + wrong).alias("qx"), (F.col("x") * 0.02 + F.col("y") * 0.9998 - 5).alias("qy")), "frame", 3.0)

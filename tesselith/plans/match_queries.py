@@ -71,7 +71,7 @@ def quad_hash(spark, sf_dir):
 @query("quad_match")
 def quad_match(spark, sf_dir):
     """Stars of each frame against a turned and doubled copy of them, some of whose stars are moved."""
-    stars = view(spark, sf_dir, "stars")
+    stars = view(spark, sf_dir, "star_frames")
     moved = F.when(F.col("star") % 25 == 0, 40.0).otherwise(0.0)
     copy = stars.select("star", "frame", (2 * F.col("x") * 0.8 - 2 * F.col("y") * 0.6 + 90 + moved).alias("x"), (2 * F.col("x") * 0.6 + 2 * F.col("y") * 0.8 - 30).alias("y"), "flux")
     return M.quad_matches(M.quad_hashes(M.quads(stars, ["frame"], 60)), M.quad_hashes(M.quads(copy, ["frame"], 60)), ["frame"])

@@ -59,6 +59,16 @@ def test_quad_match_pairs_copies(spark):
     assert len(found) >= 20 and sum(r.reference == r.target for r in found) >= 0.8 * len(found)
 
 
+def test_star_frames_hold_all_stars(spark):
+    """Frames grow with the table and stay within the 250 stars that register_pairs takes of each."""
+    from tesselith.plans.inputs import view
+
+    for sf, least in ((SF, 5), ("/root/testdata/sf0.01", 50)):
+        sizes = [r["count"] for r in view(spark, sf, "star_frames").groupBy("frame").count().collect()]
+        assert len(sizes) > least and max(sizes) <= 250 and sum(sizes) == view(spark, sf, "stars").count()
+    assert len({r.frame for r in QUERIES["register_pairs"](spark, SF).collect()}) > 5
+
+
 def test_graph_bfs_is_a_forest(spark):
     found = {r.node: r for r in QUERIES["graph_bfs"](spark, SF).collect()}
     for r in found.values():
