@@ -103,34 +103,44 @@ WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, tex
 made AS (
     SELECT conv_id, 'c' || turn AS call_id, turn, n, w, to_json(text) AS j,
            CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'lookup' END AS tool,
-           CASE WHEN n % 5 = 0 THEN 'c' || (turn + 2) WHEN w % 2 = 0 THEN 'c' || (turn - 2) END AS needs
+           list_concat(CASE WHEN n % 5 = 0 THEN ['c' || (turn + 2)] ELSE [] END, CASE WHEN w % 2 = 0 THEN ['c' || (turn - 2)] ELSE [] END) AS needs
     FROM t WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY conv_id, call_id) AS n_calls, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, tool, j) AS k FROM made),
 calls AS (SELECT * FROM ranked WHERE k = 1),
 answers AS (
     SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS result_turn, min(content) AS content, count(*) AS n_results
     FROM t WHERE role = 'user' AND turn > 0 AND conv_id IS NOT NULL GROUP BY ALL),
-edges AS (SELECT a.conv_id, a.call_id, a.turn, b.call_id AS needs FROM calls a JOIN calls b ON a.conv_id = b.conv_id AND a.needs = b.call_id),
-paths AS (
-    SELECT conv_id, turn AS from_turn, call_id, turn, 0 AS hops, false AS back FROM calls
-    UNION ALL
-    SELECT p.conv_id, p.from_turn, e.call_id, e.turn, p.hops + 1, e.turn = p.from_turn
-    FROM paths p JOIN edges e ON e.conv_id = p.conv_id AND e.needs = p.call_id
-    WHERE NOT p.back AND e.turn <= p.from_turn),
-cyclic AS (SELECT DISTINCT conv_id, from_turn FROM paths WHERE back),
-offered AS (
-    SELECT p.conv_id, p.call_id, p.from_turn, CASE WHEN c.from_turn IS NULL THEN 0 ELSE 1 END AS cycle, CASE WHEN c.from_turn IS NULL THEN hops ELSE 0 END AS hops
-    FROM paths p LEFT JOIN cyclic c ON p.conv_id = c.conv_id AND p.from_turn = c.from_turn),
-label AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY from_turn DESC, cycle DESC, hops DESC) AS k FROM offered),
+wanted AS (SELECT conv_id, call_id, turn, unnest(needs) AS needs FROM calls),
+edges AS (SELECT a.conv_id, a.turn, b.turn AS needs FROM wanted a JOIN calls b ON a.conv_id = b.conv_id AND a.needs = b.call_id),
+lacking AS (SELECT DISTINCT conv_id, call_id FROM wanted a ANTI JOIN calls b ON a.conv_id = b.conv_id AND a.needs = b.call_id),
+reach AS (
+    SELECT conv_id, turn, needs AS far FROM edges
+    UNION
+    SELECT r.conv_id, r.turn, e.needs FROM reach r JOIN edges e ON r.conv_id = e.conv_id AND r.far = e.turn),
+label AS (SELECT c.conv_id, c.turn, greatest(c.turn, coalesce(max(far), c.turn)) AS order_turn, coalesce(bool_or(far = c.turn), false) AS round
+          FROM calls c LEFT JOIN reach r ON c.conv_id = r.conv_id AND c.turn = r.turn GROUP BY ALL),
+cyclic AS (
+    SELECT conv_id, turn FROM label WHERE round
+    UNION SELECT a.conv_id, a.turn FROM reach r JOIN label a ON r.conv_id = a.conv_id AND r.turn = a.turn
+    JOIN label b ON r.conv_id = b.conv_id AND r.far = b.turn WHERE b.round AND a.order_turn = b.order_turn),
+sound AS (SELECT e.conv_id, e.turn, e.needs FROM edges e JOIN label a ON e.conv_id = a.conv_id AND e.turn = a.turn JOIN label b ON e.conv_id = b.conv_id AND e.needs = b.turn
+          ANTI JOIN cyclic c ON e.conv_id = c.conv_id AND e.turn = c.turn WHERE a.order_turn = b.order_turn),
+hops AS (
+    SELECT conv_id, turn, needs AS at, 1 AS hops FROM sound
+    UNION
+    SELECT h.conv_id, h.turn, s.needs, h.hops + 1 FROM hops h JOIN sound s ON h.conv_id = s.conv_id AND h.at = s.turn),
+deepest AS (SELECT conv_id, turn, max(hops) AS hops FROM hops GROUP BY ALL),
 linked AS (
-    SELECT c.*, l.from_turn AS order_turn, l.hops AS order_hops, l.cycle, a.result_turn, a.content, a.n_results,
-           n % 3 = 2 AND n % 11 = 0 AS broken, c.needs IS NOT NULL AND e.needs IS NULL AS lacks,
+    SELECT c.*, l.order_turn, coalesce(d.hops, 0) AS order_hops, y.turn IS NOT NULL AS cycle, a.result_turn, a.content, a.n_results,
+           n % 3 = 2 AND n % 11 = 0 AS broken, k.call_id IS NOT NULL AS lacks,
            CASE WHEN n % 3 = 0 AND n % 7 = 0 THEN 'limit: not integer' WHEN n % 3 = 1 AND n % 5 = 0 THEN 'to: not allowed' ELSE '' END AS problems
-    FROM calls c JOIN label l ON c.conv_id = l.conv_id AND c.call_id = l.call_id AND l.k = 1
+    FROM calls c JOIN label l ON c.conv_id = l.conv_id AND c.turn = l.turn
+    LEFT JOIN cyclic y ON c.conv_id = y.conv_id AND c.turn = y.turn
+    LEFT JOIN deepest d ON c.conv_id = d.conv_id AND c.turn = d.turn
     LEFT JOIN answers a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
-    LEFT JOIN edges e ON c.conv_id = e.conv_id AND c.call_id = e.call_id)
+    LEFT JOIN lacking k ON c.conv_id = k.conv_id AND c.call_id = k.call_id)
 SELECT conv_id, call_id, turn, order_turn, CAST(order_hops AS INTEGER) AS order_hops,
-       CASE WHEN broken THEN 'invalid_json' WHEN problems <> '' THEN 'invalid_arguments' WHEN cycle = 1 THEN 'cycle' WHEN lacks THEN 'missing_dependency'
+       CASE WHEN broken THEN 'invalid_json' WHEN problems <> '' THEN 'invalid_arguments' WHEN cycle THEN 'cycle' WHEN lacks THEN 'missing_dependency'
             WHEN n_results IS NULL THEN 'missing_result' ELSE 'linked' END AS status,
        problems, n_calls, coalesce(n_results, 0) AS n_results, result_turn,
        '{"arguments":' || CASE WHEN broken THEN 'null' WHEN n % 3 = 0 THEN '{"limit":' || CASE WHEN n % 7 = 0 THEN '"' || w || '"' ELSE '' || w END || ',"query":' || j || '}'

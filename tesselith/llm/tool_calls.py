@@ -5,12 +5,13 @@ put in an order in which each follows those it depends on, their arguments are
 checked against the tool's schema, and each call becomes one line of canonical
 JSON: keys sorted, no blanks, numbers in one form.
 
-Order: a call's label is the largest of its own place and, for each call it
-depends on, that one's label with one more hop; sorting by label keeps the
-order of the chat except where a call stands before one it depends on. Only the
-calls whose labels change take part in a further round, so the number of rounds
-is the longest chain of such displaced calls, not the length of a chat. A label
-that comes back to the call it started from marks a cycle.
+Order: a call's label is the latest place in the chat among its own and those of
+all calls it depends on, however far; calls of one label are ordered by hops,
+their longest chain of needs among calls of that label. Sorting by label, hops
+and turn puts each call after those it depends on and keeps the order of the
+chat except where a call stands before one it depends on. Both labels and hops
+are found in rounds that halve chains and touch displaced calls only; see
+``reached`` and ``levels`` for why they end on any graph.
 
 Each call is a row of its own, with a label to sort by, so no chat, however
 long, is gathered in one task.
@@ -20,7 +21,8 @@ smallest turn is meant, and ``n_calls`` tells how many there are; of several
 results the one with the smallest turn, then the least text; results without a call are rows with status
 ``orphan_result``; a call without result is ``missing_result``; a dependency
 that is no call of the chat is ignored for the order and makes
-``missing_dependency``; calls in a cycle, or displaced by one, are ``cycle``;
+``missing_dependency``; calls in a cycle, or that need one whose label they
+share, are ``cycle`` with no hops; a null turn is before all others;
 null identifiers are no calls or results; arguments that are no JSON object, or
 repeat a key, are ``invalid_json``; arguments that break the schema, or name an unknown tool, are
 ``invalid_arguments``; null texts count as JSON null; an empty table gives an
@@ -47,6 +49,8 @@ TOOLS = (
 #: Spark's names of variant types by JSON Schema's.
 TYPES = {"integer": "BIGINT", "string": "STRING", "boolean": "BOOLEAN"}
 
+NO_TURN = -(1 << 63)
+
 
 def problems(tool: Column, arguments: Column, tools: tuple = TOOLS) -> Column:
     """The sorted problems of ``arguments`` (variant) with the schema of ``tool``, as an array of strings."""
@@ -71,41 +75,93 @@ def problems(tool: Column, arguments: Column, tools: tuple = TOOLS) -> Column:
     return per_tool
 
 
-def labels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, label) of the calls whose label isn't their own place.
-
-    ``calls``: conv_id, call_id, turn. ``edges``: conv_id, call_id, needs (another call of the chat).
-    A label is (turn, id, cycle, hops): whose place it is, whether that is in a cycle, the hops from there."""
-    place = F.struct(F.col("turn").alias("turn"), F.col("call_id").alias("id"), F.lit(0).alias("cycle"), F.lit(0).alias("hops"))
-    nodes = stage(calls.select("conv_id", "call_id", place.alias("label")), "nodes")
-    ends = nodes.select("conv_id", F.col("call_id").alias("needs"), F.col("label").alias("needed"))
-    edges = stage(edges.join(nodes, ["conv_id", "call_id"]).select("conv_id", "call_id", "needs", F.col("label").alias("own")), "edges")
-
-    def offered(from_: DataFrame, known: DataFrame | None) -> DataFrame:
-        """The labels that change when those of ``from_`` (conv_id, needs, needed) are passed on."""
-        n = F.col("needed")
-        same = (n["turn"] == F.col("own.turn")) & (n["id"] == F.col("own.id"))
-        next_ = F.struct(
-            n["turn"].alias("turn"),
-            n["id"].alias("id"),
-            F.when((n["cycle"] == 1) | same, 1).otherwise(0).alias("cycle"),
-            F.when((n["cycle"] == 1) | same, 0).otherwise(n["hops"] + 1).alias("hops"),
-        )
-        best = edges.join(from_, ["conv_id", "needs"]).withColumn("next", next_).groupBy("conv_id", "call_id").agg(F.max("next").alias("label"), F.first("own").alias("own"))
-        if known is None:
-            return best.where(F.col("label") > F.col("own")).select("conv_id", "call_id", "label")
-        current = known.select("conv_id", "call_id", F.col("label").alias("now"))
-        return best.join(current, ["conv_id", "call_id"], "left").where(F.col("label") > F.coalesce("now", "own")).select("conv_id", "call_id", "label")
-
-    changed = stage(offered(ends, None), "changed")
-    known = changed
+def reached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, label) of the calls that reach a later place than their own: the latest one.
+
+    ``nodes``: conv_id, call_id, place (turn, id). ``edges``: conv_id, call_id, own, needs, needed (both places).
+    A round takes the labels of the calls needed, and the label of the call that the own label names, so a
+    chain takes as many rounds as the logarithm of its length. Only calls near a change take part."""
+    keys = ["conv_id", "call_id"]
+    start = edges.where(F.col("needed") > F.col("own")).groupBy(*keys).agg(F.max("needed").alias("label"))
+    changed = known = stage(start, "changed")
     while not changed.isEmpty():
-        passed = changed.select("conv_id", F.col("call_id").alias("needs"), F.col("label").alias("needed"))
-        changed = stage(offered(passed, known), "changed")
-        known = stage(known.unionByName(changed).groupBy("conv_id", "call_id").agg(F.max("label").alias("label")), "known")
+        news = changed.select("conv_id", F.col("call_id").alias("of"), F.col("label").alias("news"))
+        by_need = edges.withColumn("of", F.col("needs")).join(news, ["conv_id", "of"]).select(*keys, "own", "news")
+        by_label = known.withColumn("of", F.col("label.id")).join(news, ["conv_id", "of"]).select(*keys, F.lit(None).cast(edges.schema["own"].dataType).alias("own"), "news")
+        best = by_need.unionByName(by_label).groupBy(*keys).agg(F.max("news").alias("news"), F.max("own").alias("own"))
+        now = known.select(*keys, F.col("label").alias("now"))
+        better = best.join(now, keys, "left").where(F.col("news") > F.coalesce("now", "own"))
+        changed = stage(better.select(*keys, F.col("news").alias("label")), "changed")
+        known = stage(known.unionByName(changed).groupBy(*keys).agg(F.max("label").alias("label")), "known")
     return known
 
 
+def levels(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, hops, cycle) of the calls of ``edges`` (conv_id, call_id, needs): the longest chain of needs, or that there is none.
+
+    Each call's level is the largest of levels of others plus so many hops, and of a constant. A round settles
+    calls without open needs, and puts a call's one open need in the place of the call itself wherever that is
+    needed, so chains shrink by half. A call that comes to need itself, or by more hops than its chat has calls,
+    is in a cycle. Where nothing can be replaced, what is open needs a cycle, for the last of a chain would be
+    settled. So rounds end, and their number is the logarithm of the longest chain for each call with several
+    open needs along it."""
+    keys = ["conv_id", "call_id"]
+    state = stage(edges.select(*keys, F.col("needs").alias("needs"), F.lit(1).cast("bigint").alias("hops"), F.lit(False).alias("cycle")), "needs")
+    longest = state.groupBy("conv_id").agg(F.count_distinct("call_id").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    open_ = F.col("needs").isNotNull() & ~F.col("cycle")
+    while True:
+        calls = state.groupBy(*keys).agg(
+            F.count_if(F.col("needs").isNotNull()).alias("n_open"),
+            F.coalesce(F.max(F.when(F.col("needs").isNull(), F.col("hops"))), F.lit(0)).alias("least"),
+            F.max(F.when(F.col("needs").isNotNull(), F.struct("hops", "needs"))).alias("one"),
+            F.bool_or(F.col("cycle") | F.coalesce(F.col("needs") == F.col("call_id"), F.lit(False)) | (F.col("hops") > longest)).alias("bad"),
+        )
+        needed = calls.select(F.col("conv_id").alias("of_chat"), F.col("call_id").alias("of"), "n_open", "least", "one", "bad")
+        met = stage(state.join(needed, (F.col("conv_id") == F.col("of_chat")) & (F.col("needs") == F.col("of")), "left"), "met")
+        stays = (F.col("n_open") > 1) & ~F.col("bad")
+        if met.where(open_ & ~F.coalesce(stays, F.lit(False))).isEmpty():
+            return state.groupBy(*keys).agg(F.max("hops").cast("int").alias("hops"), F.bool_or(F.col("cycle") | F.col("needs").isNotNull()).alias("cycle"))
+        none = F.lit(None).cast("string")
+        row = lambda needs, hops, cycle: F.struct(needs.alias("needs"), hops.cast("bigint").alias("hops"), cycle.alias("cycle"))
+        no = F.lit(False)
+        after = F.col("hops") + F.coalesce("least", F.lit(0))
+        next_ = (
+            F.when(~open_ | F.coalesce(stays, no), F.array(row(F.col("needs"), F.col("hops"), F.col("cycle"))))
+            .when(F.col("bad"), F.array(row(none, F.lit(0), F.lit(True))))
+            .when(F.coalesce(F.col("n_open"), F.lit(0)) == 0, F.array(row(none, after, no)))
+            .otherwise(F.array(row(none, after, no), row(F.col("one.needs"), F.col("hops") + F.col("one.hops"), no)))
+        )
+        rows = met.select(*keys, F.explode(next_).alias("next")).select(*keys, "next.*")
+        # A call that is known to be in a cycle, or to need one, has no open needs any more.
+        merged = rows.groupBy(*keys, "needs").agg(F.max("hops").alias("hops"), F.bool_or(F.col("cycle") | F.coalesce(F.col("needs") == F.col("call_id"), no) | (F.col("hops") > longest)).alias("cycle"))
+        bad = merged.where("cycle").select(*keys).distinct().withColumn("spoilt", F.lit(True))
+        settled = merged.join(bad, keys, "left").where(F.col("spoilt").isNull()).drop("spoilt")
+        spoilt = bad.select(*keys, none.alias("needs"), F.lit(0).cast("bigint").alias("hops"), F.lit(True).alias("cycle"))
+        state = stage(settled.unionByName(spoilt), "needs")
+
+
+def labels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, label) of the calls whose label isn't their own place alone.
+
+    ``calls``: conv_id, call_id, turn. ``edges``: conv_id, call_id, needs (a call of the chat).
+    A label is (turn, cycle, hops): the latest place that the call reaches, whether calls of that label can't be
+    put in order here, and the hops among them."""
+    place = F.struct(F.coalesce(F.col("turn").cast("bigint"), F.lit(NO_TURN)).alias("turn"), F.col("call_id").alias("id"))
+    nodes = calls.select("conv_id", "call_id", place.alias("own"))
+    ends = nodes.select("conv_id", F.col("call_id").alias("needs"), F.col("own").alias("needed"))
+    edges = stage(edges.join(nodes, ["conv_id", "call_id"]).join(ends, ["conv_id", "needs"]).select("conv_id", "call_id", "own", "needs", "needed"), "edges")
+    known = reached(nodes, edges)
+    mine = known.select("conv_id", "call_id", F.col("label").alias("mine"))
+    theirs = known.select("conv_id", F.col("call_id").alias("needs"), F.col("label").alias("theirs"))
+    within = edges.join(mine, ["conv_id", "call_id"], "left").join(theirs, ["conv_id", "needs"], "left")
+    within = stage(within.where(F.coalesce("mine", "own")["turn"] == F.coalesce("theirs", "needed")["turn"]).select("conv_id", "call_id", "needs", F.coalesce("mine", "own")["turn"].alias("turn")), "within")
+    order = levels(within.select("conv_id", "call_id", "needs"))
+    own = within.select("conv_id", "call_id", "turn").distinct()
+    return own.join(order, ["conv_id", "call_id"]).select(
+        "conv_id", "call_id", F.struct(F.nullif(F.col("turn"), F.lit(NO_TURN)).alias("turn"), F.col("cycle").cast("int").alias("cycle"), F.when(F.col("cycle"), 0).otherwise(F.col("hops")).alias("hops")).alias("label")
+    )
+
+
 def link(calls: DataFrame, results: DataFrame, tools: tuple = TOOLS) -> DataFrame:
     """One row per call, and per result without one: conv_id, call_id, turn, order_turn, order_hops, status,
     problems, n_calls, n_results, result_turn, line (canonical JSON).
@@ -160,7 +216,7 @@ def link(calls: DataFrame, results: DataFrame, tools: tuple = TOOLS) -> DataFram
         "conv_id",
         "call_id",
         "turn",
-        F.coalesce("label.turn", "turn").alias("order_turn"),
+        F.when(F.col("label").isNull(), F.col("turn")).otherwise(F.col("label.turn").cast(dict(one.dtypes)["turn"])).alias("order_turn"),
         F.coalesce(F.col("label.hops"), F.lit(0)).alias("order_hops"),
         status.alias("status"),
         F.concat_ws("; ", "problems").alias("problems"),
@@ -189,7 +245,7 @@ def link(calls: DataFrame, results: DataFrame, tools: tuple = TOOLS) -> DataFram
 def derived_calls(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that stand for a chat's (conv_id, turn, role, text): each assistant turn makes a call,
     and each user turn after the first is a result for the turn before it. The text decides on the tool, the
-    arguments, and whether the call needs the assistant's next turn, its last one, or none."""
+    arguments, and whether the call needs the assistant's next turn, its last one, both, or none."""
     n = F.length(F.coalesce("text", F.lit("")))
     words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
     turn = lambda k: F.concat(F.lit("c"), (F.col("turn") + k).cast("string"))
@@ -199,7 +255,7 @@ def derived_calls(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     translate = F.concat(F.lit('{"to": "'), F.when(n % 5 == 0, "xx").otherwise("en"), F.lit('", "text": '), text, F.lit("}"))
     lookup = F.when(n % 11 == 0, F.lit('{"exact": true, "id": ')).otherwise(F.concat(F.lit('{"exact": true, "id": '), F.col("turn").cast("string"), F.lit("}")))
     tool = F.when(n % 3 == 0, "search").when(n % 3 == 1, "translate").otherwise("lookup")
-    needs = F.when(n % 5 == 0, F.array(turn(2))).when(words % 2 == 0, F.array(turn(-2))).otherwise(F.array().cast("array<string>"))
+    needs = F.concat(F.when(n % 5 == 0, F.array(turn(2))).otherwise(F.array().cast("array<string>")), F.when(words % 2 == 0, F.array(turn(-2))).otherwise(F.array().cast("array<string>")))
     calls = chats.where("role = 'assistant'").select(
         "conv_id", turn(0).alias("call_id"), "turn", tool.alias("tool"), F.when(n % 3 == 0, search).when(n % 3 == 1, translate).otherwise(lookup).alias("arguments"), needs.alias("needs")
     )

@@ -335,6 +335,76 @@ def test_tool_call_order_is_topological(spark):
     assert all(got[n] < got[c] for _, c, _, _, _, needs in rows for n in needs)
 
 
+CALLS = "conv_id bigint, call_id string, turn bigint, tool string, arguments string, needs array<string>, place string, own string, hops int"
+RESULTS = "conv_id bigint, call_id string, turn bigint, content string, c string"
+
+
+def python_order(needs):
+    """(label, hops, in or behind a cycle of its label) by call; ``needs``: turn -> turns."""
+    reach = {}
+    for c in needs:
+        seen, todo = set(), list(needs[c])
+        while todo:
+            d = todo.pop()
+            if d not in seen:
+                seen.add(d)
+                todo += needs[d]
+        reach[c] = seen
+    label = {c: max([c, *reach[c]]) for c in needs}
+    spoilt = {c for c in needs if any(d in reach[d] and label[d] == label[c] for d in {c, *reach[c]})}
+
+    def hops(c):
+        return 0 if c in spoilt else max((1 + hops(d) for d in needs[c] if label[d] == label[c]), default=0)
+
+    return {c: (label[c], hops(c), c in spoilt) for c in needs}
+
+
+@pytest.mark.parametrize("odds", [0.4, 1.2])
+def test_tool_call_order_equals_brute_force(spark, odds):
+    r, rows, want = random.Random(int(odds * 10)), [], {}
+    for chat in range(25):
+        size = r.choice((2, 3, 5, 9, 14))
+        needs = {i: r.sample(range(size), min(size, int(odds * 2 * r.random() + 0.5))) for i in range(size)}
+        rows += [(chat, f"c{i}", i, "lookup", '{"id": 1}', [f"c{j}" for j in needs[i]], "x", "y", 1) for i in range(size)]
+        want |= {(chat, f"c{i}"): v for i, v in python_order(needs).items()}
+    got = tool_calls.link(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS)).collect()
+    assert {(x.conv_id, x.call_id): (x.order_turn, x.order_hops, x.status == "cycle") for x in got} == want
+
+
+def test_tool_call_cycle_that_needs_a_later_call(spark):
+    rows = [(1, "a", 1, "lookup", '{"id": 1}', ["b", "c"]), (1, "b", 2, "lookup", '{"id": 1}', ["a"]), (1, "c", 9, "lookup", '{"id": 1}', []), (1, "d", 0, "lookup", '{"id": 1}', ["a"]), (1, "e", 20, "lookup", '{"id": 1}', ["a"])]
+    rows += [(2, f"x{i}", i, "lookup", '{"id": 1}', [f"x{(i + 1) % 7}"]) for i in range(7)] + [(3, "s", 1, "lookup", '{"id": 1}', ["s"])]
+    rows += [(4, "n", None, "lookup", '{"id": 1}', ["m"]), (4, "m", None, "lookup", '{"id": 1}', [])]
+    got = tool_calls.link(spark.createDataFrame([(*x, "x", "y", 1) for x in rows], CALLS), spark.createDataFrame([], RESULTS)).collect()
+    by = {(x.conv_id, x.call_id): (x.status, x.order_turn, x.order_hops) for x in got}
+    assert len(got) == len(rows) and all(by[1, k] == ("cycle", 9, 0) for k in "abd")
+    assert by[1, "c"] == ("missing_result", 9, 0) and by[1, "e"] == ("missing_result", 20, 0)
+    assert all(by[2, f"x{i}"] == ("cycle", 6, 0) for i in range(7)) and by[3, "s"] == ("cycle", 1, 0)
+    assert by[4, "n"] == ("missing_result", None, 1) and by[4, "m"] == ("missing_result", None, 0)
+
+
+def test_long_displaced_chains_take_few_rounds(spark, monkeypatch):
+    n, staged = 300, []
+    stage = tool_calls.stage
+    monkeypatch.setattr(tool_calls, "stage", lambda df, name="stage": staged.append(name) or stage(df, name))
+    rows = [(1, f"c{i}", i, "lookup", '{"id": 1}', [f"c{i + 1}"] if i + 1 < n else [], "x", "y", 1) for i in range(n)]
+    got = {x.turn: (x.order_turn, x.order_hops) for x in tool_calls.link(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS)).collect()}
+    assert got == {i: (n - 1, n - 1 - i) for i in range(n)} and len(staged) < 60
+
+
+def test_query_tool_calls_equals_sql(spark):
+    import duckdb
+
+    from tesselith.llm import queries
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    want = con.sql(queries.OP6_SQL)
+    got = queries.op6_tool_calls(spark, "/root/testdata/sf0.001").select(*want.columns).collect()
+    assert Counter(map(tuple, got)) == Counter(want.fetchall())
+    assert {"cycle", "linked"} <= {r.status for r in got} and max(r.order_hops for r in got) > 0
+
+
 # --- archives
 
 
