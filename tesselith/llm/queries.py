@@ -118,7 +118,7 @@ reach AS (
     UNION
     SELECT r.conv_id, r.turn, e.needs FROM reach r JOIN edges e ON r.conv_id = e.conv_id AND r.far = e.turn),
 label AS (SELECT c.conv_id, c.turn, greatest(c.turn, coalesce(max(far), c.turn)) AS order_turn, coalesce(bool_or(far = c.turn), false) AS round
-          FROM calls c LEFT JOIN reach r ON c.conv_id = r.conv_id AND c.turn = r.turn GROUP BY ALL),
+          FROM calls c LEFT JOIN reach r ON c.conv_id = r.conv_id AND c.turn = r.turn GROUP BY c.conv_id, c.turn),
 cyclic AS (
     SELECT conv_id, turn FROM label WHERE round
     UNION SELECT a.conv_id, a.turn FROM reach r JOIN label a ON r.conv_id = a.conv_id AND r.turn = a.turn

@@ -80,14 +80,15 @@ def reached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes``: conv_id, call_id, place (turn, id). ``edges``: conv_id, call_id, own, needs, needed (both places).
     A round takes the labels of the calls needed, and the label of the call that the own label names, so a
-    chain takes as many rounds as the logarithm of its length. Only calls near a change take part."""
+    chain takes as many rounds as the logarithm of its length. Only displaced calls and those that need them take part."""
     keys = ["conv_id", "call_id"]
     start = edges.where(F.col("needed") > F.col("own")).groupBy(*keys).agg(F.max("needed").alias("label"))
     changed = known = stage(start, "changed")
     while not changed.isEmpty():
         news = changed.select("conv_id", F.col("call_id").alias("of"), F.col("label").alias("news"))
         by_need = edges.withColumn("of", F.col("needs")).join(news, ["conv_id", "of"]).select(*keys, "own", "news")
-        by_label = known.withColumn("of", F.col("label.id")).join(news, ["conv_id", "of"]).select(*keys, F.lit(None).cast(edges.schema["own"].dataType).alias("own"), "news")
+        ahead = known.select("conv_id", F.col("call_id").alias("of"), F.col("label").alias("news"))
+        by_label = known.withColumn("of", F.col("label.id")).join(ahead, ["conv_id", "of"]).select(*keys, F.lit(None).cast(edges.schema["own"].dataType).alias("own"), "news")
         best = by_need.unionByName(by_label).groupBy(*keys).agg(F.max("news").alias("news"), F.max("own").alias("own"))
         now = known.select(*keys, F.col("label").alias("now"))
         better = best.join(now, keys, "left").where(F.col("news") > F.coalesce("now", "own"))
