@@ -398,9 +398,9 @@ def test_query_tool_calls_equals_sql(spark):
     from tesselith.llm import queries
 
     con = duckdb.connect()
-    con.sql("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    con.sql("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.01/conversations.parquet'")
     want = con.sql(queries.OP6_SQL)
-    got = queries.op6_tool_calls(spark, "/root/testdata/sf0.001").select(*want.columns).collect()
+    got = queries.op6_tool_calls(spark, "/root/testdata/sf0.01").select(*want.columns).collect()
     assert Counter(map(tuple, got)) == Counter(want.fetchall())
     assert {"cycle", "linked"} <= {r.status for r in got} and max(r.order_hops for r in got) > 0
 
