@@ -5,28 +5,35 @@ IP date type result checksum location offset filename length``; a version block
 (``filedesc://``) says which, and without one the number of fields does. Each is
 followed by so many bytes as it declares. The converter parses these and makes equivalent WARC records: an
 identifier that depends on the record alone, an ISO timestamp, a type and the
-SHA-256 digest of the payload.
+SHA-256 digest of the payload. A version block becomes a ``warcinfo`` record, an
+HTTP capture a ``response`` or a ``revisit``, and anything else (``dns:`` lookups,
+FTP files) a ``resource`` of its declared content type.
 
 Archives are gzip files, written and committed by Spark's own writer: each row
 of the writer is a whole record, and its line separator is what ends a record.
-Files are read whole, one task each, and parsed as a stream; the writer bounds
-their size.
+They are read by Spark's text reader in lines and put together again in the task,
+so a task holds a batch of lines and one record, however large the file.
 
 Defined results: a null or empty body is a record with an empty payload; a null
-URL becomes ``urn:page:<id>``, and blanks in one are escaped; a date that is not
-a number of 8 to 14 digits becomes the epoch; a truncated record is dropped; of
-records with equal payloads of MIN_PAYLOAD bytes or more that with the smallest
-id is the response, and where that id is repeated all of its records are; an
-empty table gives empty archives; other columns are not read.
+URL becomes ``urn:page:<id>``, and blanks in one are escaped by the writer; a
+header is read from both ends, so that blanks in a foreign URL stay in it; a
+header with other fields but a URL first and a length last keeps its record,
+with what is missing as ``-``; other lines between records are skipped; a date
+that is not a number of 8 to 14 digits becomes the epoch; a record that is cut
+off is kept and marked ``WARC-Truncated``; of pages with equal payloads of
+MIN_PAYLOAD bytes or more that with the smallest id is the response, and where
+that id is repeated all of its records are; records without an id are no revisits;
+an empty table gives empty archives; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +42,8 @@ from tesselith.session import ship_package
 from tesselith.staging import shared_folder, stage
 
 MIN_PAYLOAD = 100
-#: Bytes, before compression, that files of usual records have, and that none has unless one record does.
-FILE_BYTES = 32 << 20
-MOST_FILE_BYTES = 256 << 20
-CHUNK = 1 << 20
+#: Records of one file. Files are read in streams, so their size matters to the number of tasks alone.
+FILE_RECORDS = 1 << 14
 
 # Fixed values of the two formats.
 ARC_1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
@@ -49,8 +54,6 @@ WARC_END = "\r\n\r\n"
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-RECORD = "page_id bigint, url string, ip string, date string, http string, payload string"
-
 
 def octets(text: Column) -> Column:
     return F.octet_length(text)
@@ -68,14 +71,20 @@ def http_head(page_id: Column, body: Column) -> Column:
 
 
 def _write(records: DataFrame, path: str, end: str) -> None:
-    """One archive record, ``record``, a row. Files have about FILE_BYTES; the largest record bounds their number of rows."""
-    sizes = records.agg(F.avg(octets(F.col("record"))).alias("mean"), F.max(octets(F.col("record"))).alias("most")).first()
-    rows = max(1, int(min(FILE_BYTES / max(sizes["mean"] or 1, 1), MOST_FILE_BYTES / max(sizes["most"] or 1, 1))))
-    records.select(F.col("record").alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", rows).option("compression", "gzip").text(path)
+    """One archive record, ``record``, a row."""
+    records.select(F.col("record").alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+
+
+def version_block(version: int) -> Column:
+    """What an ARC file begins with."""
+    fields = ARC_1_FIELDS if version == 1 else ARC_2_FIELDS
+    block = f"{version} 0 tesselith\n{fields}\n"
+    between = "" if version == 1 else " 200 - - 0 pages.arc"
+    return F.lit(f"filedesc://pages.arc 0.0.0.0 20010909014640 text/plain{between} {len(block)}\n{block}\n")
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 2) -> None:
-    """An ARC archive of (page_id, url, html), without version blocks, which a writer of rows can't put first in each file."""
+    """An ARC archive of (page_id, url, html)."""
     body = F.coalesce("html", F.lit(""))
     url = F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))), r"\s", "%20")
     block = F.concat(http_head(F.col("page_id"), body), body)
@@ -85,29 +94,23 @@ def write_arc(pages: DataFrame, path: str, version: int = 2) -> None:
         fields = [url, F.lit("0.0.0.0"), date, F.lit("text/html"), length]
     else:
         fields = [url, F.lit("0.0.0.0"), date, F.lit("text/html"), F.lit("200"), F.md5(body), F.lit("-"), F.lit("0"), F.lit("pages.arc"), length]
-    _write(pages.select(F.concat(F.concat_ws(" ", *fields), F.lit("\n"), block).alias("record")), path, ARC_END)
+    # A task's rows are numbered from 0 in the low bits, and it begins a file after each FILE_RECORDS rows.
+    begins = F.monotonically_increasing_id().bitwiseAND(F.lit(FILE_RECORDS - 1)) == 0
+    head = F.when(begins, version_block(version)).otherwise(F.lit(""))
+    _write(pages.select(F.concat(head, F.concat_ws(" ", *fields), F.lit("\n"), block).alias("record")), path, ARC_END)
 
 
 class Stream:
-    """The bytes of a gzip file of any number of members, read in lines and counts."""
+    """The bytes of a file, given in chunks, read in lines and counts."""
 
-    def __init__(self, content: bytes) -> None:
-        self.content, self.at, self.buffer = memoryview(content), 0, bytearray()
-        self.inflate = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
+    def __init__(self, chunks: Iterator[bytes]) -> None:
+        self.chunks, self.buffer = chunks, bytearray()
 
     def more(self) -> bool:
-        if self.inflate is not None and self.inflate.eof:
-            rest = self.inflate.unused_data
-            if not rest and self.at >= len(self.content):
-                return False
-            self.inflate = zlib.decompressobj(31)
-            self.buffer += self.inflate.decompress(rest)
-            return True
-        if self.at >= len(self.content):
+        chunk = next(self.chunks, None)
+        if chunk is None:
             return False
-        some = self.content[self.at : self.at + CHUNK]
-        self.at += CHUNK
-        self.buffer += some if self.inflate is None else self.inflate.decompress(some)
+        self.buffer += chunk
         return True
 
     def line(self) -> bytes | None:
@@ -120,47 +123,60 @@ class Stream:
         del self.buffer[: at + 1]
         return out
 
-    def take(self, n: int) -> bytes | None:
-        while len(self.buffer) < n:
-            if not self.more():
-                return None
+    def take(self, n: int) -> bytes:
+        """So many bytes, or what is left."""
+        while len(self.buffer) < n and self.more():
+            pass
         out = bytes(self.buffer[:n])
         del self.buffer[:n]
         return out
 
 
-def _http(block: bytes) -> tuple[str, bytes, dict[str, str]]:
+def _http(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
     """The HTTP lines of a block, its payload, and the lines by lower-case name."""
     if not block.startswith(b"HTTP/"):
-        return "", block, {}
-    head, _, payload = block.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    return head.decode("utf-8", "replace") + "\r\n\r\n", payload, {k.lower(): v for k, v in fields.items()}
-
-
-def parse_arc(content: bytes) -> Iterator[tuple[list[str], bytes]]:
-    """(header fields, block) of each record of either version, but for version blocks."""
-    stream, fields = Stream(content), 0
+        return b"", block, {}
+    end = re.search(rb"\r?\n\r?\n", block)
+    at = end.end() if end else len(block)
+    fields = dict(line.split(": ", 1) for line in block[:at].decode("utf-8", "replace").splitlines()[1:] if ": " in line)
+    return block[:at], block[at:], {k.lower(): v for k, v in fields.items()}
+
+
+# Each field but the URL, which comes first, and the content type is free of blanks, so both may have some.
+_ARC_HEADS = {
+    10: re.compile(r"(\S.*) (\S+) (\d{1,14}|-) (\S.*?) (\d{1,3}|-) (\S+) (\S+) (\d+|-) (\S+) (\d+)"),
+    5: re.compile(r"(\S.*) (\S+) (\d{1,14}|-) (\S.*?) (\d+)"),
+}
+
+
+def arc_header(head: str, fields: int) -> list[str] | None:
+    """URL, IP, date, content type and length of a header line. ``fields``: how many the version block named, or 0."""
+    for count in (fields,) if fields else (10, 5):
+        if found := _ARC_HEADS[count].fullmatch(head):
+            return [*found.group(1, 2, 3, 4), found[count]]
+    parts = head.split()
+    if len(parts) > 1 and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", parts[0]) and parts[-1].isdigit():
+        return [parts[0], "-", next((p for p in parts[1:-1] if re.fullmatch(r"\d{8,14}", p)), "-"), "-", parts[-1]]
+    return None
+
+
+def parse_arc(stream: Stream) -> Iterator[tuple[list[str], bytes]]:
+    """(URL, IP, date, content type and length; block) of each record of either version, version blocks too."""
+    fields = 0
     while (line := stream.line()) is not None:
         head = line.decode("utf-8", "replace").rstrip("\r\n")
-        if not head:
-            continue
-        parts = head.split(" ")
-        if head.startswith("filedesc://"):
-            block = stream.take(int(parts[-1])) or b""
-            fields = 10 if block.startswith(b"2 ") else 5
-            continue
-        if len(parts) not in (5, 10) or (fields and len(parts) != fields) or not parts[-1].isdigit():
+        is_version = head.startswith("filedesc://")
+        parts = arc_header(head, 0 if is_version else fields)
+        if parts is None:
             continue
         block = stream.take(int(parts[-1]))
-        if block is None:
-            return
+        if is_version:
+            fields = 10 if block.startswith(b"2 ") else 5
         yield parts, block
 
 
-def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(stream: Stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header by lower-case name, block) of each record."""
-    stream = Stream(content)
     while (line := stream.line()) is not None:
         if not line.startswith(b"WARC/"):
             continue
@@ -168,10 +184,7 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.line()) is not None and line.strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             header[name.strip().lower()] = value.strip()
-        block = stream.take(int(header.get("content-length", "0")))
-        if block is None:
-            return
-        yield header, block
+        yield header, stream.take(int(header.get("content-length", "0")))
 
 
 def _timestamp(digits: str) -> str:
@@ -195,29 +208,64 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], i
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-ARC_ROWS = "url string, ip string, timestamp string, type string, page_id bigint, http string, payload binary, payload_bytes bigint, payload_digest string, record_id string"
-_ARC_SCHEMA = pa.schema([("url", pa.string()), ("ip", pa.string()), ("timestamp", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("http", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string())])
+ARC_ROWS = "url string, ip string, timestamp string, type string, content_type string, page_id bigint, http binary, payload binary, payload_bytes bigint, payload_digest string, record_id string, cut boolean"
+_ARC_SCHEMA = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[t]) for n, t in (f.split() for f in ARC_ROWS.split(", "))])
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text and text.lstrip("-").isdigit() else None
+    return int(text) if text and re.fullmatch(r"-?\d{1,19}", text) else None
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[Stream]:
+    """The files of a task's lines (file, line), one after another; whatever of one isn't read is passed over."""
+    held: list[tuple[int, bytes]] = []
+
+    def pieces() -> Iterator[tuple[int, bytes]]:
+        for batch in batches:
+            files = batch.column("file").to_numpy()
+            cuts = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low:
+                    yield int(files[low]), b"\n".join(batch.column("line").slice(low, high - low).to_pylist()) + b"\n"
+
+    source = pieces()
+
+    def chunks(file: int) -> Iterator[bytes]:
+        while held or (piece := next(source, None)) is not None:
+            if held:
+                piece = held.pop()
+            if piece[0] != file:
+                held.append(piece)
+                return
+            yield piece[1]
+
+    while held or (piece := next(source, None)) is not None:
+        if not held:
+            held.append(piece)
+        own = chunks(held[-1][0])
+        yield Stream(own)
+        for _ in own:
+            pass
 
 
 def _read_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for content in batch.column("content"):
-                for head, block in parse_arc(content.as_buffer().to_pybytes()):
-                    http, payload, fields = _http(block)
-                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{head[0]} {head[2]} {fields.get('x-page-id', '')} {hashlib.sha256(block).hexdigest()}")
-                    yield head[0], head[1], _timestamp(head[2]), head[3], _number(fields.get("x-page-id")), http, payload, len(payload), hashlib.sha256(payload).hexdigest(), f"<urn:uuid:{name}>"
+        for stream in _files(batches):
+            for (url, ip, date, kind, length), block in parse_arc(stream):
+                http, payload, fields = _http(block)
+                is_version = url.startswith("filedesc://")
+                type_ = "warcinfo" if is_version else "response" if http else "resource"
+                kind = "application/http; msgtype=response" if http else "application/octet-stream" if kind == "-" else kind
+                name = uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {date} {fields.get('x-page-id', '')} {hashlib.sha256(block).hexdigest()}")
+                yield url, ip, _timestamp(date), type_, kind, _number(fields.get("x-page-id")), http, payload, len(payload), hashlib.sha256(payload).hexdigest(), f"<urn:uuid:{name}>", len(block) < int(length)
 
-    yield from _batches(rows(), _ARC_SCHEMA, lambda r: len(r[6]))
+    yield from _batches(rows(), _ARC_SCHEMA, lambda r: len(r[7]))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(content) of the archive's files, one row each. Spark deals out files by size, so that each is a task or part of one."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """(file, line) of the archive's files, in order within each, for these can't be split."""
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
+    return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -228,28 +276,30 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 
 def convert(records: DataFrame, key: str = "page_id") -> DataFrame:
     """WARC records, as ``record``, of ARC_ROWS. A payload of MIN_PAYLOAD bytes or more that a smaller id has makes a revisit of it."""
-    large = records.where(F.col("payload_bytes") >= MIN_PAYLOAD)
+    records = stage(records, "parsed")
+    large = records.where((F.col("payload_bytes") >= MIN_PAYLOAD) & (F.col("type") == "response") & F.col(key).isNotNull())
     # Counted in each task first, so a payload that very many pages have sends one row a task.
     first = large.groupBy("payload_digest").agg(F.min(F.struct(key, "record_id")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = stage(first.where("n > 1").select(F.col("payload_digest").alias("digest"), F.col("first.record_id").alias("refers_to"), F.col(f"first.{key}").alias("first_id")), "responses")
-    joined = records.join(first, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= MIN_PAYLOAD), "left")
-    revisit = F.col("digest").isNotNull() & ~F.col(key).eqNullSafe(F.col("first_id"))
+    joined = records.join(first, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= MIN_PAYLOAD) & (F.col("type") == "response") & F.col(key).isNotNull(), "left")
+    revisit = F.col("digest").isNotNull() & (F.col(key) != F.col("first_id"))
     payload = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     header = F.concat(
         F.lit(WARC_VERSION + CRLF),
-        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
+        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.col("type"))),
         line("WARC-Record-ID", F.col("record_id")),
         line("WARC-Date", F.col("timestamp")),
-        line("WARC-Target-URI", F.col("url")),
-        line("WARC-IP-Address", F.col("ip")),
+        F.when(F.col("type") == "warcinfo", line("WARC-Filename", F.substring("url", len("filedesc://") + 1, 1 << 20))).otherwise(line("WARC-Target-URI", F.regexp_replace("url", r"\s", "%20"))),
+        F.when(F.col("type").isin("warcinfo") | (F.col("ip") == "-"), F.lit("")).otherwise(line("WARC-IP-Address", F.col("ip"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", F.col("refers_to")), line("WARC-Profile", F.lit(REVISIT_PROFILE)))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", (octets(F.col("http")) + octets(payload)).cast("string")),
+        F.when(F.col("cut"), line("WARC-Truncated", F.lit("unspecified"))).otherwise(F.lit("")),
+        line("Content-Type", F.col("content_type")),
+        line("Content-Length", (F.octet_length("http") + octets(payload)).cast("string")),
         F.lit(CRLF),
     )
-    return joined.select(F.concat(header, F.col("http"), payload).alias("record"))
+    return joined.select(F.concat(header, F.col("http").cast("string"), payload).alias("record"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -263,15 +313,14 @@ _WARC_SCHEMA = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), (
 
 def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for content in batch.column("content"):
-                for header, block in parse_warc(content.as_buffer().to_pybytes()):
-                    _, payload, fields = _http(block)
-                    declared = header.get("warc-payload-digest", "").removeprefix("sha256:")
-                    kind = header.get("warc-type", "")
-                    digest = declared if kind == "revisit" else hashlib.sha256(payload).hexdigest()
-                    size = _number(fields.get("content-length")) if kind == "revisit" else len(payload)
-                    yield _number(fields.get("x-page-id")), header.get("warc-record-id"), kind, header.get("warc-target-uri"), header.get("warc-date"), size, digest, header.get("warc-refers-to"), digest == declared
+        for stream in _files(batches):
+            for header, block in parse_warc(stream):
+                _, payload, fields = _http(block)
+                declared = header.get("warc-payload-digest", "").removeprefix("sha256:")
+                kind = header.get("warc-type", "")
+                digest = declared if kind == "revisit" else hashlib.sha256(payload).hexdigest()
+                size = _number(fields.get("content-length")) if kind == "revisit" else len(payload)
+                yield _number(fields.get("x-page-id")), header.get("warc-record-id"), kind, header.get("warc-target-uri"), header.get("warc-date"), size, digest, header.get("warc-refers-to"), digest == declared
 
     yield from _batches(rows(), _WARC_SCHEMA, lambda r: 500)
 
@@ -283,8 +332,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(rows: DataFrame) -> DataFrame:
-    """WARC_ROWS with ``refers_to``, the page_id of the record that a revisit refers to."""
-    rows = stage(rows, "records")
+    """WARC_ROWS of captures with ``refers_to``, the page_id of the record that a revisit refers to."""
+    rows = stage(rows.where(F.col("record_type").isin("response", "revisit")), "records")
     wanted = rows.where("refers_to_id is not null").select(F.col("refers_to_id").alias("record_id")).distinct()
     targets = stage(rows.select("record_id", F.col("page_id").alias("refers_to")).join(wanted, "record_id", "left_semi").dropDuplicates(["record_id"]), "targets")
     return rows.join(targets.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")

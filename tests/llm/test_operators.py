@@ -408,30 +408,68 @@ def test_query_tool_calls_equals_sql(spark):
 # --- archives
 
 
-def test_archives_round_trip(spark, empty):
-    pages = spark.createDataFrame([(1, "http://a b/x", "<p>é</p>" * 20), (2, None, "<p>é</p>" * 20), (3, "u", None), (4, "u", ""), (5, "u", "s" * 99), (6, "u", "s" * 99), (7, "u", "a\r\n\r\nWARC/1.1\r\nb" * 20), (8, "u", "x" * 3_000_000), (9, "u", "<p>é</p>" * 20)], "page_id bigint, url string, html string")
-    got = {r.page_id: r for r in archives.round_trip(pages).collect()}
-    assert set(got) == set(range(1, 10)) and all(r.intact for r in got.values())
-    for p in pages.collect():
-        body = (p.html or "").encode()
-        assert (got[p.page_id].payload_bytes, got[p.page_id].payload_digest) == (len(body), hashlib.sha256(body).hexdigest())
-    assert {k: r.refers_to for k, r in got.items() if r.record_type == "revisit"} == {2: 1, 9: 1}
-    assert got[1].url == "http://a%20b/x" and got[2].url == "urn:page:2"
+def test_archives_round_trip(spark, empty, monkeypatch):
+    monkeypatch.setattr(archives, "FILE_RECORDS", 2)
+    rows = [(1, "http://a b/x", "<p>é</p>" * 20), (2, None, "<p>é</p>" * 20), (3, "u", None), (4, "u", ""), (5, "u", "s" * 99), (6, "u", "s" * 99), (7, "u", "a\r\n\r\nWARC/1.1\r\nb" * 20), (8, "u", "x" * 3_000_000), (9, "u", "<p>é</p>" * 20), (10, "u", "a\nb\n\n" * 40), (None, "u", "<p>é</p>" * 20)]
+    pages = spark.createDataFrame([(*r, "x", "y", 1, "z") for r in rows], "page_id bigint, url string, html string, record string, digest string, type string, file string")
+    got = archives.round_trip(pages).collect()
+    assert len(got) == len(rows) and all(r.intact for r in got)
+    by = {r.page_id: r for r in got}
+    for i, _, html in rows:
+        body = (html or "").encode()
+        assert (by[i].payload_bytes, by[i].payload_digest) == (len(body), hashlib.sha256(body).hexdigest())
+    assert {k: r.refers_to for k, r in by.items() if r.record_type == "revisit"} == {2: 1, 9: 1}
+    assert by[1].url == "http://a%20b/x" and by[2].url == "urn:page:2"
     assert archives.round_trip(pages.where("page_id < 0")).count() == 0
 
 
+def arc_file(version, records, note=b""):
+    fields = (archives.ARC_1_FIELDS, archives.ARC_2_FIELDS)[version - 1].encode()
+    block = b"%d 0 Org\n%s\n%s" % (version, fields, note)
+    middle = b"" if version == 1 else b" 200 - - 0 y.arc"
+    out = b"filedesc://x.arc 0.0.0.0 20010101000000 text/plain%s %d\n%s\n" % (middle, len(block), block)
+    for url, kind, body in records:
+        middle = b"" if version == 1 else b" 200 abc - 0 y.arc"
+        out += b"%s 1.2.3.4 20010203040506 %s%s %d\n%s\n" % (url, kind, middle, len(body), body)
+    return out
+
+
 def test_arc_versions_are_parsed():
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nhello\n\nworld"
-    one = b"filedesc://x.arc 0.0.0.0 20010101000000 text/plain 76\n1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n12345678901\n"
-    one = one.split(b"\n", 1)
-    version = b"1 0 Org\n" + archives.ARC_1_FIELDS.encode() + b"\n"
-    first = b"filedesc://x.arc 0.0.0.0 20010101000000 text/plain %d\n" % len(version) + version + b"\n" + b"http://u 1.2.3.4 20010203040506 text/html %d\n" % len(block) + block + b"\n"
-    version = b"2 0 Org\n" + archives.ARC_2_FIELDS.encode() + b"\n"
-    second = b"filedesc://y.arc 0.0.0.0 20010101000000 text/plain 200 - - 0 y.arc %d\n" % len(version) + version + b"\n" + b"http://v 1.2.3.4 20010203 text/html 200 abc - 0 y.arc %d\n" % len(block) + block + b"\nhttp://w 1.2.3.4 2001 text/html 200 abc - 0 y.arc 999\ncut off"
-    assert [(h[0], len(h), b) for h, b in archives.parse_arc(first)] == [("http://u", 5, block)]
-    assert [(h[0], len(h), b) for h, b in archives.parse_arc(second)] == [("http://v", 10, block)]
+    records = [(b"http://u", b"text/html", block), (b"http://a b/c  d", b"text/html; charset=utf-8", block), (b"dns:u", b"text/dns", b"20010203\nu. 1 IN A 1.2.3.4\n")]
+    for version in (1, 2):
+        content = arc_file(version, records) + b"odd line\nhttp://no/fields 12\nhello\nworld\n\nhttp://last 1.2.3.4 2001 text/html" + (b"" if version == 1 else b" 200 abc - 0 y.arc") + b" 999\ncut off"
+        for step in (1, 7, 1 << 20):
+            got = list(archives.parse_arc(archives.Stream(iter([content[i : i + step] for i in range(0, len(content), step)]))))
+            assert [h[0] for h, _ in got] == ["filedesc://x.arc", "http://u", "http://a b/c  d", "dns:u", "http://no/fields", "http://last"]
+            assert [b for _, b in got[1:4]] == [r[2] for r in records] and got[2][0][3] == "text/html; charset=utf-8"
+            assert got[4][1] == b"hello\nworld\n" and got[5][1] == b"cut off"
     assert archives._timestamp("20010203040506") == "2001-02-03T04:05:06Z" and archives._timestamp("20010203") == "2001-02-03T00:00:00Z" and archives._timestamp("x") == "1970-01-01T00:00:00Z"
-    del one
+
+
+def test_foreign_archives_are_converted(spark, tmp_path):
+    """Several gzip members and files, records that are no HTTP or no UTF-8, and long ones."""
+    import gzip
+
+    latin = "HTTP/1.0 200 OK\nServer: é\n\nnaïve".encode("latin-1")
+    large = b"HTTP/1.1 200 OK\r\n\r\n" + b"line\n" * 400_000
+    first = arc_file(1, [(b"dns:u", b"text/dns", b"20010203\nu. 1 IN A 1.2.3.4\n"), (b"http://a b", b"text/html", latin)], b"more\n")
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc.gz").write_bytes(gzip.compress(first) + gzip.compress(arc_file(2, [(b"http://v", b"text/html", large)])))
+    (tmp_path / "arc" / "b.arc.gz").write_bytes(gzip.compress(arc_file(2, [(b"ftp://f", b"image/png", bytes(range(256)) * 3), (b"http://v", b"text/html", large)])))
+    rows = archives.read_arc(spark, f"file://{tmp_path}/arc")
+    archives.write_warc(archives.convert(rows), f"file://{tmp_path}/warc")
+    lines = archives.read_files(spark, f"file://{tmp_path}/warc")
+    got = []
+    for stream in archives._files(iter(lines.toArrow().to_batches())):
+        got += list(archives.parse_warc(stream))
+    kinds = sorted((h["warc-type"], h.get("warc-target-uri", ""), h["content-type"]) for h, _ in got)
+    http = "application/http; msgtype=response"
+    assert kinds == [("resource", "dns:u", "text/dns"), ("resource", "ftp://f", "image/png"), ("response", "http://a%20b", http), ("response", "http://v", http), ("response", "http://v", http), *[("warcinfo", "", "text/plain")] * 3]
+    blocks = [b for _, b in got]
+    assert latin in blocks and blocks.count(large) == 2 and bytes(range(256)) * 3 in blocks
+    assert all(int(h["content-length"]) == len(b) for h, b in got)
+    assert all(h["warc-payload-digest"] == "sha256:" + hashlib.sha256(archives._http(b)[1]).hexdigest() for h, b in got)
 
 
 # --- quality
