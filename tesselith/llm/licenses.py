@@ -144,9 +144,9 @@ def _python_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def template_rows(templates: dict[str, str]) -> list[tuple[str, str, int]]:
-    """(license, bigram, bigrams of the license)."""
-    return [(name, pair, len(pairs)) for name, text in templates.items() for pairs in [_python_bigrams(text)] for pair in pairs]
+def template_rows(templates: dict[str, str]) -> list[tuple[str, str, int, int]]:
+    """(license, bigram, different bigrams of the license, all of them)."""
+    return [(name, pair, len(pairs), len(template_words(text)) - 1) for name, text in templates.items() for pairs in [_python_bigrams(text)] for pair in pairs]
 
 
 def anchors(templates: dict[str, str], dice: float) -> list[str]:
@@ -180,23 +180,23 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     spark: SparkSession = docs.sparkSession
     ratio = (2 - dice) / dice
     # The templates are given with the call and small: a few thousand bigrams in all.
-    inverted = F.broadcast(spark.createDataFrame(template_rows(templates), "license string, bigram string, license_bigrams int"))
+    inverted = F.broadcast(spark.createDataFrame(template_rows(templates), "license string, bigram string, license_bigrams int, length int"))
     named = F.lit(False)
     for word in anchors(templates, dice):
         named = named | F.contains(F.col("lower"), F.lit(word))
     lower = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.lower("text").alias("lower")).where(named)
     texts = stage(lower.select("doc_id", "row", F.split(normalise(F.col("lower")), " ").alias("words")), "texts")
     each = texts.select("row", "words", F.posexplode("words").alias("at", "word")).select("row", "at", F.concat("word", F.lit(" "), F.get("words", F.col("at") + 1)).alias("bigram"))
-    hits = stage(each.join(inverted, "bigram").select("row", "at", "license", "bigram", "license_bigrams"), "hits")
-    n, keys = F.col("license_bigrams"), ["row", "license", "license_bigrams"]
+    hits = stage(each.join(inverted, "bigram").select("row", "at", "license", "bigram", "license_bigrams", "length"), "hits")
+    n, length, keys = F.col("license_bigrams"), F.col("length"), ["row", "license", "license_bigrams", "length"]
     whole = hits.groupBy(*keys).agg(F.count_distinct("bigram").alias("shared")).where(F.col("shared") >= least_shared(n, dice))
     candidates = stage(whole.select("row", "license"), "candidates")
     # The bigrams of a step's stretch together, then each stretch in all windows that it is part of.
-    step = F.greatest(F.lit(1), (n / STEPS).cast("int"))
+    step = F.greatest(F.lit(1), (length / STEPS).cast("int"))
     near = hits.join(candidates, ["row", "license"], "left_semi")
     blocks = near.groupBy(*keys, F.floor(F.col("at") / step).alias("block")).agg(F.collect_set("bigram").alias("bigrams"), F.min("at").alias("low"), F.max("at").alias("high"))
     size = F.explode(F.array(*(F.lit(s) for s in SIZES)))
-    spread = blocks.withColumn("size", size).withColumn("count", F.ceil(n * F.col("size") / step).cast("int") + 1)
+    spread = blocks.withColumn("size", size).withColumn("count", F.ceil(length * F.col("size") / step).cast("int") + 1)
     windows = spread.select(*keys, "size", "bigrams", "low", "high", F.explode(F.sequence(F.col("block") - F.col("count") + 1, F.col("block"))).alias("window"))
     trimmed = windows.groupBy(*keys, "size", "window").agg(F.size(F.array_distinct(F.flatten(F.collect_list("bigrams")))).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
     words = F.col("high") - F.col("low") + 2
@@ -209,7 +209,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     score = 2.0 * F.col("shared") / (F.col("unit_bigrams") + n)
     close = fits.withColumn("score", score).where(F.col("score") >= dice - 1e-9)
     # Places in millionths of the template's size, so that one range serves all templates.
-    place = F.floor(F.col("first_word") * PLACES / n)
+    place = F.floor(F.col("first_word") * PLACES / length)
     around = Window.partitionBy("row", "license").orderBy("place").rangeBetween(1 - PLACES, PLACES - 1)
     rank = F.struct("score", (-F.col("words")).alias("w"), (-F.col("first_word")).alias("f"))
     best = close.withColumn("place", place).withColumn("rank", rank).withColumn("best", F.max("rank").over(around)).where(F.col("rank") == F.col("best"))

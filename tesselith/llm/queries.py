@@ -80,19 +80,19 @@ def _text(value: str) -> str:
 
 
 OP5_SQL = f"""
-WITH t AS (SELECT *, greatest(1, license_bigrams // {licenses.STEPS}) AS step FROM (VALUES {", ".join(f"({_text(name)}, {_text(pair)}, {n})" for name, pair, n in licenses.template_rows(licenses.TEMPLATES))}) AS v(license, bigram, license_bigrams)),
+WITH t AS (SELECT *, greatest(1, length // {licenses.STEPS}) AS step FROM (VALUES {", ".join(f"({_text(name)}, {_text(pair)}, {n}, {m})" for name, pair, n, m in licenses.template_rows(licenses.TEMPLATES))}) AS v(license, bigram, license_bigrams, length)),
 d AS (SELECT doc_id, row_number() OVER () AS r, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
 b AS (SELECT doc_id, r, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM d WHERE len(w) > 1),
-h AS (SELECT doc_id, r, pos, b.bigram, license, license_bigrams AS n, step FROM b JOIN t USING (bigram)),
+h AS (SELECT doc_id, r, pos, b.bigram, license, license_bigrams AS n, length AS m, step FROM b JOIN t USING (bigram)),
 c AS (SELECT r, license, n FROM h GROUP BY ALL HAVING count(DISTINCT bigram) >= ceil({licenses.DICE} / (2 - {licenses.DICE}) * n - 1e-9)),
-s AS (SELECT h.*, size, CAST(ceil(n * size / step) AS BIGINT) + 1 AS blocks FROM h SEMI JOIN c ON h.r = c.r AND h.license = c.license, (VALUES {", ".join(f"({x}::DOUBLE)" for x in licenses.SIZES)}) AS z(size)),
-x AS (SELECT doc_id, r, license, n, size, pos, bigram, unnest(range(pos // step - blocks + 1, pos // step + 1)) AS win FROM s),
-u AS (SELECT DISTINCT doc_id, r, license, n, min(pos) AS low, max(pos) AS high, count(DISTINCT bigram) AS shared FROM x GROUP BY doc_id, r, license, n, size, win),
-v AS (SELECT u.doc_id, u.r, license, n, low, high, shared, count(DISTINCT b.bigram) AS own FROM u JOIN b ON b.r = u.r AND b.pos BETWEEN low AND high
+s AS (SELECT h.*, size, CAST(ceil(m * size / step) AS BIGINT) + 1 AS blocks FROM h SEMI JOIN c ON h.r = c.r AND h.license = c.license, (VALUES {", ".join(f"({x}::DOUBLE)" for x in licenses.SIZES)}) AS z(size)),
+x AS (SELECT doc_id, r, license, n, m, size, pos, bigram, unnest(range(pos // step - blocks + 1, pos // step + 1)) AS win FROM s),
+u AS (SELECT DISTINCT doc_id, r, license, n, m, min(pos) AS low, max(pos) AS high, count(DISTINCT bigram) AS shared FROM x GROUP BY doc_id, r, license, n, m, size, win),
+v AS (SELECT u.doc_id, u.r, license, n, m, low, high, shared, count(DISTINCT b.bigram) AS own FROM u JOIN b ON b.r = u.r AND b.pos BETWEEN low AND high
       WHERE shared >= ceil({licenses.DICE} / (2 - {licenses.DICE}) * n - 1e-9) GROUP BY ALL),
 q AS (SELECT *, 2.0::DOUBLE * shared / (own + n) AS score FROM v WHERE 2.0::DOUBLE * shared / (own + n) >= {licenses.DICE} - 1e-9),
 best AS (SELECT a.* FROM q a ANTI JOIN q o ON a.r = o.r AND a.license = o.license
-         AND abs(CAST(floor(a.low * {licenses.PLACES} / a.n) AS BIGINT) - CAST(floor(o.low * {licenses.PLACES} / o.n) AS BIGINT)) < {licenses.PLACES}
+         AND abs(CAST(floor(a.low * {licenses.PLACES} / a.m) AS BIGINT) - CAST(floor(o.low * {licenses.PLACES} / o.m) AS BIGINT)) < {licenses.PLACES}
          AND (o.score > a.score OR (o.score = a.score AND (o.high - o.low < a.high - a.low OR (o.high - o.low = a.high - a.low AND o.low < a.low)))))
 SELECT doc_id, license, CAST(low AS INTEGER) AS first_word, CAST(high - low + 2 AS INTEGER) AS words, shared, CAST(own AS INTEGER) AS unit_bigrams, n AS license_bigrams, round(score, 6) AS dice
 FROM best
