@@ -6,6 +6,11 @@ been scanned; a scan reads only the texts of blobs that lack a pair, one text
 per blob however many paths have it, and the findings are joined back to all
 paths.
 
+A scan first names the blobs, then keeps the unseen texts in a table with the
+rules that each still lacks, and matches these. The places of a text's matches
+are running sums over the lengths of its pieces, so they cost no more than the
+number of matches.
+
 Positions count code points; the end is exclusive. Defined results: a null text
 counts as empty and has no findings; a repeated row gets its own result row; an
 empty table gives empty results; other columns are not read, so their names may
@@ -18,6 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesselith.staging import stage
 
@@ -46,57 +52,38 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-FINDING = "array<struct<start:int,rank:int,end:int>>"
-
-
 def blob(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def matches(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's leftmost non-overlapping matches in ``text``, as FINDING.
-
-    The pieces between the matches and the matches themselves give the places:
-    match i starts after pieces 0..i and matches 0..i-1."""
+def pieces(text: Column, rule: Rule) -> Column:
+    """For each of the rule's leftmost non-overlapping matches in ``text``, and the end: the lengths (code points) of
+    what is before it since the last one, of itself, and of the group that is tested. Null without a match."""
     pattern = F.lit(rule.pattern)
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     tested = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else found
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    parts = F.struct(between.alias("between"), found.alias("found"), tested.alias("tested"))
-    # An array of one struct binds the three lists once.
-    spans = F.flatten(
-        F.transform(
-            F.array(parts),
-            lambda p: F.transform(
-                p["found"],
-                lambda n, i: F.struct(
-                    (total(F.slice(p["between"], F.lit(1), i + 1)) + total(F.slice(p["found"], F.lit(1), i))).alias("start"),
-                    F.lit(rank).alias("rank"),
-                    n.alias("n"),
-                    F.get(p["tested"], i).alias("tested"),
-                ),
-            ),
-        )
-    )
-    kept = F.filter(spans, lambda s: s["tested"] >= rule.least) if rule.least else spans
-    whole = F.transform(kept, lambda s: F.struct(s["start"], s["rank"], (s["start"] + s["n"]).alias("end")))
-    return F.when(text.rlike(rule.pattern), whole).otherwise(F.array().cast(FINDING)).cast(FINDING)
+    return F.when(text.rlike(rule.pattern), F.arrays_zip(between.alias("between"), found.alias("found"), tested.alias("tested")))
 
 
-def scan_texts(texts: DataFrame, rules: tuple[Rule, ...], ranks: dict[str, int]) -> DataFrame:
-    """(blob, findings) of (blob, text) for those texts that have findings."""
-    found = F.array_sort(F.concat(*(matches(F.col("text"), r, ranks[r.kind]) for r in rules)))
-    return texts.select("blob", found.alias("findings")).where(F.size("findings") > 0)
+def scan_texts(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, kind, version, start, end) of the findings in (blob, text, todo), where ``todo`` has the places of the rules to use."""
+    made = [F.struct(F.lit(i).alias("rank"), F.when(F.array_contains("todo", i), pieces(F.col("text"), r)).alias("pieces")) for i, r in enumerate(rules)]
+    # A row that is repeated, path and text, is read as often; its findings are the same.
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    each = numbered.select("blob", "row", F.explode(F.array(*made)).alias("r")).where("r.pieces is not null").select("blob", "row", "r.rank", F.posexplode("r.pieces").alias("i", "p"))
+    order = Window.partitionBy("row", "rank").orderBy("i")
+    end = F.sum(F.col("p.between") + F.coalesce("p.found", F.lit(0))).over(order)
+    rule = lambda field, kind: F.element_at(F.array(*(F.lit(getattr(r, field)) for r in rules)), F.col("rank") + 1).cast(kind)
+    placed = each.withColumn("end", end.cast("int")).where(F.col("p.found").isNotNull() & (F.col("p.tested") >= rule("least", "int")))
+    return placed.select("blob", rule("kind", "string").alias("kind"), rule("version", "int").alias("version"), (F.col("end") - F.col("p.found")).alias("start"), "end")
 
 
 def unseen(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, row, kind, version) of the pairs that the ledger lacks. ``blobs``: one row per blob."""
-    pairs = blobs.withColumn("rule", F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))))
-    pairs = pairs.select(*blobs.columns, "rule.*")
-    if ledger is not None:
-        pairs = pairs.join(ledger, ["blob", "kind", "version"], "left_anti")
-    return pairs
+    """(blob, rank, kind, version) of the pairs that the ledger lacks. ``blobs``: one row per blob."""
+    every = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for i, r in enumerate(rules)))
+    pairs = blobs.select("blob", F.explode(every).alias("rule")).select("blob", "rule.*")
+    return pairs if ledger is None else pairs.join(ledger, ["blob", "kind", "version"], "left_anti")
 
 
 def scan(
@@ -110,34 +97,19 @@ def scan(
 
     ``ledger`` (blob, kind, version) and ``findings`` (blob, kind, version, start, end) are what earlier
     scans returned; findings of rule versions that are no longer asked for are left out of the last result."""
-    ranks = {r.kind: i for i, r in enumerate(rules)}
-    named = versions.select(F.col(path).alias("path"), blob(F.col("text")).alias("blob"), F.monotonically_increasing_id().alias("row"))
+    named = versions.select(F.col(path).alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", blob(F.col("text")))
     paths = stage(named.select("path", "blob"), "paths")
-    blobs = stage(paths.groupBy("blob").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n_paths")), "blobs")
-    pairs = unseen(blobs.select("blob", "path"), ledger, rules)
+    blobs = stage(paths.groupBy("blob").agg(F.min("path").alias("path")), "blobs")
+    pairs = unseen(blobs, ledger, rules)
     if ledger is not None:
         pairs = stage(pairs, "pairs")
-    fresh = []
-    groups = [tuple(rules)] if ledger is None else [(r,) for r in rules]
-    for group in groups:
-        wanted = blobs if ledger is None else pairs.where((F.col("kind") == group[0].kind) & (F.col("version") == group[0].version))
-        # One path of each blob is read. The side that is hashed has ids alone; texts stream past it unsorted.
-        readers = wanted.select(F.col("path").alias("of"), F.col("blob").alias("of_blob")).hint("shuffle_hash")
-        texts = (
-            versions.select(F.col(path).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-            .withColumn("blob", blob(F.col("text")))
-            .join(readers, F.col("path").eqNullSafe(F.col("of")) & (F.col("blob") == F.col("of_blob")), "left_semi")
-        )
-        if ledger is not None:  # a table, lest the scan's filter is pushed below the join and reads what was scanned before
-            texts = stage(texts, "texts")
-        fresh.append(scan_texts(texts.select("blob", "text"), group, ranks))
-    new = fresh[0]
-    for more in fresh[1:]:
-        new = new.unionByName(more)
-    kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("f.rank") + 1)
-    version = F.element_at(F.array(*(F.lit(r.version) for r in rules)), F.col("f.rank") + 1)
-    rows = new.select("blob", F.explode("findings").alias("f")).select("blob", kind.alias("kind"), version.alias("version"), "f.start", "f.end").distinct()
-    found = stage(rows if findings is None else rows.unionByName(findings).distinct(), "findings")
+    # One path of each blob is read. The side that is hashed has ids alone; texts stream past it unsorted.
+    todo = pairs.groupBy("blob").agg(F.collect_set("rank").alias("todo")).join(blobs, "blob")
+    readers = stage(todo.select(F.col("path").alias("of"), F.col("blob").alias("of_blob"), "todo"), "readers").hint("shuffle_hash")
+    # A table, lest the filters of the scan are pushed below the join, to every copy of a text and to those scanned before.
+    read = named.join(readers, F.col("path").eqNullSafe(F.col("of")) & (F.col("blob") == F.col("of_blob")))
+    rows = scan_texts(stage(read.select("blob", "text", "todo"), "texts"), rules)
+    found = stage((rows if findings is None else rows.unionByName(findings)).distinct(), "findings")
     scanned = pairs.select("blob", "kind", "version")
     ledger = scanned if ledger is None else scanned.unionByName(ledger)
     return ledger, found, by_path(paths, found, rules)
