@@ -103,7 +103,7 @@ def _seed_rows(bitmap: Callable[[], np.ndarray] | None, key: str, numbers: set[i
 
 def seed_hashes(texts: DataFrame, key: str, bitmap: Callable[[], np.ndarray] | None = None, numbers: set[int] | None = None) -> DataFrame:
     """(key, place, seed, mask) of (key, text)."""
-    return texts.select(key, F.lower("text").alias("text")).mapInArrow(_seed_rows(bitmap, key, numbers), f"{key} bigint, place int, seed bigint, mask int")
+    return texts.select(key, W.plain(F.col("text")).alias("text")).mapInArrow(_seed_rows(bitmap, key, numbers), f"{key} bigint, place int, seed bigint, mask int")
 
 
 def seed_bitmap(tests: DataFrame) -> np.ndarray:
@@ -171,8 +171,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     diagonals = joined.select("doc_id", "item", (F.col("place") - F.col("item_place")).alias("diagonal"))
     # Distinct first: within a task, the hits along one diagonal become one row before the shuffle.
     candidates = stage(diagonals.distinct().groupBy("doc_id", "item").agg(F.collect_list("diagonal").alias("diagonals")), "candidates")
-    texts = own.select("doc_id", F.lower("text").alias("text"))
-    both = texts.join(candidates, "doc_id").join(items.select("item", "item_id", F.lower("text").alias("item_text")), "item")
+    texts = own.select("doc_id", W.plain(F.col("text")).alias("text"))
+    both = texts.join(candidates, "doc_id").join(items.select("item", "item_id", W.plain(F.col("text")).alias("item_text")), "item")
     found = both.select("doc_id", "item_id", "text", "item_text", "diagonals").mapInArrow(
         _verify, "doc_id bigint, item_id bigint, matched_words int, overlap_words int, doc_word int, item_word int, item_words int"
     )

@@ -18,14 +18,22 @@ No bucket is expanded into its pairs. Each member is first compared with the
 bucket's most central text (the one that shares most buckets with others), then
 with a random member unless they are in one class by then. What may still link different classes within a bucket is found by a
 prefix join: of two texts with enough shingles in common, the rarest few of
-each, so many as their sizes allow to be missing, have one in common. Pairs
+each, so many as their sizes allow to be missing, have one in common. Shingles are
+ranked by how many of these texts have them, and those of one text alone take up
+room in its prefix without a row in the join, so a shingle that very many texts
+share is joined only for texts with next to nothing of their own. Pairs
 within one class are never made there, so no link between classes is lost and
 a large class costs no more than its number of texts.
 
+Texts are read twice and not shuffled: once to sign them, and once to take the
+shingles of those in shared buckets, which a bitmap of their ids picks out. Only
+these shingles, as hashes, go through the joins of the comparisons.
+
 Defined results: null and empty texts, and others without words, have no
 shingles and are only in a class with equal texts; texts of fewer than five
 words have one shingle; equal texts are always in one class; a repeated row
-gets its own result row; rows without a doc_id are kept apart, each as a class
+gets its own result row, and one of its copies is ``kept``; different texts of one
+doc_id are in one class and stay or go together; rows without a doc_id are kept apart, each as a class
 without id; other columns are not read by the operator and carried along by
 ``deduplicate``.
 """
@@ -47,8 +55,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 BAND_ROWS = 4
-#: Counters of how many texts have a shingle, for the order of the prefix join.
-COUNTERS = 1 << 18
+#: Bits of the map of ids whose shingles are taken: at most 2**20 rows of 64 bits. A fuller map lets more texts through.
+MEMBER_BITS = 1 << 26
 #: Sizes of one class in the prefix join are within this ratio.
 SIZE_RATIO = 1.03
 
@@ -147,40 +155,49 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), lists], names=["doc_id", "h", "buckets"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in W.pieces(batch, "a_text"):
-            sets = []
-            for side in ("a_text", "b_text"):
-                keys, _, at = weighted(part.column(side), SHINGLE_WORDS)
-                sets.append([keys[at[d] : at[d + 1]] for d in range(part.num_rows)])
-            close = np.array([similarity(x, y) for x, y in zip(*sets, strict=True)], np.float64)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(close)], names=["a", "b", "similarity"])
+def _keys(column: pa.Array) -> list[np.ndarray]:
+    """The shingles of each row of a list column."""
+    flat, offsets = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return [flat[low:high] for low, high in zip(offsets[:-1], offsets[1:])]
 
 
-def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.pieces(batch):
-            counts += np.bincount((weighted(part.column("text"), SHINGLE_WORDS)[0] % W.U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["counter", "n"])
+            keys, _, at = weighted(part.column("text"), SHINGLE_WORDS)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "shingles"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = zip(_keys(batch.column("a_shingles")), _keys(batch.column("b_shingles")), strict=True)
+        close = np.array([similarity(x, y) for x, y in sets], np.float64)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(close)], names=["a", "b", "similarity"])
+
+
+def shingle_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the texts whose id is in ``ids``, and of a few others. Nothing but the ids is shuffled."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MEMBER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+    map_ = stage(ids.select(F.floor(place / 64).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "map")
+    some = texts.withColumn("word", F.floor(place / 64)).join(F.broadcast(map_), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return stage(some.select("doc_id", W.plain(F.col("text")).alias("text")).mapInArrow(_shingle_sets, "doc_id bigint, shingles array<bigint>"), "shingles")
 
 
 def _size_class(size: float) -> int:
     return int(np.floor(np.log(size) / np.log(SIZE_RATIO) + 1e-9))
 
 
-def prefixes(keys: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def prefixes(shared: np.ndarray, size: int, threshold: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The join keys of one text's rarest shingles, as the smaller and as the larger of a pair.
 
+    ``shared``: those of its ``size`` shingles that other texts have, rarest first; its own alone come before them.
     Texts of sizes s and n, s at most n, with similarity t have at least t / (1 + t) * (s + n) shingles in
     common, so the first common one, in any order that all texts use, is among the first n - that + 1 of the larger.
     As the smaller, n is taken as s; as the larger, each class of smaller sizes gets its own keys."""
-    size = len(keys)
-    order = keys[np.lexsort((keys, counts[(keys % W.U(COUNTERS)).astype(np.int64)]))]
     mark = lambda some, k: W.mix(some + W.U((k + 1) * 0x9FB21C651E98DF25 % (1 << 64)))
-    first = lambda other: order[: size - int(np.ceil(threshold / (1 + threshold) * (size + other) - 1e-6)) + 1]
+    first = lambda other: shared[: max(0, size - int(np.ceil(threshold / (1 + threshold) * (size + other) - 1e-6)) + 1 - (size - len(shared)))]
     smaller = [mark(first(size), _size_class(size))]
     larger = []
     for k in range(_size_class(max(1.0, threshold * size)), _size_class(size) + 1):
@@ -188,40 +205,33 @@ def prefixes(keys: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[li
     return smaller, larger
 
 
-def _prefix_rows(counts: Callable[[], np.ndarray], threshold: float) -> Callable:
+def _prefix_rows(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = counts()
         for batch in batches:
-            for part in W.pieces(batch):
-                keys, _, at = weighted(part.column("text"), SHINGLE_WORDS)
-                for is_larger in (False, True):
-                    rows, marks = [], []
-                    for d in np.flatnonzero(np.diff(at)):
-                        own = np.concatenate(prefixes(keys[at[d] : at[d + 1]], held, threshold)[is_larger])
-                        rows.append(np.full(len(own), d))
-                        marks.append(own)
-                    if rows:
-                        row = np.concatenate(rows)
-                        size = np.diff(at)[row]
-                        yield pa.RecordBatch.from_arrays(
-                            [part.column("doc_id").take(pa.array(row)), part.column("class_id").take(pa.array(row)), pa.array(size, pa.int64()), pa.array(np.full(len(row), is_larger)), pa.array(np.concatenate(marks).view(np.int64))],
-                            names=["doc_id", "class_id", "size", "larger", "mark"],
-                        )
+            sizes = batch.column("size").to_pylist()
+            own = [prefixes(keys, size, threshold) for keys, size in zip(_keys(batch.column("shared")), sizes, strict=True)]
+            for is_larger in (False, True):
+                marks = [np.concatenate(x[is_larger]) for x in own]
+                row = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in marks]))
+                if len(row):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(row), batch.column("class_id").take(row), batch.column("size").take(row), pa.array(np.full(len(row), is_larger)), pa.array(np.concatenate(marks).view(np.int64))],
+                        names=["doc_id", "class_id", "size", "larger", "mark"],
+                    )
 
     return run
 
 
-def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, other) of all pairs of different classes in (doc_id, class_id, text) that may be similar enough.
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, other) of all pairs of different classes in (doc_id, class_id, shingles) that may be similar enough.
 
     Of each key's members the class that has most is joined with the others alone, not with itself."""
-    spark = texts.sparkSession
-    texts = stage(texts, "texts")
-    counts = np.zeros(COUNTERS, np.int64)
-    for row in texts.select("text").mapInArrow(_count_shingles, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row["counter"]] = row["n"]  # at most COUNTERS rows
-    sent = spark.sparkContext.broadcast(counts)
-    rows = stage(texts.mapInArrow(_prefix_rows(lambda: sent.value, threshold), "doc_id bigint, class_id bigint, size bigint, larger boolean, mark bigint"), "prefixes")
+    sets = stage(sets, "left")
+    each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    common = stage(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
+    ranked = each.join(common, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared"))
+    ranked = ranked.select("doc_id", F.transform("shared", lambda x: x["shingle"]).alias("shared")).join(sets.select("doc_id", "class_id", F.size("shingles").cast("bigint").alias("size")), "doc_id")
+    rows = stage(ranked.select("doc_id", "class_id", "size", "shared").mapInArrow(_prefix_rows(threshold), "doc_id bigint, class_id bigint, size bigint, larger boolean, mark bigint"), "prefixes")
     per_class = rows.groupBy("mark", "class_id").agg(F.count(F.lit(1)).alias("n"))
     keys = stage(
         per_class.groupBy("mark").agg(F.max(F.struct("n", "class_id")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("mark", F.col("most.class_id").alias("main")),
@@ -236,10 +246,10 @@ def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return minor.select("doc_id", "other").unionByName(major.select("doc_id", "other"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of those pairs of ids whose texts are close enough. ``texts``: (doc_id, text), one per id."""
-    a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    both = a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of those pairs of ids whose texts are close enough. ``sets``: (doc_id, shingles)."""
+    a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_shingles")), "a")
+    both = a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_shingles")), "b").select("a", "b", "a_shingles", "b_shingles")
     return both.mapInArrow(_verify, "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold - 1e-9)
 
 
@@ -271,16 +281,15 @@ def components(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (the least doc_id of the class), similar (links by similarity that the class's texts needed: 0 if all are equal)."""
+    """One row for each row of ``docs``: doc_id, class_id (the least doc_id of the class), kept (whether the row stands
+    for its class), similar (whether its text has a link to another one, not equal copies alone)."""
     ship_package(docs.sparkSession)
     with_id = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    signed = stage(
-        with_id.select("doc_id", F.md5("text").alias("h"), F.lower("text").alias("text")).mapInArrow(_sign, "doc_id bigint, h string, buckets array<bigint>"),
-        "signed",
-    )
+    signs = with_id.select("doc_id", F.md5("text").alias("h"), W.plain(F.col("text")).alias("text")).mapInArrow(_sign, "doc_id bigint, h string, buckets array<bigint>")
+    signed = stage(signs.withColumn("row", F.monotonically_increasing_id()), "signed")
     # Equal texts first: one of them stands for all, so that they cost one row from here on.
-    groups = stage(signed.groupBy("h").agg(F.min("doc_id").alias("rep")), "groups")
-    reps = signed.join(groups.select(F.col("rep").alias("doc_id"), F.col("h")), ["doc_id", "h"], "left_semi").select("doc_id", "buckets")
+    groups = stage(signed.groupBy("h").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("h", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("rep_row")), "groups")
+    reps = signed.join(groups.select(F.col("rep_row").alias("row"), F.col("h")), ["row", "h"], "left_semi").select("doc_id", "buckets")
     member = reps.select("doc_id", F.explode(F.array_distinct("buckets")).alias("bucket"))
     shared = stage(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     members = stage(member.join(shared, "bucket").select("bucket", "doc_id", "n").distinct(), "members")
@@ -288,11 +297,11 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     central = stage(members.groupBy("doc_id").agg(F.sum("n").alias("central")), "central")
     first = members.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct(F.col("central"), (-F.col("doc_id")).alias("id"))).alias("most"))
     leaders = stage(first.select("bucket", (-F.col("most.id")).alias("leader")), "leaders")
-    texts = with_id.select("doc_id", F.lower("text").alias("text"))
+    sets = shingle_sets(with_id, central.select("doc_id"))
 
     led = members.join(leaders, "bucket").where("doc_id <> leader")
     tried = stage(led.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct(), "pairs")
-    links = stage(verified(tried, texts, threshold), "links")
+    links = stage(verified(tried, sets, threshold), "links")
     classes = components(links)
     for turn in ("random", "rest"):
         labelled = members.join(classes, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -313,26 +322,34 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         else:  # buckets of two have had their one pair compared
             large = mixed.join(shared.where("n > 2").select("bucket"), "bucket", "left_semi").select("bucket")
             left = stage(labelled.join(large, "bucket", "left_semi").select("doc_id", "class_id").distinct(), "left")
-            pairs = prefix_pairs(texts.join(left, "doc_id").select("doc_id", "class_id", "text"), threshold)
+            pairs = prefix_pairs(sets.join(left, "doc_id").select("doc_id", "class_id", "shingles"), threshold)
         pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
         tried = tried.unionByName(pairs)
-        more = stage(verified(pairs, texts, threshold), "links")
+        more = stage(verified(pairs, sets, threshold), "links")
         if not more.isEmpty():
             classes = components(more, classes)
             links = links.unionByName(more)
     linked = stage(
-        groups.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("h", F.coalesce("class_id", "rep").alias("class_id"), F.col("class_id").isNotNull().alias("similar")),
+        groups.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("h", "rep", "rep_row", F.coalesce("class_id", "rep").alias("class_id"), F.col("class_id").isNotNull().alias("similar")),
         "classes",
     )
-    out = signed.select("doc_id", "h").join(linked, "h").select("doc_id", "class_id", "similar")
-    none = docs.where("doc_id is null").select(F.col("doc_id").cast("bigint"), F.col("doc_id").cast("bigint").alias("class_id"), F.lit(False).alias("similar"))
+    kept = (F.col("rep") == F.col("class_id")) & (F.col("row") == F.col("rep_row"))
+    out = signed.select("doc_id", "h", "row").join(linked, "h").select("doc_id", "class_id", kept.alias("kept"), "similar")
+    none = docs.where("doc_id is null").select(F.col("doc_id").cast("bigint"), F.col("doc_id").cast("bigint").alias("class_id"), F.lit(True).alias("kept"), F.lit(False).alias("similar"))
     return out.unionByName(none)
 
 
 def deduplicate(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the document of the least doc_id of each class; rows of equal doc_id stay together."""
-    drop = stage(near_classes(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct(), "dropped")
-    return docs.join(drop, docs["doc_id"] == drop["gone"], "left_anti")
+    """``docs`` with the document of the least doc_id of each class, and of its repeated rows one."""
+    found = stage(near_classes(docs, threshold).select("doc_id", "class_id").where("doc_id is not null"), "found")
+    per_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("class_id")).alias("drop"), F.count(F.lit(1)).alias("n"))
+    moved = stage(per_id.where("drop or n > 1").select(F.col("doc_id").alias("of"), "drop"), "moved")
+    once = docs.join(moved, docs["doc_id"] == moved["of"], "left_anti")
+    again = moved.where(~F.col("drop"))
+    if again.isEmpty():
+        return once
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("of"), F.md5("text").alias("h")).join(again, "of", "left_semi")
+    return once.unionByName(rows.groupBy("of", "h").agg(F.first("doc").alias("doc")).select("doc.*"))

@@ -70,8 +70,7 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = near_dedup.near_classes(table(spark, sf_dir, "documents"))
-    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

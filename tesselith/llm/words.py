@@ -1,7 +1,9 @@
 """Words and word hashes of whole Arrow columns at once, for use inside tasks.
 
-A word is a maximal run of ASCII letters, digits and underscores and of all
-non-ASCII characters; callers lower-case texts with Spark before. Whole texts
+A word is a maximal run of letters, digits, underscores and marks of any script,
+and each Chinese or Japanese character is a word of its own. ``plain`` brings
+texts into lower case and puts blanks in the place of other characters and around
+ideographs, so that within tasks all bytes from 128 on belong to words. Whole texts
 are read, in pieces of a bounded number of bytes so that the temporary arrays
 stay small.
 """
@@ -13,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once (one longer text is one piece).
 PIECE_BYTES = 1 << 20
@@ -23,6 +27,14 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 
 
+def plain(text: Column) -> Column:
+    """The text in lower case, its characters beyond ASCII as words have them."""
+    lower = F.lower(text)
+    blank = F.regexp_replace(lower, r"[^\x00-\x7F\p{L}\p{N}\p{M}]", " ")
+    apart = F.regexp_replace(blank, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 ")
+    return F.when(lower.rlike(r"[^\x00-\x7F]"), apart).otherwise(lower)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; uint64 in and out."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
