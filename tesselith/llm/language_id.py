@@ -17,7 +17,7 @@ taken in alphabetical order.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,27 +152,44 @@ def infer(texts: list[str], langs: list[str], table: np.ndarray) -> list[tuple[s
     return out
 
 
-def _predict(model: Callable[[], tuple[list[str], np.ndarray]], columns: list[str]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table = model()
-        for batch in batches:
-            for part in W.pieces(batch):
-                found = infer([t or "" for t in part.column("text").to_pylist()], langs, table)
-                share = pa.array([[{"lang": x, "share": y} for x, y in f[2]] for f in found], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-                made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), share]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *made], names=[*columns, "lang_pred", "score", "languages"])
+def _slices(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most so many letters (one longer text is one run)."""
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and (stop == start or size + len(texts[stop]) < most):
+            size += len(texts[stop])
+            stop += 1
+        yield start, stop
+        start = stop
 
-    return run
 
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id") -> DataFrame:
-    """(key, lang_pred, score, languages): ``languages`` is the chosen set with its proportions."""
+def predict_rows(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """(doc, lang_pred, score, languages): the whole row beside its prediction, without a join. ``languages`` is the
+    chosen set with its proportions."""
     spark = docs.sparkSession
     ship_package(spark)
     sent = spark.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, F.lower("text").alias("text"))
-    return rows.mapInArrow(_predict(lambda: sent.value, [key]), f"{key} {kind}, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+
+    @F.pandas_udf("struct<lang_pred:string,score:double,languages:array<struct<lang:string,share:double>>>")
+    def language(texts):
+        import pandas as pd
+
+        langs, table = sent.value
+        lists = [t or "" for t in texts]
+        rows: list[tuple] = []
+        # A row of the table for each different trigram of a text: with more languages, fewer texts at once.
+        for start, stop in _slices(lists, W.PIECE_BYTES * 8 // max(8, len(langs))):
+            rows += [(x, y, [{"lang": a, "share": b} for a, b in z]) for x, y, z in infer(lists[start:stop], langs, table)]
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "languages"])
+
+    found = docs.select(F.struct("*").alias("doc"), language(F.lower("text")).alias("found"))
+    return found.select("doc", "found.*")
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id") -> DataFrame:
+    """(key, lang_pred, score, languages) for each row of ``docs``."""
+    return predict_rows(docs.select(key, "text"), model).select(F.col(f"doc.{key}").alias(key), "lang_pred", "score", "languages")
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -185,30 +202,3 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = train(docs.where(~held_out()).select("text", "lang"))
     known = predict_rows(docs, model)
     return known.where(F.col("lang_pred") != UNKNOWN).select("doc.*")
-
-
-def predict_rows(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """(doc, lang_pred, score): the whole row beside its prediction, without a join."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    sent = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def language(texts):
-        import pandas as pd
-
-        langs, table = sent.value
-        lists = [t or "" for t in texts]
-        rows: list[tuple[str, float]] = []
-        at = 0
-        while at < len(lists):
-            stop, size = at, 0
-            while stop < len(lists) and (stop == at or size + len(lists[stop]) < W.PIECE_BYTES):
-                size += len(lists[stop])
-                stop += 1
-            rows += [f[:2] for f in infer(lists[at:stop], langs, table)]
-            at = stop
-        return pd.DataFrame(rows, columns=["lang_pred", "score"])
-
-    found = docs.select(F.struct("*").alias("doc"), language(F.lower("text")).alias("found"))
-    return found.select("doc", "found.lang_pred", "found.score")

@@ -1,6 +1,7 @@
 """A quality classifier by Bradley-Terry ranking.
 
-A document's score is linear in features of its text. Training draws pairs of a
+A document's score is linear in features of its text: counts of words, lines,
+digits, symbols and capitals (A to Z and Latin-1's), which need no vocabulary. Training draws pairs of a
 better and a worse document and fits the weights by logistic loss on the
 difference of their features, as the Bradley-Terry model has it: the chance that
 one beats another is the logistic function of the difference of their scores.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -173,12 +174,11 @@ def train(rows: DataFrame, labels: DataFrame) -> Model:
     less = ranked.where(F.col("label") == 1 - more).select("rank", F.col("features").alias(names[1 - more]))
     turns = ranked.where(F.col("label") == more).select(F.col("features").alias(names[more]), F.explode(F.sequence(F.lit(0), F.lit(PAIRS - 1))).alias("turn"), F.col("rank").alias("of"))
     turns = turns.withColumn("rank", F.pmod(F.col("of") * PAIRS + F.col("turn"), F.lit(counts[1 - more])))
-    vector = F.udf(lambda x: Vectors.dense(x), VectorUDT())
     difference = F.zip_with("better", "worse", lambda a, b: a - b)
     # Each pair once as a win and once, turned round, as a loss, for a loss function that knows two outcomes.
     turned = F.explode(F.array(F.lit(1.0), F.lit(0.0))).alias("won")
     pairs = turns.join(less, "rank").select(difference.alias("d"), turned)
-    pairs = pairs.select(vector(F.when(F.col("won") == 1, F.col("d")).otherwise(F.transform("d", lambda x: -x))).alias("features"), F.col("won").alias("label"))
+    pairs = pairs.select(array_to_vector(F.when(F.col("won") == 1, F.col("d")).otherwise(F.transform("d", lambda x: -x))).alias("features"), F.col("won").alias("label"))
     pairs = stage(pairs, "pairs")
     fitted = LogisticRegression(fitIntercept=False, regParam=REGULARISATION, maxIter=50, standardization=True).fit(pairs)
     weights = tuple(float(w) for w in fitted.coefficients)

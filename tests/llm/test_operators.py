@@ -250,6 +250,44 @@ def test_overlaps_of_short_and_repeated_items(spark):
     assert want | {(200, 50), (201, 50), (202, None)} == got - short | {(n, n) for n in (1, 2, 3)} and {(n, n) for n in (1, 2, 3)} <= short
 
 
+def test_overlaps_equal_brute_force(spark):
+    """All documents against all items along all diagonals."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.matched_words for r in decontaminate.overlaps(docs, bench).collect()}
+    number = {}
+    words = lambda t: np.array([number.setdefault(w, len(number)) for w in re.findall(r"[a-z0-9_\x80-\U0010ffff]+", (t or "").lower())], np.int64)
+    items = [(r.item_id, words(r.text)) for r in bench.collect()]
+    want = {}
+    for r in docs.collect():
+        own = words(r.text)
+        for item, his in items:
+            needed = min(decontaminate.MIN_MATCHES, int(np.ceil(decontaminate.ITEM_SHARE * len(his))))
+            if len(np.intersect1d(own, his)) == 0 or not len(his):
+                continue
+            for shift in np.unique((np.flatnonzero(np.isin(own, his))[:, None] - np.arange(len(his))[None, :]).ravel()) if len(own) < 3000 else ():
+                first, last = max(0, -shift), min(len(his), len(own) - shift)
+                same = own[first + shift : last + shift] == his[first:last]
+                if same.sum() >= needed and (found := decontaminate.best_stretch(same)[2]) >= needed:
+                    want[r.doc_id, item] = max(found, want.get((r.doc_id, item), 0))
+    long = {r.doc_id for r in docs.collect() if len(words(r.text)) >= 3000}
+    assert {k: v for k, v in got.items() if k[0] not in long} == want and want
+
+
+def test_masks_find_items_with_a_fifth_of_words_changed():
+    r, hit, accepted = np.random.default_rng(4), 0, 0
+    for _ in range(2000):
+        size = int(r.integers(21, 60))
+        same = np.ones(size, bool)
+        same[r.choice(size, size // 5, replace=False)] = False
+        if decontaminate.best_stretch(same)[2] < decontaminate.MIN_MATCHES:
+            continue
+        accepted += 1
+        masks = [np.flatnonzero(np.array(list(m)) == "1") for m in decontaminate.MASKS]
+        hit += any(same[k + m].all() for m in masks for k in range(size - m[-1]))
+    assert accepted > 1500 and hit >= 0.99 * accepted
+
+
 # --- secrets
 
 
@@ -592,6 +630,26 @@ def test_quality_pairs_use_every_sampled_row(spark, monkeypatch):
     assert seen == [39]
 
 
+def test_quality_weights_are_at_the_least_loss(spark):
+    """Against the loss written out: its gradient over all pairs vanishes at the weights that training gives."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(90, len(quality.FEATURES)))
+    label = (x @ r.normal(size=x.shape[1]) + r.normal(size=90) > 0).astype(int)
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(90)], "doc_id bigint, features array<double>")
+    pairs = []
+    fit = quality.LogisticRegression.fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality.LogisticRegression, "fit", lambda self, p: pairs.extend((row.features.toArray(), row.label) for row in p.collect()) or fit(self, p))
+        model = quality.train(rows, spark.createDataFrame([(i, int(label[i])) for i in range(90)], "doc_id bigint, quality int"))
+    d, won = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    better, worse = x[label == 1], x[label == 0]
+    known = {tuple(np.round(a - b, 9)) for a in better for b in worse}
+    assert all(tuple(np.round(v if w else -v, 9)) in known for v, w in zip(d, won, strict=True))
+    weights, scale = np.array(model.weights), d.std(axis=0, ddof=1)
+    gradient = d.T @ (1 / (1 + np.exp(-d @ weights)) - won) / len(d) + quality.REGULARISATION * weights * scale**2
+    assert np.abs(gradient).max() < 1e-3
+
+
 # --- language
 
 
@@ -623,6 +681,35 @@ def test_language_sets_have_no_fixed_size(spark):
     assert [sorted(x for x, _ in f[2]) for f in found] == [sorted(vocabulary)[:k] for k in range(1, 6)]
 
 
+def test_language_inference_equals_plain_em():
+    """A brute-force version: every set of languages, each by many rounds of EM, trigram by trigram."""
+    from itertools import combinations
+
+    r = random.Random(11)
+    sounds = {"aa": "bada gado dabo", "bb": "xyl wyx zyw", "cc": "miro romi rimo", "dd": "kesu seku uske"}
+    mk = lambda lang, n: " ".join("".join(r.choice(sounds[lang].split()) for _ in range(2)) for _ in range(n))
+    langs = list(sounds)
+    table = np.full((language_id.BUCKETS, 4), language_id.SMOOTHING)
+    for j, lang in enumerate(langs):
+        np.add.at(table[:, j], language_id.trigrams([mk(lang, 500)])[1], 1)
+    table /= table.sum(axis=0)
+    texts = [mk("aa", 30), mk("bb", 40) + " " + mk("cc", 15), mk("cc", 3), " ".join(mk(x, n) for x, n in zip(langs, (40, 30, 25, 20))), "ba"]
+    for text, (lang, _, chosen) in zip(texts, language_id.infer(texts, langs, table), strict=True):
+        chance = table[language_id.trigrams([text])[1]]
+        best = None
+        for k in range(1, 5):
+            for some in combinations(range(4), k):
+                share = np.full(k, 1 / k)
+                for _ in range(200):
+                    part = chance[:, some] * share
+                    share = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+                fit = np.log(chance[:, some] @ share).sum() - language_id.PENALTY * (k - 1) * np.log(len(chance) + 1)
+                if best is None or fit > best[0] + 1e-9:
+                    best = (fit, {langs[i]: s for i, s in zip(some, share, strict=True)})
+        assert {x for x, _ in chosen} == set(best[1]) and lang == max(best[1], key=best[1].get)
+        assert all(abs(best[1][x] - y) < 0.05 for x, y in chosen)
+
+
 # --- packing
 
 
