@@ -6,7 +6,8 @@ one line, wrapped over several, as a comment, or amid other words. The Dice
 coefficient of two sets of word bigrams is twice the number in common over the
 sum of their numbers, and one of at least t needs sizes within a ratio of
 (2 - t) / t and t / (2 - t) of the template's bigrams in common. So a template is
-a candidate only for texts that have so many of its bigrams.
+a candidate only for texts that have so many of its bigrams, which is found out
+row by row without a shuffle; other texts go no further.
 
 For a candidate, windows of the template's size, and of a quarter and a half
 more, are laid at every sixteenth of the size; each is longer by that step, so
@@ -40,6 +41,9 @@ STEPS = 16
 SIZES = (1.0, 1.25, 1.5)
 PLACES = 1_000_000
 
+# Words of the templates that any English text has.
+COMMON_WORDS = frozenset("a and any are as at be by for from if in is it may must not of on one or other rights that the this to under use used we were with you".split())
+
 # Paragraphs that several licences share.
 MIT_GRANT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
@@ -153,13 +157,14 @@ def anchors(templates: dict[str, str], dice: float) -> list[str]:
     """Words of which every unit has one that is close enough to a template.
 
     A unit shares at least t / (2 - t) of a template's bigrams. So where more than the rest of a template's
-    bigrams have a word of the list, a unit without such words can't be close; long words are rare ones."""
+    bigrams have a word of the list, a unit without such words can't be close. Long words are rare ones, and
+    words of COMMON_WORDS come last."""
     out: set[str] = set()
     for text in templates.values():
         pairs = [tuple(p.split(" ")) for p in _python_bigrams(text)]
         spare = len(pairs) - math.ceil(dice / (2 - dice) * len(pairs) - 1e-9)
         covered: set[tuple[str, ...]] = set()
-        for word in sorted({w for p in pairs for w in p}, key=lambda w: (w not in out, -len(w), w)):
+        for word in sorted({w for p in pairs for w in p}, key=lambda w: (w in COMMON_WORDS, w not in out, -len(w), w)):
             if len(covered) > spare:
                 break
             out.add(word)
@@ -173,6 +178,18 @@ def least_shared(n: int | Column, dice: float) -> int | Column:
     return max(1, math.ceil(share * n - 1e-9)) if isinstance(n, int) else F.greatest(F.lit(1), F.ceil(n * share - 1e-9).cast("int"))
 
 
+def candidates(words: Column, templates: dict[str, str], dice: float) -> Column:
+    """The names of the templates that have enough bigrams in common with the array of words.
+
+    The array of one array binds the bigrams in common with any template, which each template then looks into."""
+    pairs = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda p: F.concat(p["a"], F.lit(" "), p["b"]))
+    own = {name: _python_bigrams(text) for name, text in templates.items()}
+    literal = lambda values: F.array(*(F.lit(v) for v in values)).cast("array<string>")
+    every = F.array_intersect(pairs, literal(sorted({p for ps in own.values() for p in ps})))
+    fits = lambda b: F.array(*(F.when(F.size(F.array_intersect(b, literal(ps))) >= least_shared(len(ps), dice), F.lit(name)) for name, ps in own.items()))
+    return F.array_compact(F.transform(F.array(every), fits)[0])
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> DataFrame:
     """(doc_id, license, first_word, words, shared, unit_bigrams, license_bigrams, dice) of all units that stay.
 
@@ -183,17 +200,17 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     inverted = F.broadcast(spark.createDataFrame(template_rows(templates), "license string, bigram string, license_bigrams int, length int"))
     named = F.lit(False)
     for word in anchors(templates, dice):
-        named = named | F.contains(F.col("lower"), F.lit(word))
+        # A short word may be part of many others.
+        apart = F.col("lower").rlike(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])")
+        named = named | (F.contains(F.col("lower"), F.lit(word)) if len(word) > 4 else apart)
     lower = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.lower("text").alias("lower")).where(named)
-    texts = stage(lower.select("doc_id", "row", F.split(normalise(F.col("lower")), " ").alias("words")), "texts")
-    each = texts.select("row", "words", F.posexplode("words").alias("at", "word")).select("row", "at", F.concat("word", F.lit(" "), F.get("words", F.col("at") + 1)).alias("bigram"))
-    hits = stage(each.join(inverted, "bigram").select("row", "at", "license", "bigram", "license_bigrams", "length"), "hits")
+    words = lower.select("doc_id", "row", F.split(normalise(F.col("lower")), " ").alias("words"))
+    texts = stage(words.withColumn("licenses", candidates(F.col("words"), templates, dice)).where(F.size("licenses") > 0), "texts")
+    each = texts.select("row", "words", "licenses", F.posexplode("words").alias("at", "word")).select("row", "licenses", "at", F.concat("word", F.lit(" "), F.get("words", F.col("at") + 1)).alias("bigram"))
+    near = each.join(inverted, "bigram").where(F.array_contains("licenses", F.col("license"))).select("row", "at", "license", "bigram", "license_bigrams", "length")
     n, length, keys = F.col("license_bigrams"), F.col("length"), ["row", "license", "license_bigrams", "length"]
-    whole = hits.groupBy(*keys).agg(F.count_distinct("bigram").alias("shared")).where(F.col("shared") >= least_shared(n, dice))
-    candidates = stage(whole.select("row", "license"), "candidates")
     # The bigrams of a step's stretch together, then each stretch in all windows that it is part of.
     step = F.greatest(F.lit(1), (length / STEPS).cast("int"))
-    near = hits.join(candidates, ["row", "license"], "left_semi")
     blocks = near.groupBy(*keys, F.floor(F.col("at") / step).alias("block")).agg(F.collect_set("bigram").alias("bigrams"), F.min("at").alias("low"), F.max("at").alias("high"))
     size = F.explode(F.array(*(F.lit(s) for s in SIZES)))
     spread = blocks.withColumn("size", size).withColumn("count", F.ceil(length * F.col("size") / step).cast("int") + 1)
@@ -209,7 +226,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     score = 2.0 * F.col("shared") / (F.col("unit_bigrams") + n)
     close = fits.withColumn("score", score).where(F.col("score") >= dice - 1e-9)
     # Places in millionths of the template's size, so that one range serves all templates.
-    place = F.floor(F.col("first_word") * PLACES / length)
+    place = F.floor(F.col("first_word").cast("bigint") * PLACES / length)
     around = Window.partitionBy("row", "license").orderBy("place").rangeBetween(1 - PLACES, PLACES - 1)
     rank = F.struct("score", (-F.col("words")).alias("w"), (-F.col("first_word")).alias("f"))
     best = close.withColumn("place", place).withColumn("rank", rank).withColumn("best", F.max("rank").over(around)).where(F.col("rank") == F.col("best"))

@@ -6,8 +6,9 @@ been scanned; a scan reads only the texts of blobs that lack a pair, one text
 per blob however many paths have it, and the findings are joined back to all
 paths.
 
-A scan first names the blobs, then keeps the unseen texts in a table with the
-rules that each still lacks, and matches these. The places of a text's matches
+A scan first names the blobs, then joins those that lack some pair with one of
+their texts and matches it. On a first scan, texts that a Bloom filter shows to have no
+copies pass by the join. The places of a text's matches
 are running sums over the lengths of its pieces, so they cost no more than the
 number of matches.
 
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesselith.llm import exact_dedup
 from tesselith.staging import stage
 
 
@@ -69,10 +71,10 @@ def pieces(text: Column, rule: Rule) -> Column:
 def scan_texts(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(blob, kind, version, start, end) of the findings in (blob, text, todo), where ``todo`` has the places of the rules to use."""
     made = [F.struct(F.lit(i).alias("rank"), F.when(F.array_contains("todo", i), pieces(F.col("text"), r)).alias("pieces")) for i, r in enumerate(rules)]
-    # A row that is repeated, path and text, is read as often; its findings are the same.
-    numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    each = numbered.select("blob", "row", F.explode(F.array(*made)).alias("r")).where("r.pieces is not null").select("blob", "row", "r.rank", F.posexplode("r.pieces").alias("i", "p"))
-    order = Window.partitionBy("row", "rank").orderBy("i")
+    each = texts.select("blob", F.explode(F.array(*made)).alias("r")).where("r.pieces is not null").select("blob", "r.rank", F.posexplode("r.pieces").alias("i", "p"))
+    # A row that is repeated, path and text, is read as often; its pieces count once.
+    each = each.distinct()
+    order = Window.partitionBy("blob", "rank").orderBy("i")
     end = F.sum(F.col("p.between") + F.coalesce("p.found", F.lit(0))).over(order)
     rule = lambda field, kind: F.element_at(F.array(*(F.lit(getattr(r, field)) for r in rules)), F.col("rank") + 1).cast(kind)
     placed = each.withColumn("end", end.cast("int")).where(F.col("p.found").isNotNull() & (F.col("p.tested") >= rule("least", "int")))
@@ -103,12 +105,23 @@ def scan(
     pairs = unseen(blobs, ledger, rules)
     if ledger is not None:
         pairs = stage(pairs, "pairs")
-    # One path of each blob is read. The side that is hashed has ids alone; texts stream past it unsorted.
     todo = pairs.groupBy("blob").agg(F.collect_set("rank").alias("todo")).join(blobs, "blob")
     readers = stage(todo.select(F.col("path").alias("of"), F.col("blob").alias("of_blob"), "todo"), "readers").hint("shuffle_hash")
-    # A table, lest the filters of the scan are pushed below the join, to every copy of a text and to those scanned before.
-    read = named.join(readers, F.col("path").eqNullSafe(F.col("of")) & (F.col("blob") == F.col("of_blob")))
-    rows = scan_texts(stage(read.select("blob", "text", "todo"), "texts"), rules)
+
+    def first_copies(rows: DataFrame) -> DataFrame:
+        """One path of each blob. The side that is hashed has ids alone; texts stream past it unsorted. As ``todo`` is
+        from that side, the matching stays above the join, and reads neither copies nor what was scanned before."""
+        return rows.join(readers, F.col("path").eqNullSafe(F.col("of")) & (F.col("blob") == F.col("of_blob"))).select("blob", "text", "todo")
+
+    if ledger is None:
+        # All rules are due, and only texts that may have copies need the join: a Bloom filter tells most others.
+        words = exact_dedup.filter_words(paths.count())
+        bits = stage(exact_dedup.repeated_bits(paths.select(F.col("blob").alias("digest")), words), "repeated_bits")
+        probed = exact_dedup.probe(named.withColumn("digest", F.col("blob")), bits, words)
+        single = probed.where(~F.col("maybe_repeated")).select("blob", "text", F.array(*(F.lit(i) for i in range(len(rules)))).alias("todo"))
+        rows = scan_texts(single, rules).unionByName(scan_texts(first_copies(probed.where("maybe_repeated")), rules))
+    else:
+        rows = scan_texts(first_copies(named), rules)
     found = stage((rows if findings is None else rows.unionByName(findings)).distinct(), "findings")
     scanned = pairs.select("blob", "kind", "version")
     ledger = scanned if ledger is None else scanned.unionByName(ledger)
