@@ -60,36 +60,57 @@ class Affine:
 class Limits:
     """What a registration must meet."""
 
-    matches: int = 10
-    inliers: int = 6
-    ratio: float = 0.25
-    rms: float = 3.0
+    inliers: int = 4
+    ratio: float = 0.15
+    rms: float = 4.0
     translation: float = 1500.0
-    rotation: float = 5.0
-    scale_low: float = 0.96
-    scale_high: float = 1.04
+    rotation: float = 10.0
+    scale_low: float = 0.95
+    scale_high: float = 1.05
+
 
+#: What the alignment over the whole night must meet.
+GLOBAL_LIMITS = Limits(translation=3000.0)
+#: A residual that isn't known counts as this.
+NO_RMS = 999.0
 
-def rejection(matches: Column, inliers: Column, rms: Column, m: Affine, limits: Limits = Limits()) -> Column:
-    """Why a transform is not taken, the first reason in a fixed order, or null."""
-    ratio = F.try_divide(inliers.cast("double"), matches)
+
+def validation(matches: Column, inliers: Column, rms: Column, m: Affine, limits: Limits = Limits()) -> Column:
+    """``accepted``, or why a transform is not taken: the first reason in a fixed order. The matrix may be null."""
+    ratio = F.coalesce(F.try_divide(inliers.cast("double"), matches), F.lit(0.0))
     return first_reason(
         [
-            (matches < limits.matches, "few_matches"),
-            (inliers < limits.inliers, "few_inliers"),
-            (F.coalesce(ratio, F.lit(0.0)) < limits.ratio, "low_inlier_ratio"),
-            (rms > limits.rms, "high_rms"),
-            (F.hypot(m.tx, m.ty) > limits.translation, "large_translation"),
-            (F.abs(m.rotation()) > limits.rotation, "large_rotation"),
-            (~m.scale().between(limits.scale_low, limits.scale_high), "scale_out_of_range"),
-        ]
+            (m.a.isNull() & (F.coalesce(matches, F.lit(0)) == 0), "phase_correlation_failed"),
+            (m.a.isNull(), "insufficient_matches"),
+            (F.coalesce(inliers, F.lit(0)) < limits.inliers, "insufficient_inliers"),
+            (ratio < limits.ratio, "low_inlier_ratio"),
+            (F.coalesce(rms, F.lit(NO_RMS)) > limits.rms, "high_rms"),
+            (F.hypot(m.tx, m.ty) > limits.translation, "high_translation"),
+            (F.abs(m.rotation()) > limits.rotation, "high_rotation"),
+            (~m.scale().between(limits.scale_low, limits.scale_high), "invalid_scale"),
+        ],
+        "accepted",
     )
 
 
 def confidence(ratio: Column, rms: Column, response: Column, spatial: Column, limits: Limits = Limits()) -> Column:
-    high = (ratio >= max(2 * limits.ratio, 0.5)) & (rms <= limits.rms / 2) & (response >= 0.15) & (spatial >= 0.01)
-    return F.when(high, "high").otherwise("normal")
+    """The class of an accepted transform; measures that are missing speak against it."""
+    measured = lambda c, default: F.coalesce(c, F.lit(default))
+    good = (measured(ratio, 0.0) >= max(2 * limits.ratio, 0.5)) & (measured(rms, NO_RMS) <= limits.rms / 2) & (measured(response, 0.0) >= 0.15) & (measured(spatial, 0.0) >= 0.01)
+    return F.when(good, "accepted").otherwise("low_confidence")
+
+
+@dataclass(frozen=True)
+class AlignmentGate:
+    """What the residual of an aligned frame must meet."""
+
+    confidence: float = 0.15
+    rms: float = 3.0
+    shift: float = 1.5
+    coverage: float = 0.20
 
 
-def alignment_decision(checked: Column, coverage: Column, rms: Column, least_coverage: float = 0.3, most_rms: float = 2.5) -> Column:
-    return F.when(~checked, "unverified").when(coverage < least_coverage, "insufficient_overlap").when(rms <= most_rms, "verified").otherwise("failed_quality")
+def alignment_decision(checked: Column, confidence_: Column, rms: Column, coverage: Column, shift_x: Column, shift_y: Column, gate: AlignmentGate = AlignmentGate()) -> Column:
+    good = (confidence_ >= gate.confidence) & (rms <= gate.rms) & (coverage >= gate.coverage) & (F.hypot(shift_x, shift_y) <= gate.shift)
+    low = F.coalesce(coverage, F.lit(0.0)) < gate.coverage
+    return F.when(~checked, "unverified").when(low, "insufficient_overlap").when(good, "verified").otherwise("failed_quality")

@@ -46,9 +46,39 @@ def anchor_quality(stars: Column, fwhm: Column) -> Column:
 
 
 def trail_reason(roundness: Column, stars: Column, least_roundness: float, least_stars: float) -> Column:
-    """Null for a frame that stays."""
+    """Null for a frame that stays. A shape that isn't known is never taken for a good one."""
     unknown = roundness.isNull() | stars.isNull() | (roundness <= 0) | (roundness > 1) | (stars < least_stars)
-    return F.when(unknown, "missing_roundness").when(roundness < least_roundness, "elongated_stars")
+    return F.when(unknown, "missing_shape_measurement").when(roundness < least_roundness, "elongated_stars")
+
+
+def trail_assessment(
+    stars: Column, roundness: Column, elongation: Column, excess: Column, direction: Column, tangential: Column, middle: dict[str, Column], spread: dict[str, Column], least_stars: float = 8
+) -> Column:
+    """(trail_class, cause, confidence, penalty) of a frame beside its session's ``middle`` and ``spread`` of roundness and excess.
+
+    A spread that is unknown or 0 counts as 0.05 (roundness) or 0.25 (excess), an unknown middle as the frame's own."""
+    usual = {"roundness": 0.05, "excess": 0.25}
+    at = {"roundness": F.coalesce(middle["roundness"], roundness), "excess": F.coalesce(middle["excess"], excess)}
+    by = {k: F.when(spread[k] > 0, spread[k]).otherwise(v) for k, v in usual.items()}
+    zero = F.lit(0.0)
+    coherent = F.greatest(F.coalesce(direction, zero), F.coalesce(tangential, zero))
+
+    def trailed(sigmas: float, most_round: float, least_long: float, least_excess: float, least_coherent: float) -> Column:
+        round_ = roundness <= F.least(F.lit(most_round), at["roundness"] - sigmas * by["roundness"])
+        long = (elongation >= least_long) & (excess >= F.greatest(F.lit(least_excess), at["excess"] + sigmas * by["excess"]))
+        return (stars >= least_stars) & round_ & long & (coherent >= least_coherent)
+
+    unknown = stars.isNull() | roundness.isNull() | elongation.isNull() | excess.isNull()
+    severe, moderate = trailed(3.0, 0.65, 1.5, 1.0, 0.65), trailed(2.0, 0.75, 1.25, 0.5, 0.40)
+    cause = (
+        F.when(tangential >= F.greatest(F.coalesce(direction, zero), F.lit(0.45)), "field_rotation").when(direction >= 0.45, "tracking").when(elongation >= 1.25, "optical_or_mixed").otherwise("unclassified")
+    )
+    sure = lambda base, slope: F.least(F.greatest(base + slope * coherent, zero), F.lit(1.0))
+    made = lambda kind, why, confidence, penalty: F.struct(F.lit(kind).alias("trail_class"), why.alias("cause"), confidence.alias("confidence"), F.lit(penalty).alias("penalty"))
+    none = made("unreliable", F.lit("unclassified"), zero, 1.0)
+    return (
+        F.when(unknown, none).when(severe, made("severe", cause, sure(0.55, 0.35), 0.0)).when(moderate, made("moderate", cause, sure(0.35, 0.45), 0.65)).when(stars < least_stars, none).otherwise(made("none", cause, sure(0.5, 0.3), 1.0))
+    )
 
 
 def trail_excluded(trail_class: Column, confidence: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and what stands for them in ASCII headers.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# The accented letters that have others in their place in ASCII headers, and these; all else beyond ASCII is dropped.
+ACCENTED = "áàãâäéèêëíìîïóòõôöúùûüçÇñÑ"
+PLAIN = "aaaaaeeeeiiiiooooouuuucCnN"
 
 
 def natural_key(name: Column) -> Column:

@@ -110,18 +110,31 @@ def leaf_medians(stack: DataFrame, keys: list[str], order: list[Column], group:
     return dealt.groupBy(*keys, "leaf").agg(F.median("s").alias("value"), F.count("s").alias("n"))
 
 
+def enough(n: Column, frames: Column) -> Column:
+    """Whether so many valid samples are COVERED of so many frames, and one at least."""
+    return n >= F.greatest(F.lit(1), F.ceil(frames * COVERED))
+
+
 def tree_median(stack: DataFrame, keys: list[str], order: list[Column], group: list[str]) -> DataFrame:
-    """Medians of the leaves, then of neighbouring pairs, then of the two halves, each level one aggregate."""
-    level = leaf_medians(stack, keys, order, group).withColumnRenamed("leaf", "node")
+    """Medians of the leaves, then of neighbouring pairs, then of the two halves, each level one aggregate: value, n, valid.
+
+    Where a node has samples of too few of its frames, its value is not used further up; its samples count all the same."""
+    dealt = leaves(stack, keys, order, group=group).withColumn("s", sample()).withColumnRenamed("leaf", "node")
+    sizes = dealt.select(*group, "node", "frame").distinct().groupBy(*group, "node").agg(F.count(F.lit(1)).alias("frames"))
+    level = dealt.groupBy(*keys, "node").agg(F.median("s").alias("value"), F.count("s").alias("n"))
     for _ in range(2):
-        level = level.withColumn("node", F.floor(F.col("node") / 2)).groupBy(*keys, "node").agg(F.median("value").alias("value"), F.sum("n").alias("n"))
-    return level.drop("node")
+        used = level.join(sizes, [*group, "node"]).withColumn("value", F.when(enough(F.col("n"), F.col("frames")), F.col("value")))
+        half = F.floor(F.col("node") / 2).alias("node")
+        level = used.select(*keys, half, "value", "n").groupBy(*keys, "node").agg(F.median("value").alias("value"), F.sum("n").alias("n"))
+        sizes = sizes.select(*group, half, "frames").groupBy(*group, "node").agg(F.sum("frames").alias("frames"))
+    whole = level.join(sizes, [*group, "node"])
+    return whole.select(*keys, F.coalesce("value", F.lit(0.0)).alias("value"), "n", enough(F.col("n"), F.col("frames")).alias("valid"))
 
 
 def coverage(stack: DataFrame, keys: list[str], frames: DataFrame, group: list[str]) -> DataFrame:
     """Valid samples at each position, and whether they are enough of the group's frames. ``frames``: group and n_frames."""
     per = stack.groupBy(*keys).agg(F.count_if(F.col("ok") & ~F.isnan("v")).alias("n"))
-    return per.join(frames, group).withColumn("valid", F.col("n") >= F.greatest(F.lit(1), F.ceil(F.col("n_frames") * COVERED))).drop("n_frames")
+    return per.join(frames, group).withColumn("valid", enough(F.col("n"), F.col("n_frames"))).drop("n_frames")
 
 
 def bundle_state(stack: DataFrame, keys: list[str], weight: Column) -> DataFrame:
@@ -194,18 +207,40 @@ def encode_uint16(value: Column, low: Column, high: Column) -> Column:
     return F.when(high > low, scaled.cast("int")).otherwise(0)
 
 
+def clip_uint16(value: Column) -> Column:
+    """Values on the scale of the codes already: cut off below 0 and above 65535, not rounded; 0 for what is no number."""
+    number = F.when(value.isNull() | F.isnan(value), 0.0).otherwise(value)
+    return F.least(F.greatest(number, F.lit(0.0)), F.lit(65535.0)).cast("int")
+
+
 def decode_uint16(code: Column, low: Column, high: Column) -> Column:
     return low + code / 65535.0 * (high - low)
 
 
-def hdr_fuse(rows: DataFrame, keys: list[str], noise: float, k: float) -> DataFrame:
-    """Radiances of exposures fused by inverse variance, and where they disagree. ``rows``: keys, v, exposure, ok.
+def hdr_exposure(exptime: Column, exposure: Column, override: Column | None = None) -> Column:
+    """(seconds, problem) of a frame by its two names of the exposure time, which must agree to a millionth of it."""
+    conflict = exptime.isNotNull() & exposure.isNotNull() & (F.abs(exptime - exposure) > 1e-6 * F.abs(exposure))
+    seconds = F.coalesce(exptime, exposure) if override is None else F.coalesce(override, exptime, exposure)
+    conflict = conflict if override is None else conflict & override.isNull()
+    bad = seconds.isNull() | F.isnan(seconds) | (F.abs(seconds) == float("inf")) | (seconds <= 0)
+    return F.struct(seconds.alias("seconds"), F.when(conflict, "conflicting EXPTIME and EXPOSURE").when(bad, "EXPTIME missing or invalid").alias("problem"))
 
-    A sample's radiance is its value over the exposure; its noise falls with the exposure."""
-    r = F.when(F.col("ok"), F.col("v") / F.col("exposure"))
-    w = F.when(F.col("ok"), F.pow(F.col("exposure") / noise, 2))
-    grouped = rows.withColumn("r", r).withColumn("w", w).groupBy(*keys).agg(
-        F.sum(F.col("w") * F.col("r")).alias("wr"), F.sum("w").alias("ws"), F.count("r").alias("n"), F.avg("r").alias("m"), F.avg(F.col("r") * F.col("r")).alias("m2"), F.min(F.when(F.col("ok"), F.col("exposure"))).alias("shortest")
+
+def hdr_fuse(rows: DataFrame, keys: list[str], noise: float, k: float) -> DataFrame:
+    """Radiances of exposures fused by inverse variance, and where they disagree.
+
+    ``rows``: keys, v (as stored), exposure, ok, saturation (null: unknown), is_rate (stored per second already),
+    low and high (of the range that v is normalised to, or null). A sample's radiance is its value over the exposure; its noise
+    falls with the exposure. Saturation is told from values as they are stored."""
+    saturated = F.coalesce(F.col("v") >= F.col("saturation"), F.lit(False))
+    value = F.when(F.col("low").isNotNull(), F.col("low") + F.col("v") * (F.col("high") - F.col("low"))).otherwise(F.col("v"))
+    divisor = F.when(F.col("is_rate"), 1.0).otherwise(F.col("exposure"))
+    radiance = value / divisor
+    ok = F.col("ok") & ~saturated & radiance.isNotNull() & ~F.isnan(radiance) & (F.abs(radiance) != float("inf"))
+    r = F.when(ok, radiance)
+    w = F.when(ok, F.pow(divisor / noise, 2))
+    grouped = rows.withColumns({"r": r, "w": w, "divisor": F.when(ok, divisor)}).groupBy(*keys).agg(
+        F.sum(F.col("w") * F.col("r")).alias("wr"), F.sum("w").alias("ws"), F.count("r").alias("n"), F.avg("r").alias("m"), F.avg(F.col("r") * F.col("r")).alias("m2"), F.min("divisor").alias("shortest")
     )
     spread = F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(0.0)))
     return grouped.select(

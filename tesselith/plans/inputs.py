@@ -26,10 +26,13 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE cast(p_partkey % 13 AS double) / 4e0 END AS rms",
             "1e0 + (p_partkey % 29) / 14e0 AS elongation",
             "(p_partkey % 31) / 10e0 AS trail_excess",
-            "(p_partkey % 17) / 16e0 AS coherence",
+            "CASE WHEN p_partkey % 43 = 0 THEN NULL ELSE (p_partkey % 17) / 16e0 END AS coherence",
+            "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE (p_partkey % 19) / 24e0 END AS tangential",
             "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE (p_partkey % 100) / 100e0 END AS coverage",
             "p_partkey % 3 = 0 AS has_mask",
             "(p_partkey % 41) / 10e0 - 2e0 AS rotation",
+            "1e0 + (p_partkey % 9 - 4) / 1000e0 AS scale",
+            "p_partkey % 13 <> 0 AS timed",
         ],
     ),
     # an affine transform for each row: matches, inliers and a matrix a b tx / c d ty

@@ -7,8 +7,24 @@ from pyspark.sql import functions as F
 from tesselith.functions import geometry, metrics, text
 from tesselith.functions.geometry import Affine
 from tesselith.plans.inputs import view, with_views
+from tesselith.operators import ranking
 from tesselith.plans.registry import query
 
+#: SQL for the trail classes of frames: trail (frame_id, batch, trail_class, cause, confidence, penalty).
+TRAIL_SQL = """tm AS (SELECT batch, median(roundness) AS rm, median(trail_excess) AS em FROM frames GROUP BY batch),
+    td AS (SELECT batch, 1.4826e0 * median(abs(roundness - rm)) AS rs, 1.4826e0 * median(abs(trail_excess - em)) AS es FROM frames JOIN tm USING (batch) GROUP BY batch),
+    tx AS (SELECT f.*, coalesce(rm, roundness) AS rm, coalesce(em, trail_excess) AS em, CASE WHEN rs > 0 THEN rs ELSE 0.05e0 END AS rs, CASE WHEN es > 0 THEN es ELSE 0.25e0 END AS es,
+        greatest(coalesce(coherence, 0), coalesce(tangential, 0)) AS g,
+        CASE WHEN tangential >= greatest(coalesce(coherence, 0), 0.45e0) THEN 'field_rotation' WHEN coherence >= 0.45e0 THEN 'tracking' WHEN elongation >= 1.25e0 THEN 'optical_or_mixed' ELSE 'unclassified' END AS why
+        FROM frames f JOIN tm USING (batch) JOIN td USING (batch)),
+    tc AS (SELECT *, CASE WHEN star_count IS NULL OR roundness IS NULL OR elongation IS NULL OR trail_excess IS NULL THEN 'unreliable'
+        WHEN star_count >= 8 AND roundness <= least(0.65e0, rm - 3 * rs) AND elongation >= 1.5e0 AND trail_excess >= greatest(1, em + 3 * es) AND g >= 0.65e0 THEN 'severe'
+        WHEN star_count >= 8 AND roundness <= least(0.75e0, rm - 2 * rs) AND elongation >= 1.25e0 AND trail_excess >= greatest(0.5e0, em + 2 * es) AND g >= 0.4e0 THEN 'moderate'
+        WHEN star_count < 8 THEN 'unreliable' ELSE 'none' END AS trail_class FROM tx),
+    trail AS (SELECT frame_id, batch, trail_class, CASE trail_class WHEN 'unreliable' THEN 'unclassified' ELSE why END AS cause,
+        CASE trail_class WHEN 'unreliable' THEN 0 WHEN 'severe' THEN least(1, 0.55e0 + 0.35e0 * g) WHEN 'moderate' THEN least(1, 0.35e0 + 0.45e0 * g) ELSE least(1, 0.5e0 + 0.3e0 * g) END AS confidence,
+        CASE trail_class WHEN 'severe' THEN 0e0 WHEN 'moderate' THEN 0.65e0 ELSE 1e0 END AS penalty FROM tc)"""
+
 
 @query(
     "scan_sequence_order",
@@ -131,7 +147,7 @@ def anchor_quality(spark, sf_dir):
 @query(
     "trail_filter",
     with_views(
-        """SELECT frame_id, CASE WHEN roundness IS NULL OR roundness <= 0 OR roundness > 1 OR star_count < 8 THEN 'missing_roundness' WHEN roundness < 0.6 THEN 'elongated_stars' END AS reason FROM frames""",
+        """SELECT frame_id, CASE WHEN roundness IS NULL OR roundness <= 0 OR roundness > 1 OR star_count < 8 THEN 'missing_shape_measurement' WHEN roundness < 0.6 THEN 'elongated_stars' END AS reason FROM frames""",
         "frames",
     ),
 )
@@ -139,32 +155,32 @@ def trail_filter(spark, sf_dir):
     return view(spark, sf_dir, "frames").select("frame_id", metrics.trail_reason(F.col("roundness"), F.col("star_count"), 0.6, 8).alias("reason"))
 
 
-@query(
-    "trail_exclude",
-    with_views("SELECT frame_id FROM frames WHERE NOT (elongation > 2.5e0 AND coherence >= 0.8e0)", "frames"),
-)
+@query("trail_exclude", with_views(f"WITH {TRAIL_SQL} SELECT frame_id FROM trail WHERE NOT (trail_class = 'severe' AND confidence >= 0.8e0)", "frames"))
 def trail_exclude(spark, sf_dir):
-    kind = F.when(F.col("elongation") > 2.5, "severe").otherwise("none")
-    return view(spark, sf_dir, "frames").where(~metrics.trail_excluded(kind, F.col("coherence"))).select("frame_id")
+    found = ranking.trail_classes(view(spark, sf_dir, "frames"), "frame_id", ["batch"])
+    return found.where(~metrics.trail_excluded(F.col("trail_class"), F.col("confidence"))).select("frame_id")
 
 
 @query(
     "validate_transform",
     with_views(
-        """SELECT id, CASE WHEN matches < 10 THEN 'few_matches' WHEN inliers < 6 THEN 'few_inliers' WHEN coalesce(inliers / nullif(matches, 0), 0) < 0.25 THEN 'low_inlier_ratio'
-           WHEN rms > 3 THEN 'high_rms' WHEN sqrt(tx * tx + ty * ty) > 1500 THEN 'large_translation' WHEN abs(degrees(atan2(c, a))) > 5 THEN 'large_rotation'
-           WHEN NOT sqrt(a * a + c * c) BETWEEN 0.96 AND 1.04 THEN 'scale_out_of_range' END AS reason FROM transforms""",
+        """SELECT id, CASE WHEN matches = 0 THEN 'phase_correlation_failed' WHEN matches < 4 THEN 'insufficient_matches' WHEN inliers < 4 THEN 'insufficient_inliers'
+           WHEN coalesce(inliers / nullif(matches, 0), 0) < 0.15 THEN 'low_inlier_ratio' WHEN coalesce(CASE WHEN id % 31 > 0 THEN rms END, 999) > 4 THEN 'high_rms'
+           WHEN sqrt(tx * tx + ty * ty) > 1500 THEN 'high_translation' WHEN abs(degrees(atan2(c, a))) > 10 THEN 'high_rotation'
+           WHEN NOT sqrt(a * a + c * c) BETWEEN 0.95 AND 1.05 THEN 'invalid_scale' ELSE 'accepted' END AS reason FROM transforms""",
         "transforms",
     ),
 )
 def validate_transform(spark, sf_dir):
-    return view(spark, sf_dir, "transforms").select("id", geometry.rejection(F.col("matches"), F.col("inliers"), F.col("rms"), Affine.of()).alias("reason"))
+    """Fewer than four matches give no matrix; some residuals are unknown."""
+    rows = view(spark, sf_dir, "transforms").withColumn("a", F.when(F.col("matches") >= 4, F.col("a"))).withColumn("rms", F.when(F.col("id") % 31 > 0, F.col("rms")))
+    return rows.select("id", geometry.validation(F.col("matches"), F.col("inliers"), F.col("rms"), Affine.of()).alias("reason"))
 
 
 @query(
     "flow_confidence",
     with_views(
-        """SELECT id, CASE WHEN inliers / nullif(matches, 0) >= 0.5 AND rms <= 1.5 AND response >= 0.15 AND spatial >= 0.01 THEN 'high' ELSE 'normal' END AS confidence FROM transforms""",
+        """SELECT id, CASE WHEN inliers / nullif(matches, 0) >= 0.5 AND rms <= 2 AND response >= 0.15 AND spatial >= 0.01 THEN 'accepted' ELSE 'low_confidence' END AS confidence FROM transforms""",
         "transforms",
     ),
 )
@@ -176,12 +192,15 @@ def flow_confidence(spark, sf_dir):
 @query(
     "align_decision",
     with_views(
-        """SELECT id, CASE WHEN NOT checked THEN 'unverified' WHEN coverage < 0.3 THEN 'insufficient_overlap' WHEN rms <= 2.5 THEN 'verified' ELSE 'failed_quality' END AS decision FROM transforms""",
+        """SELECT id, CASE WHEN NOT checked THEN 'unverified' WHEN coverage < 0.2e0 THEN 'insufficient_overlap'
+           WHEN response >= 0.15e0 AND rms <= 3 AND sqrt(tx / 1000 * tx / 1000 + ty / 1000 * ty / 1000) <= 1.5 THEN 'verified' ELSE 'failed_quality' END AS decision FROM transforms""",
         "transforms",
     ),
 )
 def align_decision(spark, sf_dir):
-    return view(spark, sf_dir, "transforms").select("id", geometry.alignment_decision(F.col("checked"), F.col("coverage"), F.col("rms")).alias("decision"))
+    """The thousandth of a translation stands for the shift that is left after alignment, the phase response for its confidence."""
+    c = F.col
+    return view(spark, sf_dir, "transforms").select("id", geometry.alignment_decision(c("checked"), c("response"), c("rms"), c("coverage"), c("tx") / 1000, c("ty") / 1000).alias("decision"))
 
 
 @query(

@@ -125,11 +125,17 @@ def hier_leaf(spark, sf_dir):
     return _rounded(S.leaf_medians(pixels(spark, sf_dir), KEYS, [F.col("frame")], ["batch"]), "value").withColumn("leaf", F.col("leaf").cast("bigint"))
 
 
+def _used(level: str) -> str:
+    return f"SELECT * EXCLUDE (frames), CASE WHEN n >= greatest(1, ceil(0.7e0 * frames)) THEN value END AS used, frames FROM {level}"
+
+
 @query(
     "hier_tree",
     with_views(
-        f"""WITH {_LEAVES}, p AS (SELECT batch, pos, leaf // 2 AS node, median(value) AS value, sum(n) AS n FROM l GROUP BY ALL)
-        SELECT batch, pos, round(median(value), 6) AS value, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""",
+        f"""WITH {_LEAVES}, z AS (SELECT batch, leaf, count(*) AS frames FROM f GROUP BY ALL), l2 AS (SELECT l.*, frames FROM l JOIN z USING (batch, leaf)),
+        p AS (SELECT batch, pos, leaf // 2 AS node, median(used) AS value, sum(n) AS n, sum(frames) AS frames FROM ({_used("l2")}) GROUP BY ALL),
+        t AS (SELECT batch, pos, median(used) AS value, sum(n) AS n, sum(frames) AS frames FROM ({_used("p")}) GROUP BY ALL)
+        SELECT batch, pos, round(coalesce(value, 0), 6) AS value, CAST(n AS BIGINT) AS n, n >= greatest(1, ceil(0.7e0 * frames)) AS valid FROM t""",
         "pixels",
     ),
 )
@@ -231,6 +237,11 @@ def encode_uint16(spark, sf_dir):
     return pixels(spark, sf_dir).select("frame", "pos", S.encode_uint16(F.col("v"), F.lit(-0.5), F.lit(1.0)).alias("code"))
 
 
+@query("clip_uint16", with_views("SELECT frame, pos, CAST(trunc(least(greatest(v * 1e5, 0), 65535)) AS INTEGER) AS code FROM pixels", "pixels"))
+def clip_uint16(spark, sf_dir):
+    return pixels(spark, sf_dir).select("frame", "pos", S.clip_uint16(F.col("v") * 1e5).alias("code"))
+
+
 @query(
     "decode_uint16",
     with_views("SELECT frame, pos, round(-0.5 + trunc(least(greatest((v + 0.5) / 1.5, 0), 1) * 65535) / 65535e0 * 1.5, 6) AS v FROM pixels", "pixels"),
@@ -251,15 +262,17 @@ def minmax_norm(spark, sf_dir):
 @query(
     "luminance",
     with_views(
-        """SELECT frame, y, x, round(0.2126 * max(v) FILTER (pos % 3 = 0) + 0.7152 * max(v) FILTER (pos % 3 = 1) + 0.0722 * max(v) FILTER (pos % 3 = 2), 6) AS v
-        FROM (SELECT frame, pos, (pos // 3) // 7 AS y, (pos // 3) % 7 AS x, v FROM pixels WHERE pos < 63) GROUP BY frame, y, x""",
+        """SELECT frame, y, x, round(0.2126 * r + 0.7152 * coalesce(g, r) + 0.0722 * coalesce(b, r), 6) AS v FROM (
+        SELECT frame, (pos // 3) // 11 AS y, (pos // 3) % 11 AS x, max(v) FILTER (pos % 3 = 0) AS r, max(v) FILTER (pos % 3 = 1) AS g, max(v) FILTER (pos % 3 = 2) AS b FROM pixels GROUP BY ALL)""",
         "pixels",
     ),
 )
 def luminance(spark, sf_dir):
-    rows = pixels(spark, sf_dir).where("pos < 63").select("frame", F.expr("pos div 3 div 7").alias("y"), F.expr("pos div 3 % 7").alias("x"), (F.col("pos") % 3).alias("c"), "v")
+    """Three values are a pixel of three colours; one that is left over is grey."""
+    rows = pixels(spark, sf_dir).select("frame", F.expr("pos div 3 div 11").alias("y"), F.expr("pos div 3 % 11").alias("x"), (F.col("pos") % 3).alias("c"), "v")
     pick = lambda c: F.max(F.when(F.col("c") == c, F.col("v")))
-    return rows.groupBy("frame", "y", "x").agg(F.round(0.2126 * pick(0) + 0.7152 * pick(1) + 0.0722 * pick(2), 6).alias("v"))
+    value = 0.2126 * pick(0) + 0.7152 * F.coalesce(pick(1), pick(0)) + 0.0722 * F.coalesce(pick(2), pick(0))
+    return rows.groupBy("frame", "y", "x").agg(F.round(value, 6).alias("v"))
 
 
 @query(
@@ -320,13 +333,25 @@ def sigma_clip_stats(spark, sf_dir):
     return _rounded(S.clipped_stats(pixels(spark, sf_dir), KEYS, 5, 2.0), "mean", "median", "deviation")
 
 
-_HDR = """h AS (SELECT pos, 1 + batch % 3 AS e, v * (1 + batch % 3) AS v FROM pixels WHERE ok),
+_HDR = """h AS (SELECT pos, CASE WHEN batch % 5 = 0 THEN 1 ELSE 1 + batch % 3 END AS e, CASE WHEN batch % 4 = 1 THEN v * 2 - 1 ELSE v * (1 + batch % 3) END AS v
+        FROM pixels WHERE ok AND CASE WHEN batch % 4 = 1 THEN v ELSE v * (1 + batch % 3) END < CASE WHEN batch % 6 > 0 THEN 0.35e0 ELSE 1e9 END),
     g AS (SELECT pos, sum(pow(e / 0.5, 2) * v / e) AS wr, sum(pow(e / 0.5, 2)) AS ws, count(*) AS n, avg(v / e) AS m, avg(v / e * v / e) AS m2, min(e) AS e FROM h GROUP BY pos)"""
 
 
 def _hdr(spark, sf_dir):
-    exposure = (1 + F.col("batch") % 3).cast("double")
-    rows = pixels(spark, sf_dir).withColumn("exposure", exposure).withColumn("v", F.col("v") * exposure)
+    """Batches of three exposures; some are rates, some normalised to a range, and most know where they saturate."""
+    seconds = (1 + F.col("batch") % 3).cast("double")
+    normalised = F.col("batch") % 4 == 1
+    rows = pixels(spark, sf_dir).withColumns(
+        {
+            "exposure": seconds,
+            "v": F.when(normalised, F.col("v")).otherwise(F.col("v") * seconds),
+            "saturation": F.when(F.col("batch") % 6 > 0, 0.35),
+            "is_rate": F.col("batch") % 5 == 0,
+            "low": F.when(normalised, -1.0),
+            "high": F.when(normalised, 1.0),
+        }
+    )
     return S.hdr_fuse(rows, ["pos"], 0.5, 0.25)
 
 

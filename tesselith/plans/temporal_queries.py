@@ -65,7 +65,7 @@ def session_window(spark, sf_dir):
     with_views(
         f"""WITH {_SESSIONS}, m AS (SELECT batch, median(value) AS m FROM s WHERE session > 0 GROUP BY batch), d AS (SELECT batch, 1.4826e0 * median(abs(value - m)) AS d FROM s JOIN m USING (batch) WHERE session > 0 GROUP BY batch),
         g AS (SELECT batch, session, median(value) AS v FROM s WHERE session > 0 GROUP BY ALL)
-        SELECT batch, CAST(session AS BIGINT) AS session, round(v, 6) AS median_value, round(m + 0.5e0 * d, 6) AS threshold, CASE WHEN d > 0 THEN v > m + 0.5e0 * d ELSE false END AS review FROM g JOIN m USING (batch) JOIN d USING (batch)""",
+        SELECT batch, CAST(session AS BIGINT) AS session, round(v, 6) AS median_value, round(m - 3 * d, 6) AS threshold, CASE WHEN d > 0 THEN v < m - 3 * d ELSE false END AS review FROM g JOIN m USING (batch) JOIN d USING (batch)""",
         "sequence",
     ),
 )
@@ -73,8 +73,8 @@ def seeing_baseline(spark, sf_dir):
     timed = _sessions(spark, sf_dir).where("session > 0")
     base = R.robust(timed, ["value"], ["batch"])
     per = timed.groupBy("batch", "session").agg(F.median("value").alias("v"))
-    threshold = F.col("value_median") + 0.5 * F.col("value_sigma")
-    return per.join(base, "batch").select("batch", "session", F.round("v", 6).alias("median_value"), F.round(threshold, 6).alias("threshold"), ((F.col("value_sigma") > 0) & (F.col("v") > threshold)).alias("review"))
+    threshold = F.col("value_median") - 3 * F.col("value_sigma")
+    return per.join(base, "batch").select("batch", "session", F.round("v", 6).alias("median_value"), F.round(threshold, 6).alias("threshold"), ((F.col("value_sigma") > 0) & (F.col("v") < threshold)).alias("review"))
 
 
 @query(
