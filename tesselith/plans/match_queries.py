@@ -32,15 +32,15 @@ def spatial_nms(spark, sf_dir):
     return M.suppress_close(view(spark, sf_dir, "stars"), ["frame"], 25.0, "flux")
 
 
-_QUADS = """br AS (SELECT * FROM stars QUALIFY row_number() OVER (PARTITION BY frame ORDER BY flux DESC, star) <= 20),
+_QUADS = """br AS (SELECT * FROM star_frames QUALIFY row_number() OVER (PARTITION BY frame ORDER BY flux DESC, star) <= 50),
     knn AS (SELECT a.frame, a.star AS of, b.star, b.x, b.y FROM br a JOIN br b USING (frame) QUALIFY row_number() OVER (PARTITION BY a.frame, a.star ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.star) <= 8),
     q AS (SELECT DISTINCT a.frame, a.star AS sa, a.x AS xa, a.y AS ya, b.star AS sb, b.x AS xb, b.y AS yb, c.star AS sc, c.x AS xc, c.y AS yc, d.star AS sd, d.x AS xd, d.y AS yd
         FROM knn a JOIN knn b ON a.frame = b.frame AND a.of = b.of AND a.star < b.star JOIN knn c ON a.frame = c.frame AND a.of = c.of AND b.star < c.star JOIN knn d ON a.frame = d.frame AND a.of = d.of AND c.star < d.star)"""
 
 
-@query("quad_enumerate", with_views(f"WITH {_QUADS} SELECT frame, sa AS a, sb AS b, sc AS c, sd AS d FROM q", "stars"))
+@query("quad_enumerate", with_views(f"WITH {_QUADS} SELECT frame, sa AS a, sb AS b, sc AS c, sd AS d FROM q", "star_frames"))
 def quad_enumerate(spark, sf_dir):
-    return M.quads(view(spark, sf_dir, "stars"), ["frame"]).select("frame", *(F.col(f"{n}.star").alias(n) for n in "abcd"))
+    return M.quads(view(spark, sf_dir, "star_frames"), ["frame"], 50).select("frame", *(F.col(f"{n}.star").alias(n) for n in "abcd"))
 
 
 def _pair(i: int, p: str, q: str, r: str, s: str) -> str:
@@ -60,11 +60,11 @@ _HASH = f"""{_QUADS}, o AS ({" UNION ALL ".join(_pair(i, *p) for i, p in enumera
     with_views(
         f"""WITH {_HASH} SELECT frame, sa AS a, sb AS b, sc AS c, sd AS d, round(CASE WHEN w THEN u2 ELSE u1 END, 6) AS h1, round(CASE WHEN w THEN v2 ELSE v1 END, 6) AS h2,
         round(CASE WHEN w THEN u1 ELSE u2 END, 6) AS h3, round(CASE WHEN w THEN v1 ELSE v2 END, 6) AS h4 FROM (SELECT *, (u1 > u2 OR (u1 = u2 AND v1 > v2)) AS w FROM n)""",
-        "stars",
+        "star_frames",
     ),
 )
 def quad_hash(spark, sf_dir):
-    hashed = M.quad_hashes(M.quads(view(spark, sf_dir, "stars"), ["frame"]))
+    hashed = M.quad_hashes(M.quads(view(spark, sf_dir, "star_frames"), ["frame"], 50))
     return hashed.select("frame", *(F.col(f"{n}.star").alias(n) for n in "abcd"), *(F.round(f"h{i}", 6).alias(f"h{i}") for i in range(1, 5)))
 
 
