@@ -70,7 +70,7 @@ class Limits:
 
 
 #: What the alignment over the whole night must meet.
-GLOBAL_LIMITS = Limits(translation=3000.0)
+GLOBAL_LIMITS = Limits(ratio=0.1, translation=3000.0, rotation=20.0, scale_low=0.96, scale_high=1.04)
 #: A residual that isn't known counts as this.
 NO_RMS = 999.0
 
@@ -100,6 +100,13 @@ def confidence(ratio: Column, rms: Column, response: Column, spatial: Column, li
     return F.when(good, "accepted").otherwise("low_confidence")
 
 
+def confidence_reason(response: Column, ratio: Column, rms: Column, spatial: Column) -> Column:
+    """What speaks for a transform, as text; what is missing counts as in the checks. Halves go to the even digit."""
+    shown = lambda c, default, digits: F.format_string(f"%.{digits}f", F.bround(F.coalesce(c, F.lit(default)), digits))
+    parts = [("phase_response", shown(response, 0.0, 4)), ("inlier_coverage", shown(ratio, 0.0, 3)), ("rms", shown(rms, NO_RMS, 3)), ("spatial_coverage", shown(spatial, 0.0, 4))]
+    return F.concat_ws("; ", *(F.concat(F.lit(f"{n}="), v) for n, v in parts), F.lit("motion=plausible"))
+
+
 @dataclass(frozen=True)
 class AlignmentGate:
     """What the residual of an aligned frame must meet."""

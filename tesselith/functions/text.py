@@ -10,6 +10,22 @@ ACCENTED = "áàãâäéèêëíìîïóòõôöúùûüçÇñÑ"
 PLAIN = "aaaaaeeeeiiiiooooouuuucCnN"
 
 
+# The mosaics a camera may have.
+MOSAICS = ("RGGB", "BGGR", "GRBG", "GBRG")
+
+
+def mosaic(*cards: Column) -> Column:
+    """The first card that names a mosaic, in capitals; null if none does."""
+    names = [F.upper(F.regexp_replace(F.trim(c), "^'+|'+$", "")) for c in cards]
+    return F.coalesce(*(F.when(n.isin(*MOSAICS), n) for n in names))
+
+
+def json_safe(fields: dict[str, Column]) -> Column:
+    """JSON of an object of numbers, where those that aren't finite are null."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return F.to_json(F.struct(*(finite(c.cast("double")).alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})
+
+
 def natural_key(name: Column) -> Column:
     """Sorts names with numbers in them by number: an array of (is text, number, text)."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"))

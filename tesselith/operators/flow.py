@@ -36,3 +36,26 @@ def present_in(frames: DataFrame, key: str, *others: DataFrame) -> DataFrame:
 def disconnected(accepted: DataFrame, visited: DataFrame, key: str) -> DataFrame:
     """The keys of accepted frames that aren't among the visited ones, each once."""
     return accepted.select(key).distinct().join(visited.select(key), key, "left_anti")
+
+
+def active_flows(batches: DataFrame, manifest: DataFrame, local_manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(batch, path, origin, found): where each batch's flow is read from.
+
+    The manifest of the night (batch, path) goes before that of the batch (batch, path), and that before the file of
+    old in the batch's folder. ``files`` (path): what there is; a path that isn't among them is not ``found``, and no
+    other takes its place. A row of a manifest with a null or empty path counts as none, and of several rows the greatest path."""
+
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        return rows.where("path <> ''").groupBy("batch").agg(F.max("path").alias(name))
+
+    rows = batches.select("batch").distinct().join(told(manifest, "night"), "batch", "left").join(told(local_manifest, "own"), "batch", "left")
+    origin = F.when(F.col("night").isNotNull(), "manifest").when(F.col("own").isNotNull(), "batch_manifest").otherwise("legacy")
+    rows = rows.select("batch", F.coalesce("night", "own", F.concat("batch", F.lit("/flow_local.json"))).alias("path"), origin.alias("origin"))
+    there = files.select("path").distinct().withColumn("found", F.lit(True))
+    return rows.join(there, "path", "left").select("batch", "path", "origin", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def all_batches(legacy: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(batch, path) of both lists, each batch once; the manifest's rows go first, then the greatest path."""
+    both = manifest.select("batch", "path", F.lit(1).alias("first")).unionByName(legacy.select("batch", "path", F.lit(0).alias("first")))
+    return both.groupBy("batch").agg(F.max(F.struct("first", "path")).alias("b")).select("batch", "b.path")

@@ -69,6 +69,30 @@ def background(stack: DataFrame, keys: list[str], box: int, sigma: float = 3.0)
     return clipped_stats(boxed, [*keys, "by", "bx"], 3, sigma).select(*keys, "by", "bx", F.col("median").alias("background"))
 
 
+def flatten(stack: DataFrame, keys: list[str], height: int, width: int, box: int = 50, sigma: float = 3.0) -> DataFrame:
+    """(keys, y, x, v, background): pixels less the background of their frame.
+
+    A box counts if at least half of its pixels are valid. Each box takes the median of the 3 by 3 boxes around it that
+    count, and the background between the middles of boxes is bilinear, level beyond the outermost ones. Where no
+    box near a pixel counts, its value stays as it is and the background is null."""
+    down, across = -(-height // box), -(-width // box)
+    place = [F.floor(F.col("y") / box).alias("by"), F.floor(F.col("x") / box).alias("bx")]
+    valid = stack.groupBy(*keys, *place).agg((F.count_if("ok") * 2 >= F.count(F.lit(1))).alias("counts")).where("counts").drop("counts")
+    mesh = background(stack.where("ok"), keys, box, sigma).join(valid, [*keys, "by", "bx"])
+    sent = mesh.select(*keys, "by", "bx", "background", F.explode(offsets(1)).alias("o")).select(*keys, (F.col("by") + F.col("o.dy")).alias("by"), (F.col("bx") + F.col("o.dx")).alias("bx"), "background")
+    smooth = sent.where(F.col("by").between(0, down - 1) & F.col("bx").between(0, across - 1)).groupBy(*keys, "by", "bx").agg(F.median("background").alias("level"))
+
+    def along(c: str, most: int) -> Column:
+        at = F.least(F.greatest((F.col(c) + 0.5) / box - 0.5, F.lit(0.0)), F.lit(float(most - 1)))
+        return F.array(*(F.struct((F.floor(at) + i).alias("b"), (at - F.floor(at) if i else 1 - at + F.floor(at)).alias("w")) for i in (0, 1)))
+
+    rows = stack.select(*keys, "y", "x", "v", F.explode(along("y", down)).alias("p"), along("x", across).alias("q")).select("*", F.explode("q").alias("r"))
+    rows = rows.select(*keys, "y", "x", "v", F.col("p.b").alias("by"), F.col("r.b").alias("bx"), (F.col("p.w") * F.col("r.w")).alias("w")).where("w > 0")
+    level = F.try_divide(F.sum(F.when(F.col("level").isNotNull(), F.col("w") * F.col("level"))), F.sum(F.when(F.col("level").isNotNull(), F.col("w"))))
+    total = rows.join(smooth, [*keys, "by", "bx"], "left").groupBy(*keys, "y", "x").agg(F.max("v").alias("v"), level.alias("background"))
+    return total.select(*keys, "y", "x", (F.col("v") - F.coalesce("background", F.lit(0.0))).alias("v"), "background")
+
+
 # --- NumPy, one frame or pair of frames at a time
 
 
@@ -148,6 +172,31 @@ def detect(image: np.ndarray, sigma: float) -> list[tuple[float, float, float, i
     return sorted(out, key=lambda s: (-s[2], s[0], s[1]))
 
 
+def detect_until(image: np.ndarray, target: int, first: float, last: float, step: float) -> tuple[float, list[tuple[float, float, float, int]]]:
+    """The threshold that gives at least ``target`` regions, taking it down from ``first`` by steps; else the last one tried."""
+    sigma = first
+    while True:
+        found = detect(image, sigma)
+        if len(found) >= target or round(sigma - step, 9) < last:
+            return sigma, found
+        sigma = round(sigma - step, 9)
+
+
+def detect_adaptive(frames: DataFrame, height: int, width: int, target: int, first: float = 5.0, last: float = 3.0, step: float = 0.5) -> DataFrame:
+    """(frame, star, x, y, flux, pixels, sigma) of ``frames`` (frame, data), by the highest threshold that gives enough stars."""
+    ship_package(frames.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for f, d in zip(part["frame"], part["data"], strict=True):
+                sigma, found = detect_until(np.asarray(d, float).reshape(height, width), target, first, last, step)
+                rows += [(f, k, *s, sigma) for k, s in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["frame", "star", "x", "y", "flux", "pixels", "sigma"])
+
+    return frames.mapInPandas(run, "frame bigint, star int, x double, y double, flux double, pixels int, sigma double")
+
+
 def detect_stars(frames: DataFrame, height: int, width: int, sigma: float) -> DataFrame:
     """(frame, star, x, y, flux, pixels) of ``frames`` (frame, data): a row is a frame, so no shuffle is needed."""
     ship_package(frames.sparkSession)

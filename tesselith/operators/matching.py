@@ -92,14 +92,17 @@ def quad_hashes(fours: DataFrame) -> DataFrame:
 
 
 def quad_matches(reference: DataFrame, target: DataFrame, group: list[str], tolerance: float = 0.02) -> DataFrame:
-    """(group, reference, target): stars that nearest quads within the tolerance pair, where a reference star has one partner only."""
+    """(group, reference, target): stars that nearest quads within the tolerance pair, where a reference star has one partner only.
+
+    A reference without the group's columns is one for all groups."""
     reference, target = stage(reference, "reference"), stage(target, "target")
     cell = lambda c: F.floor(F.col(c) / tolerance)
     around = F.explode(F.array(*(F.struct((cell("h1") + i).alias("c1"), (cell("h2") + j).alias("c2")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     t = target.select(*group, "h1", "h2", "h3", "h4", F.col("stars").alias("t_stars"), around.alias("c")).select("*", "c.*")
-    r = reference.select(*group, *(F.col(f"h{i}").alias(f"r{i}") for i in range(1, 5)), F.col("stars").alias("r_stars"), cell("h1").alias("c1"), cell("h2").alias("c2"))
+    shared = [g for g in group if g in reference.columns]
+    r = reference.select(*shared, *(F.col(f"h{i}").alias(f"r{i}") for i in range(1, 5)), F.col("stars").alias("r_stars"), cell("h1").alias("c1"), cell("h2").alias("c2"))
     dist = F.sqrt(sum((F.col(f"h{i}") - F.col(f"r{i}")) * (F.col(f"h{i}") - F.col(f"r{i}")) for i in range(1, 5)))
-    near = t.join(r, [*group, "c1", "c2"]).withColumn("dist", dist).where(F.col("dist") <= tolerance)
+    near = t.join(r, [*shared, "c1", "c2"]).withColumn("dist", dist).where(F.col("dist") <= tolerance)
     best = near.groupBy(*group, "t_stars").agg(F.min(F.struct("dist", "r_stars")).alias("b"))
     votes = best.select(*group, F.explode(F.arrays_zip(F.col("b.r_stars").alias("r"), F.col("t_stars").alias("t"))).alias("z")).select(*group, F.col("z.r").alias("reference"), F.col("z.t").alias("target"))
     return votes.groupBy(*group, "reference").agg(F.min("target").alias("target"), F.max("target").alias("other")).where("target = other").drop("other")

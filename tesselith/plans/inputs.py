@@ -91,6 +91,18 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "cast(p_retailprice AS double) AS flux",
         ],
     ),
+    # one sky of a hundred stars, seen once by each hundred parts in a row: turned and moved, in two frames of three with some stars unseen and some misplaced
+    "sky": (
+        "part",
+        [
+            "p_partkey % 100 AS star",
+            "cast(floor(p_partkey / 100) AS bigint) AS frame",
+            "((p_partkey % 100) * ((p_partkey % 100) * 911 + 7919) % 2003) / 2e0 * cos((floor(p_partkey / 100) % 9) / 1000e0) - ((p_partkey % 100) * ((p_partkey % 100) * (p_partkey % 100) * 577 + 6271) % 1999) / 2e0 * sin((floor(p_partkey / 100) % 9) / 1000e0) + (floor(p_partkey / 100) % 12) * 15e0 + CASE WHEN p_partkey % 31 = 0 AND floor(p_partkey / 100) % 3 <> 0 THEN 9e0 ELSE 0e0 END AS x",
+            "((p_partkey % 100) * ((p_partkey % 100) * 911 + 7919) % 2003) / 2e0 * sin((floor(p_partkey / 100) % 9) / 1000e0) + ((p_partkey % 100) * ((p_partkey % 100) * (p_partkey % 100) * 577 + 6271) % 1999) / 2e0 * cos((floor(p_partkey / 100) % 9) / 1000e0) - (floor(p_partkey / 100) % 5) * 20e0 AS y",
+            "cast((p_partkey % 100) * 613 % 997 AS double) AS flux",
+            "floor(p_partkey / 100) % 3 = 0 OR (p_partkey % 19 <> 0 AND p_size > 1) AS seen",
+        ],
+    ),
 }
 
 PIXELS_SQL = """pixels AS (

@@ -27,7 +27,15 @@ def nn_match(spark, sf_dir):
     return found.select("frame", "current", "previous", F.round("dist", 6).alias("dist"))
 
 
-@query("spatial_nms")
+@query(
+    "spatial_nms",
+    with_views(
+        """WITH o AS (SELECT frame, list([{'star': star, 'x': x, 'y': y}] ORDER BY flux DESC, star) AS stars FROM stars GROUP BY frame),
+        k AS (SELECT frame, list_reduce(stars, lambda kept, s: CASE WHEN len(list_filter(kept, lambda k: sqrt(pow(k.x - s[1].x, 2) + pow(k.y - s[1].y, 2)) < 25)) > 0 THEN kept ELSE list_concat(kept, s) END) AS kept FROM o)
+        SELECT frame, s.star AS star FROM (SELECT frame, unnest(kept) AS s FROM k)""",
+        "stars",
+    ),
+)
 def spatial_nms(spark, sf_dir):
     return M.suppress_close(view(spark, sf_dir, "stars"), ["frame"], 25.0, "flux")
 
@@ -177,7 +185,18 @@ def graph_seed_expand(spark, sf_dir):
     return G.seed_and_expand(nodes, ["batch"], "seq", "seed", "linked").select("frame_id", "hops", "state")
 
 
-@query("graph_bfs")
+_GROWN = """n AS (SELECT batch, id AS node, row_number() OVER (PARTITION BY batch ORDER BY id) AS place FROM transforms),
+    e AS (SELECT a.batch, a.node, b.node AS other, abs(a.place - b.place) AS distance, b.place = 1 AS anchor, (a.node * b.node) % 17 / 10e0 AS rms, (a.node + b.node) % 4 <> 0 AS works FROM n a JOIN n b ON a.batch = b.batch AND abs(a.place - b.place) BETWEEN 1 AND 3),
+    r AS (SELECT 0 AS round, batch, node, CAST(NULL AS BIGINT) AS parent, 0 AS hops, 0e0 AS square FROM n WHERE place = 1
+        UNION ALL
+        SELECT round + 1, batch, node, parent, hops, square FROM (
+            WITH open AS (SELECT t.round, e.batch, e.node, e.other, e.distance, e.anchor, e.works, t.hops + 1 AS hops, t.square + e.rms * e.rms AS square FROM e JOIN r t ON t.batch = e.batch AND t.node = e.other WHERE NOT EXISTS (SELECT 1 FROM r u WHERE u.batch = e.batch AND u.node = e.node)),
+            looked AS (SELECT * FROM open QUALIFY anchor OR row_number() OVER (PARTITION BY batch, node ORDER BY distance > 1, hops, distance, other) <= 3),
+            new AS (SELECT * FROM looked WHERE works QUALIFY row_number() OVER (PARTITION BY batch, node ORDER BY hops, square, distance, other) = 1)
+            SELECT round, batch, node, other AS parent, hops, square FROM new UNION ALL SELECT round, batch, node, parent, hops, square FROM r WHERE EXISTS (SELECT 1 FROM new)))"""
+
+
+@query("graph_bfs", with_views(f"WITH RECURSIVE {_GROWN} SELECT batch, node, parent, hops, round(sqrt(square), 6) AS cumulative_rms FROM r WHERE round = (SELECT max(round) FROM r)", "transforms"))
 def graph_bfs(spark, sf_dir):
     """Suppliers of a nation in order; edges reach three places, and some don't work."""
     w = Window.partitionBy("batch").orderBy("id")
@@ -186,7 +205,7 @@ def graph_bfs(spark, sf_dir):
     shifts = F.explode(F.array(*(F.lit(i) for i in (-3, -2, -1, 1, 2, 3))))
     pairs = nodes.select("batch", "node", "place", shifts.alias("shift")).withColumn("other_place", F.col("place") + F.col("shift")).join(other, ["batch", "other_place"])
     edges = pairs.select("batch", "node", "other", ((F.col("node") * F.col("other")) % 17 / 10.0).alias("rms"), ((F.col("node") + F.col("other")) % 4 != 0).alias("works"))
-    return G.grow(nodes, edges)
+    return G.grow(nodes, edges).withColumn("cumulative_rms", F.round("cumulative_rms", 6))
 
 
 _CROSS = """x AS (SELECT l.id, g.a AS ga, g.b AS gb, g.c AS gc, g.d AS gd, g.tx AS gx, g.ty AS gy, l.a, l.b, l.c, l.d, l.tx, l.ty FROM transforms l JOIN transforms g ON g.id = l.id + 1)"""
