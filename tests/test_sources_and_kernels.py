@@ -36,6 +36,29 @@ def test_fits_round_trip(spark, tmp_path):
     assert two[0, 0] == 12 and two[1, 1] == 18 and np.isnan(two[1, 0])
 
 
+def test_fits_masks_and_parts(spark, tmp_path):
+    codes = np.arange(300 * 270, dtype=np.uint16).reshape(300, 270)
+    valid, full = np.ones((300, 270), bool), np.zeros((300, 270), bool)
+    valid[280, 3] = full[299, 269] = full[0, 0] = False
+    full[299, 269] = True
+    cube = np.stack([codes, codes + 1.0, codes + 2.0]).astype(float)
+    (tmp_path / "one.fits").write_bytes(fits.encode(codes, {"ORIGIN": "here"}, valid, full))
+    (tmp_path / "three.fits").write_bytes(fits.encode(cube, None, np.stack([valid, ~full])))
+    (tmp_path / "low.fits").write_bytes(fits.encode(np.zeros((4, 5))))
+    long = fits.long_table(fits.read_tiles(spark, str(tmp_path))).cache()
+    one = long.where(F.col("path").endswith("one.fits"))
+    assert one.agg(F.sum("v")).first()[0] == codes.sum() and one.where("not ok").select("y", "x").collect() == [(280, 3)]
+    assert one.where("saturated").select("y", "x", "v").collect() == [(299, 269, float(codes[299, 269]))]
+    assert sorted(set((r.y, r.x) for r in long.where(F.col("path").endswith("three.fits") & ~F.col("ok")).collect())) == [(280, 3), (299, 269)]
+    band = fits.read_tiles(spark, str(tmp_path), rows=(270, 290), channel=2)
+    assert sorted((r.path[-10:], r.c, r.y0, r.x0, r.h, r.w) for r in band.collect()) == [("three.fits", 2, 270, 0, 20, 256), ("three.fits", 2, 270, 256, 20, 14)]
+    got = {(r.y, r.x): r.v for r in fits.long_table(band).collect()}
+    assert len(got) == 20 * 270 and all(v == cube[2, y, x] for (y, x), v in got.items())
+    assert [(h.channels, h.height) for h in fits.read_headers(spark, str(tmp_path), "three.fits").collect()] == [(3, 300)]
+    with pytest.raises(ValueError, match="beside an image"):
+        fits.masks(fits.encode(codes, None, valid[:10]), 300, 270)
+
+
 def test_revisions_switch_whole(spark, tmp_path):
     for k in (1, 2):
         bundles.write_revision(spark.range(k * 10).withColumn("batch", F.col("id") % 2), str(tmp_path), f"r{k}", "batch")
