@@ -1,4 +1,4 @@
-"""The queries of the ten training-data operators, and their SQL where there is any."""
+"""The queries of the training-data operators, and their SQL where there is any."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselith.llm import archives, decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, quality, secret_scan, tool_calls
+from tesselith.llm import archives, decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, quality, secret_scan, suffix_dedup, tool_calls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,6 +191,32 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.length("bytes").cast("bigint").alias("n_bytes"),
+        F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, run: n + run["high"] - run["low"]).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, low, substr(h, 2 * low + 1, 2 * {2 * suffix_dedup.WINDOW - 1}) AS part FROM (
+    SELECT r, h, unnest(range(0, greatest(length(h) // 2 - {suffix_dedup.WINDOW - 1}, 0), {suffix_dedup.WINDOW})) AS low FROM d)),
+w AS (SELECT r, low + s AS s, md5_number(substr(part, 2 * s + 1, {2 * suffix_dedup.WINDOW})) AS k FROM (
+    SELECT r, low, part, unnest(range(0, length(part) // 2 - {suffix_dedup.WINDOW - 1})) AS s FROM c)),
+again AS (SELECT r, s FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) m ON w.k = m.k),
+opened AS (SELECT r, s, CASE WHEN s > lag(s) OVER (PARTITION BY r ORDER BY s) + {suffix_dedup.WINDOW} THEN 1 ELSE 0 END AS fresh FROM again),
+runs AS (SELECT r, min(s) AS low, max(s) + {suffix_dedup.WINDOW} AS high FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS run FROM opened) GROUP BY r, run),
+pieces AS (SELECT d.r, low, high, h, substr(h, 2 * coalesce(lag(high) OVER (PARTITION BY d.r ORDER BY low), 0) + 1, 2 * (low - coalesce(lag(high) OVER (PARTITION BY d.r ORDER BY low), 0))) AS piece FROM d JOIN runs ON d.r = runs.r),
+cut AS (SELECT r, sum(high - low) AS removed, count(*) AS spans, string_agg(piece, '' ORDER BY low) || substr(any_value(h), 2 * max(high) + 1) AS kept FROM pieces GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut ON d.r = cut.r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
@@ -202,6 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -210,4 +237,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_license_scan": OP5_SQL,
     "op6_tool_calls": OP6_SQL,
     "op7_arc_to_warc": OP7_SQL,
+    "op11_suffix_dedup": OP11_SQL,
 }
