@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselith.llm import archives, decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, quality, secret_scan, suffix_dedup, tool_calls
+from tesselith.llm import archives, code_compression, decontaminate, exact_dedup, language_id, licenses, near_dedup, packing, quality, secret_scan, suffix_dedup, tool_calls, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -217,6 +217,40 @@ FROM d LEFT JOIN cut ON d.r = cut.r
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _assigned_sql(k: int) -> str:
+    """The nearest entries of codebooks b{k}, as a{k}; for four entries a part, as the tables have."""
+    way = " + ".join(f"(p.y[{i}] - b.y[{i}]) * (p.y[{i}] - b.y[{i}])" for i in range(1, 5))
+    return f"a{k} AS (SELECT vec_id, part, any_value(label) AS label, any_value(p.y) AS y, min({{'d': {way}, 'e': entry}}) AS best FROM p JOIN b{k} b USING (part) GROUP BY vec_id, part)"
+
+
+def _moved_sql(k: int) -> str:
+    mean = ", ".join(f"CAST(floor(CAST(sum(y[{i}]) AS DOUBLE) / count(*)) AS BIGINT)" for i in range(1, 5))
+    return f"m{k} AS (SELECT part, best.e AS entry, [{mean}] AS y FROM a{k} GROUP BY ALL), b{k + 1} AS (SELECT part, entry, coalesce(m.y, b.y) AS y FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"
+
+
+OP13_SQL = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor({code_compression.SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT vec_id, label, part, x[4 * part + 1 : 4 * part + 4] AS y FROM v, (SELECT unnest(range({code_compression.PARTS})) AS part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {code_compression.ENTRIES}),
+b0 AS (SELECT part, entry, y FROM p JOIN f USING (vec_id)),
+{", ".join(f"{_assigned_sql(k)}, {_moved_sql(k)}" for k in range(code_compression.ROUNDS))},
+{_assigned_sql(code_compression.ROUNDS)},
+c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{code_compression.ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) FROM b{code_compression.ROUNDS}) AS codebooks_sha256
+FROM c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
@@ -229,6 +263,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_code_compression": op13_code_compression,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -238,4 +274,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_tool_calls": OP6_SQL,
     "op7_arc_to_warc": OP7_SQL,
     "op11_suffix_dedup": OP11_SQL,
+    "op13_code_compression": OP13_SQL,
 }
