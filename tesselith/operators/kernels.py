@@ -106,6 +106,44 @@ def phase_shift(one: np.ndarray, other: np.ndarray) -> tuple[int, int, float]:
     return int(dy - h if dy > h // 2 else dy), int(dx - w if dx > w // 2 else dx), float(surface.max())
 
 
+def _whitened(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The cross spectrum of two windowed images, all its parts of one size."""
+    h, w = one.shape
+    window = np.outer(np.hanning(h + 2)[1:-1], np.hanning(w + 2)[1:-1])
+    a, b = (np.fft.fft2((x - x.mean()) * window) for x in (one, other))
+    cross = b * a.conj()
+    size = np.abs(cross)
+    return cross / np.maximum(size, max(1e-12, 1e-9 * float(size.max(initial=0.0))))
+
+
+def sub_pixel_shift(one: np.ndarray, other: np.ndarray, finest: float = 1 / 64) -> tuple[float, float, float]:
+    """The shift (dy, dx) that takes ``one`` to ``other`` in parts of a pixel, and the share of the correlation at its peak.
+
+    Both are windowed, so that their edges don't correlate. The highest place of the correlation is the whole shift; the parts come
+    from what both frames see of the sky, whose spectrum is summed at places ever closer to the best one."""
+    h, w = one.shape
+    surface = np.fft.ifft2(_whitened(one, other)).real
+    dy, dx = (int(i) for i in np.unravel_index(int(surface.argmax()), surface.shape))
+    near = np.ix_(*(sorted({(p + i) % n for i in range(-2, 3)}) for p, n in ((dy, h), (dx, w))))
+    response = float(np.clip(surface[near].sum(), 0.0, 1.0))
+    dy, dx = dy - h if dy > h // 2 else dy, dx - w if dx > w // 2 else dx
+    y = x = 0.0
+    if min(h - abs(dy), w - abs(dx)) >= 8:
+        seen = lambda of, sy, sx: of[max(0, sy) : h + min(0, sy), max(0, sx) : w + min(0, sx)]
+        cross = _whitened(seen(one, -dy, -dx), seen(other, dy, dx))
+        fy, fx = np.fft.fftfreq(cross.shape[0]), np.fft.fftfreq(cross.shape[1])
+        cross = cross * np.exp(-18 * (fy[:, None] ** 2 + fx[None, :] ** 2))  # fine detail is mostly noise
+        step = 0.5
+        while step >= finest:
+            ys, xs = y + step * np.arange(-2, 3), x + step * np.arange(-2, 3)
+            at = (np.exp(2j * np.pi * np.outer(ys, fy)) @ cross @ np.exp(2j * np.pi * np.outer(fx, xs))).real
+            i, j = np.unravel_index(int(at.argmax()), at.shape)
+            if at[i, j] > at[2, 2]:
+                y, x = float(ys[i]), float(xs[j])
+            step /= 2
+    return dy + y, dx + x, response
+
+
 def similarity_from(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The 2 x 3 matrix of turn, scale and shift that takes points p nearest to q."""
     pm, qm = p.mean(axis=0), q.mean(axis=0)

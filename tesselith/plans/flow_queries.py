@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesselith.functions import text
-from tesselith.functions.geometry import confidence_reason
+from tesselith.functions.geometry import Limits, confidence_reason
 from tesselith.operators import edges as E
 from tesselith.operators import flow
 from tesselith.operators import kernels as K
+from tesselith.operators import registration
 from tesselith.plans.inputs import pixels, view, with_views
 from tesselith.plans.registry import query
 
@@ -39,6 +40,32 @@ def global_pairs(spark, sf_dir):
     return E.global_pairs(stars.where("frame = 0").drop("frame"), stars.where("frame > 0"), "frame")
 
 
+#: How the frames of the sky are registered.
+_SKY = registration.Flow(height=1400, width=1400, radius=12.0, threshold=3.0, limits=Limits(inliers=12))
+
+
+def _sky_batches(spark, sf_dir):
+    """Twenty frames of the sky a batch, the eighth its anchor. Every eleventh frame shows other stars, every thirteenth hardly any."""
+    stars = view(spark, sf_dir, "sky").where("seen AND (frame % 13 <> 6 OR star < 3)")
+    odd = F.col("frame") % 11 == 5
+    x, y = F.when(odd, F.col("x") * 31 % 1000).otherwise(F.col("x") + 100), F.when(odd, F.col("y") * 17 % 1000).otherwise(F.col("y") + 150)
+    # A frame has a hundred stars at most.
+    rows = stars.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct(x.alias("x"), y.alias("y"), "flux"))).alias("stars"))
+    return rows.select(F.floor(F.col("frame") / 20).alias("batch"), (F.col("frame") % 20).cast("int").alias("place"), "stars", (F.col("frame") % 20 == 7).alias("anchor"))
+
+
+@query("flow_chain")
+def flow_chain(spark, sf_dir):
+    """Each frame of a batch against the last accepted one."""
+    return registration.chain(_sky_batches(spark, sf_dir), _SKY)
+
+
+@query("flow_tree")
+def flow_tree(spark, sf_dir):
+    """A tree of each batch's frames, grown from its anchor by making edges."""
+    return registration.tree(_sky_batches(spark, sf_dir), _SKY)
+
+
 @query(
     "reference_change",
     with_views(
