@@ -43,6 +43,7 @@ from tesselith.staging import stage
 
 CELLS = ("a", "b", "c", "d", "tx", "ty")
 MEASURES = ("matches", "inliers", "ratio", "rms", "spatial", "response")
+PAIRS_OF_A_TASK = 500
 _PAIR = ", ".join(("matches int, inliers int", *(f"{c} double" for c in ("ratio", "rms", "spatial", "response", *CELLS))))
 RESULT = f"batch bigint, place int, reference int, wide boolean, {_PAIR}"
 _TRIED = f"reference:int,primary:boolean,method:string,reason:string,{_PAIR.replace(' ', ':').replace(',:', ',')}"
@@ -70,7 +71,7 @@ class Flow:
     window: int = 4
     candidates: int = 3
     #: Side of the map that a frame's stars make where it has no image.
-    map_side: int = 256
+    map_side: int = 128
 
 
 # --- One pair of frames
@@ -151,7 +152,10 @@ def match_pairs(wanted: DataFrame, frames: DataFrame, flow: Flow) -> DataFrame:
                     out += [{k: row[k] for k in ("batch", "place", "reference")} | found for found in pair(row["reference_frame"], row["target_frame"], flow)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in zip(columns, _types(columns), strict=True)], names=columns)
 
-    found = rows.select("batch", "place", "reference", "target_frame", "reference_frame").mapInArrow(run, RESULT)
+    # Small rows with much to do: they are dealt by number, not by size.
+    tasks = max(frames.sparkSession.sparkContext.defaultParallelism, -(-wanted.count() // PAIRS_OF_A_TASK))
+    rows = rows.select("batch", "place", "reference", "target_frame", "reference_frame").repartition(tasks)
+    found = rows.mapInArrow(run, RESULT)
     return found.withColumn("status", validation(F.col("matches"), F.col("inliers"), F.col("rms"), Affine.of(), flow.limits))
 
 
@@ -390,7 +394,7 @@ def _rounds(rows: DataFrame, results: DataFrame | None, frames: DataFrame, order
         decided = stage(_decide(asked, order, walk, flow), "decided")
         if decided.where("NOT sure").isEmpty():
             return decided, results
-        wanted = decided.select("batch", "place", F.explode("wanted").alias("reference")).distinct()
+        wanted = stage(decided.select("batch", "place", F.explode("wanted").alias("reference")).distinct(), "wanted")
         fresh = stage(match_pairs(wanted, frames, flow), "results")
         results = fresh if results is None else results.unionByName(fresh)
 
