@@ -324,7 +324,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     ship_package(docs.sparkSession)
     texts = stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), "texts")
     rows = stage(texts.where(F.octet_length("text") >= window).select("row", "text").mapInArrow(_segment_rows(window, anchor), SEGMENTS), "segments")
-    again = rows.groupBy("anchor").count().where("count > 1").select("anchor")
+    # A table: a join of two tables is one whose large keys can be divided.
+    again = stage(rows.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
     rows = stage(rows.join(again, "anchor"), "shared_anchors")
     kinds = stage(rows.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "first", "to_anchor", "windows")).alias("chosen")), "contents")
     counts = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
