@@ -17,8 +17,9 @@ shorter than MIN_MATCHES words must match in ITEM_SHARE of its words, and is
 sought by masks for its own length, down to the whole item; a document that
 holds several items has a row for each; repeated rows of a doc_id or an item_id,
 with equal texts or not, give one row per doc_id and item_id; items without an
-item_id are compared like others, and share the row without item_id; an empty table gives an empty result; further columns are carried
-along by ``decontaminate``.
+item_id are compared like others, and share the row without item_id; documents without a doc_id are compared like
+others, and each has its own rows, with a null doc_id; an empty table gives an empty result; further columns are
+carried along by ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -156,13 +157,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that overlap: doc_id, item_id, matched_words, overlap_words (with
     substitutions), doc_word and item_word (where it starts), item_words."""
-    spark = docs.sparkSession
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    found = _overlaps(named, benchmark)
+    without = _without_id(docs)
+    if without.isEmpty():
+        return found
+    # Equal texts overlap alike, so those without an id go by a hash of their text, each once.
+    own = _overlaps(without.select(F.col("key").alias("doc_id"), "text").distinct(), benchmark)
+    return found.unionByName(without.select("key").join(own.withColumnRenamed("doc_id", "key"), "key").select(F.lit(None).cast("bigint").alias("doc_id"), *own.columns[1:]))
+
+
+def _without_id(docs: DataFrame) -> DataFrame:
+    """(key, text) of the rows without a doc_id."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.where("doc_id is null").select(F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def _overlaps(own: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The overlaps of (doc_id, text), where no doc_id is null."""
+    spark = own.sparkSession
     ship_package(spark)
     # A table: its joins can be broadcast by size, or split where an item is in very many documents.
     # An item is a text with its item_id: several texts of one item_id are all compared.
     named = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     items = stage(named.withColumn("item", F.monotonically_increasing_id()), "items")
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     tests = stage(seed_hashes(items, "item"), "tests")
     sent = spark.sparkContext.broadcast(seed_bitmap(tests))
     used = {row["mask"] for row in tests.select("mask").distinct().collect()}  # at most one for each of ALL_MASKS
@@ -181,5 +199,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item."""
-    gone = stage(overlaps(docs, benchmark).select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    gone = stage(_overlaps(named, benchmark).select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
+    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    without = _without_id(docs)
+    if without.isEmpty():
+        return kept
+    own = stage(_overlaps(without.select(F.col("key").alias("doc_id"), "text").distinct(), benchmark).select(F.col("doc_id").alias("gone")).distinct(), "contaminated")
+    key = F.when(kept["doc_id"].isNull(), F.xxhash64(F.coalesce(kept["text"], F.lit(""))))
+    return kept.join(own, key == own["gone"], "left_anti")

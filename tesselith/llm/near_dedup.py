@@ -282,7 +282,8 @@ def components(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the least doc_id of the class), kept (whether the row stands
-    for its class), similar (whether its text has a link to another one, not equal copies alone)."""
+    for its class), similar (whether its text has a link to another one, not equal copies alone), links (how many verified
+    links to other texts its text has; within a class, not all similar texts need be linked to each other) and nearest (the largest similarity of these)."""
     ship_package(docs.sparkSession)
     with_id = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     signs = with_id.select("doc_id", F.md5("text").alias("h"), W.plain(F.col("text")).alias("text")).mapInArrow(_sign, "doc_id bigint, h string, buckets array<bigint>")
@@ -332,13 +333,16 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         if not more.isEmpty():
             classes = components(more, classes)
             links = links.unionByName(more)
+    ends = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("rep"), "similarity")
+    per_text = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"), F.max("similarity").alias("nearest"))
+    linked = groups.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").join(per_text, "rep", "left")
     linked = stage(
-        groups.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("h", "rep", "rep_row", F.coalesce("class_id", "rep").alias("class_id"), F.col("class_id").isNotNull().alias("similar")),
+        linked.select("h", "rep", "rep_row", F.coalesce("class_id", "rep").alias("class_id"), F.col("class_id").isNotNull().alias("similar"), F.coalesce("links", F.lit(0)).alias("links"), "nearest"),
         "classes",
     )
     kept = (F.col("rep") == F.col("class_id")) & (F.col("row") == F.col("rep_row"))
-    out = signed.select("doc_id", "h", "row").join(linked, "h").select("doc_id", "class_id", kept.alias("kept"), "similar")
-    none = docs.where("doc_id is null").select(F.col("doc_id").cast("bigint"), F.col("doc_id").cast("bigint").alias("class_id"), F.lit(True).alias("kept"), F.lit(False).alias("similar"))
+    out = signed.select("doc_id", "h", "row").join(linked, "h").select("doc_id", "class_id", kept.alias("kept"), "similar", "links", "nearest")
+    none = docs.where("doc_id is null").select(F.col("doc_id").cast("bigint"), F.col("doc_id").cast("bigint").alias("class_id"), F.lit(True).alias("kept"), F.lit(False).alias("similar"), F.lit(0).cast("bigint").alias("links"), F.lit(None).cast("double").alias("nearest"))
     return out.unionByName(none)
 
 

@@ -70,7 +70,7 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "links", "nearest")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,18 @@ def test_near_classes_of_repeated_lines_equal_brute_force(spark):
     assert sum(d != c for d, c in want.items()) == 40 and got == want
 
 
+def test_links_are_those_of_verified_pairs(spark):
+    base = prose(40, 200).split()
+    texts = [" ".join(base), " ".join([*base[:100], "zz", *base[101:]]), " ".join([*base[:60], "yy", *base[61:]]), prose(41, 200), prose(41, 200), ""]
+    shingles = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    rows = {r.doc_id: r for r in near_dedup.near_classes(table(spark, [(d, t, "en") for d, t in enumerate(texts)])).collect()}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    assert {rows[d].class_id for d in range(3)} == {0} and sum(rows[d].links for d in range(3)) >= 4
+    for d in range(3):
+        assert 1 <= rows[d].links <= 2 and any(abs(rows[d].nearest - alike(d, o)) < 1e-9 for o in range(3) if o != d)
+    assert [(rows[d].links, rows[d].nearest) for d in (3, 4, 5)] == [(0, None)] * 3
+
+
 def test_near_odd_cases(odd, empty):
     got = near_dedup.near_classes(odd).collect()
     assert len(got) == 11
@@ -265,13 +277,25 @@ def test_overlaps_equal_brute_force(spark):
             needed = min(decontaminate.MIN_MATCHES, int(np.ceil(decontaminate.ITEM_SHARE * len(his))))
             if len(np.intersect1d(own, his)) == 0 or not len(his):
                 continue
-            for shift in np.unique((np.flatnonzero(np.isin(own, his))[:, None] - np.arange(len(his))[None, :]).ravel()) if len(own) < 3000 else ():
+            for shift in np.unique((np.flatnonzero(np.isin(own, his))[:, None] - np.arange(len(his))[None, :]).ravel()):
                 first, last = max(0, -shift), min(len(his), len(own) - shift)
                 same = own[first + shift : last + shift] == his[first:last]
                 if same.sum() >= needed and (found := decontaminate.best_stretch(same)[2]) >= needed:
                     want[r.doc_id, item] = max(found, want.get((r.doc_id, item), 0))
-    long = {r.doc_id for r in docs.collect() if len(words(r.text)) >= 3000}
-    assert {k: v for k, v in got.items() if k[0] not in long} == want and want
+    assert max(len(words(r.text)) for r in docs.collect()) > 2000
+    assert got == want and want
+
+
+def test_documents_without_an_id_are_compared_too(spark):
+    item = prose(70, 40)
+    clean, dirty = prose(71, 50), f"{prose(72, 30)} {item} {prose(73, 30)}"
+    docs = table(spark, [(1, clean, "en"), (2, dirty, "en"), (None, dirty, "en"), (None, dirty, "de"), (None, item, "en"), (None, clean, "en"), (None, None, "en")]).withColumnsRenamed({"bucket": "gone"})
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = decontaminate.overlaps(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.matched_words) for r in got) == [(0, 7, 40), (0, 7, 40), (0, 7, 40), (2, 7, 40)]
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, clean), (1, clean)]
 
 
 def test_masks_find_items_with_a_fifth_of_words_changed():
