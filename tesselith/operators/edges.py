@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,7 @@ from tesselith.operators import kernels as K
 from tesselith.operators import matching as M
 from tesselith.operators.ranking import first_per_group
 from tesselith.operators.temporal import rolling_median
+from tesselith.sources import revisions
 from tesselith.staging import stage
 
 CELLS = ("a", "b", "c", "d", "tx", "ty")
@@ -141,3 +142,12 @@ def change_references(edges: DataFrame, changes: DataFrame) -> DataFrame:
     method = F.when(changed & F.col("a").isNotNull(), "reference_rebased").otherwise(F.col("method"))
     kept = [c for c in edges.columns if c not in (*CELLS, "method")]
     return rows.select(*kept, *(F.when(changed, value).otherwise(F.col(c)).alias(c) for c, value in zip(CELLS, (m.a, m.b, m.c, m.d, m.tx, m.ty), strict=True)), method.alias("method"))
+
+
+def publish_reference_change(spark: SparkSession, root: str, changes: DataFrame, parent: int) -> revisions.Revision:
+    """The table ``edges`` of revision ``parent`` under ``root`` after ``changes``, as the next revision, beside the changes themselves.
+
+    No pixels are read. If another revision has been put in force since, there is a Conflict and nothing changes."""
+    before = revisions.read(spark, root, "edges", parent)
+    after = change_references(before, changes)
+    return revisions.publish(spark, root, parent, {"edges": after, "reference_changes": changes}, f"reference-change-{parent + 1}", {"reads_pixels": False})

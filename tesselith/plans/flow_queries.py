@@ -12,6 +12,8 @@ from tesselith.operators import kernels as K
 from tesselith.operators import registration
 from tesselith.plans.inputs import pixels, view, with_views
 from tesselith.plans.registry import query
+from tesselith.sources import revisions
+from tesselith.staging import shared_folder
 
 
 @query("edge_attempts")
@@ -66,31 +68,48 @@ def flow_tree(spark, sf_dir):
     return registration.tree(_sky_batches(spark, sf_dir), _SKY)
 
 
-@query(
-    "reference_change",
-    with_views(
-        """WITH e AS (SELECT id, batch AS source, (batch + id % 5 + 1) % 25 AS target, a, b, c, d, tx, ty FROM transforms),
-        ch AS (SELECT batch, a, b, c, d, tx, ty, a * d - b * c AS k FROM transforms WHERE batch % 3 = 0 QUALIFY row_number() OVER (PARTITION BY batch ORDER BY id) = 1),
-        t AS (SELECT e.id, e.source, e.target, e.a IS NOT NULL AND r.batch IS NOT NULL AS moved, CASE WHEN r.batch IS NULL THEN e.a ELSE e.a * r.a + e.b * r.c END AS a, CASE WHEN r.batch IS NULL THEN e.b ELSE e.a * r.b + e.b * r.d END AS b,
-            CASE WHEN r.batch IS NULL THEN e.c ELSE e.c * r.a + e.d * r.c END AS c, CASE WHEN r.batch IS NULL THEN e.d ELSE e.c * r.b + e.d * r.d END AS d,
-            CASE WHEN r.batch IS NULL THEN e.tx ELSE e.a * r.tx + e.b * r.ty + e.tx END AS tx, CASE WHEN r.batch IS NULL THEN e.ty ELSE e.c * r.tx + e.d * r.ty + e.ty END AS ty FROM e LEFT JOIN ch r ON r.batch = e.target)
-        SELECT t.id, t.source, t.target, CASE WHEN moved OR r.batch IS NOT NULL THEN 'reference_rebased' ELSE 'direct' END AS method,
-            round(CASE WHEN r.batch IS NULL THEN t.a ELSE (r.d * t.a - r.b * t.c) / k END, 5) AS a, round(CASE WHEN r.batch IS NULL THEN t.b ELSE (r.d * t.b - r.b * t.d) / k END, 5) AS b,
-            round(CASE WHEN r.batch IS NULL THEN t.c ELSE (r.a * t.c - r.c * t.a) / k END, 5) AS c, round(CASE WHEN r.batch IS NULL THEN t.d ELSE (r.a * t.d - r.c * t.b) / k END, 5) AS d,
-            round(CASE WHEN r.batch IS NULL THEN t.tx ELSE (r.d * (t.tx - r.tx) - r.b * (t.ty - r.ty)) / k END, 4) AS tx, round(CASE WHEN r.batch IS NULL THEN t.ty ELSE (r.a * (t.ty - r.ty) - r.c * (t.tx - r.tx)) / k END, 4) AS ty
-        FROM t LEFT JOIN ch r ON r.batch = t.source""",
-        "transforms",
-    ),
+_CHANGED = with_views(
+    """WITH e AS (SELECT id, batch AS source, (batch + id % 5 + 1) % 25 AS target, a, b, c, d, tx, ty FROM transforms),
+    ch AS (SELECT batch, a, b, c, d, tx, ty, a * d - b * c AS k FROM transforms WHERE batch % 3 = 0 QUALIFY row_number() OVER (PARTITION BY batch ORDER BY id) = 1),
+    t AS (SELECT e.id, e.source, e.target, e.a IS NOT NULL AND r.batch IS NOT NULL AS moved, CASE WHEN r.batch IS NULL THEN e.a ELSE e.a * r.a + e.b * r.c END AS a, CASE WHEN r.batch IS NULL THEN e.b ELSE e.a * r.b + e.b * r.d END AS b,
+        CASE WHEN r.batch IS NULL THEN e.c ELSE e.c * r.a + e.d * r.c END AS c, CASE WHEN r.batch IS NULL THEN e.d ELSE e.c * r.b + e.d * r.d END AS d,
+        CASE WHEN r.batch IS NULL THEN e.tx ELSE e.a * r.tx + e.b * r.ty + e.tx END AS tx, CASE WHEN r.batch IS NULL THEN e.ty ELSE e.c * r.tx + e.d * r.ty + e.ty END AS ty FROM e LEFT JOIN ch r ON r.batch = e.target)
+    SELECT t.id, t.source, t.target, CASE WHEN moved OR r.batch IS NOT NULL THEN 'reference_rebased' ELSE 'direct' END AS method,
+        round(CASE WHEN r.batch IS NULL THEN t.a ELSE (r.d * t.a - r.b * t.c) / k END, 5) AS a, round(CASE WHEN r.batch IS NULL THEN t.b ELSE (r.d * t.b - r.b * t.d) / k END, 5) AS b,
+        round(CASE WHEN r.batch IS NULL THEN t.c ELSE (r.a * t.c - r.c * t.a) / k END, 5) AS c, round(CASE WHEN r.batch IS NULL THEN t.d ELSE (r.a * t.d - r.c * t.b) / k END, 5) AS d,
+        round(CASE WHEN r.batch IS NULL THEN t.tx ELSE (r.d * (t.tx - r.tx) - r.b * (t.ty - r.ty)) / k END, 4) AS tx, round(CASE WHEN r.batch IS NULL THEN t.ty ELSE (r.a * (t.ty - r.ty) - r.c * (t.tx - r.tx)) / k END, 4) AS ty
+    FROM t LEFT JOIN ch r ON r.batch = t.source""",
+    "transforms",
 )
-def reference_change(spark, sf_dir):
-    """Edges between batches after a third of the batches took the first of their frames for a reference."""
+
+
+def _reference_tables(spark, sf_dir):
     rows = view(spark, sf_dir, "transforms")
     edges = rows.select("id", F.col("batch").alias("source"), ((F.col("batch") + F.col("id") % 5 + 1) % 25).alias("target"), *E.CELLS, F.lit("direct").alias("method"))
     changes = rows.where("batch % 3 = 0").groupBy("batch").agg(*(F.min_by(c, "id").alias(f"r_{c}") for c in E.CELLS))
-    out = E.change_references(edges, changes)
+    return edges, changes
+
+
+def _in_digits(out):
     return out.select("id", "source", "target", "method", *(F.round(c, 5).alias(c) for c in "abcd"), *(F.round(c, 4).alias(c) for c in ("tx", "ty")))
 
 
+@query("reference_change", _CHANGED)
+def reference_change(spark, sf_dir):
+    """Edges between batches after a third of the batches took the first of their frames for a reference."""
+    return _in_digits(E.change_references(*_reference_tables(spark, sf_dir)))
+
+
+@query("reference_publish", _CHANGED)
+def reference_publish(spark, sf_dir):
+    """The same by way of published revisions: the edges, then the change of their references, then what is in force."""
+    edges, changes = _reference_tables(spark, sf_dir)
+    root = shared_folder(spark)
+    first = revisions.publish(spark, root, None, {"edges": edges}, "flow")
+    E.publish_reference_change(spark, root, changes, first.version)
+    return _in_digits(revisions.read(spark, root, "edges"))
+
+
 @query(
     "confidence_reason",
     with_views(

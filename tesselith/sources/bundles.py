@@ -1,24 +1,30 @@
-"""Sinks and sources of stacks: Parquet by batch, with a manifest that names the revision in force."""
+"""Sinks and sources of stacks: Parquet by batch, the revision in force named by an optimistic log of revisions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tesselith.sources import revisions
+
+TABLE = "stack"
 
 
 def write_revision(df: DataFrame, root: str, revision: str, partition: str | None = None) -> None:
-    """Write a table under ``root`` as one revision, then name it in the manifest, whose last row counts.
+    """Write a table under ``root`` and put it in force under the name ``revision``.
 
-    Readers go by the manifest, so they see the old revision until the new one is whole."""
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(partition) if partition else writer).parquet(f"{root}/revision={revision}")
-    row = df.sparkSession.range(1).select(F.lit(revision).alias("revision"), F.current_timestamp().alias("published"))
-    row.write.mode("append").parquet(f"{root}/manifest")
+    Readers go by the log, so they see the old revision until the new one is whole; a writer that another one has
+    overtaken gets a ``revisions.Conflict``."""
+    spark = df.sparkSession
+    at = revisions.head(spark, root)
+    revisions.publish(spark, root, at.version if at else None, {TABLE: df}, revision, partition=partition)
 
 
 def current_revision(spark: SparkSession, root: str) -> str:
-    return spark.read.parquet(f"{root}/manifest").agg(F.max_by("revision", "published").alias("r")).first()["r"]
+    at = revisions.head(spark, root)
+    if at is None:
+        raise KeyError(root)
+    return at.name
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/revision={current_revision(spark, root)}")
+    return revisions.read(spark, root, TABLE)
