@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesselith.operators import demosaic, detection, tiles
+from tesselith.operators import colour_session, demosaic, detection, tiles
 from tesselith.plans.registry import query
+from tesselith.staging import shared_folder
 
 SIDE = 64
 
@@ -74,3 +75,18 @@ def register_colours(spark, sf_dir):
     frames = _frames(spark, sf_dir)
     after = frames.select((F.col("frame") - 1).alias("frame"), F.col("data").alias("red"))
     return detection.register_colours(frames.join(after, "frame", "left").select("frame", "red", F.col("data").alias("green"), F.col("data").alias("blue")), SIDE, SIDE)
+
+
+@query("colour_sessions")
+def colour_sessions(spark, sf_dir):
+    """A model for the even and one for the odd frames, trained once; the second run finds them."""
+    frames = _frames(spark, sf_dir)
+    after = frames.select((F.col("frame") - 1).alias("frame"), F.col("data").alias("red"))
+    rows = frames.join(after, "frame", "left").select(
+        F.concat(F.lit("session_"), F.col("frame") % 2).alias("session"), F.col("frame").cast("string").alias("path"), F.size("data").cast("bigint").alias("length"), F.lit(None).cast("timestamp").alias("modified"),
+        "frame", F.coalesce("red", "data").alias("red"), F.col("data").alias("green"), F.col("data").alias("blue"),
+    )
+    root = shared_folder(spark)
+    colour_session.session_models(spark, root, rows, SIDE, SIDE, "r1")
+    models, _ = colour_session.session_models(spark, root, rows, SIDE, SIDE, "r1")
+    return models.drop("fingerprint")
