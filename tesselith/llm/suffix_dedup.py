@@ -40,7 +40,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselith.llm import words
@@ -289,36 +289,33 @@ def _found_in_large_groups(strings: DataFrame, window: int, most: int) -> list[D
 
 
 def _merge(window: int) -> Callable:
-    """Texts with the windows that are repeated, to the runs of bytes that these cover and the bytes that stay."""
+    """(row, found) with ranges of repeated windows, to (row, removed): the runs of bytes that these cover, in order."""
+    runs_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in words.pieces(whole):
-                spans, kept = [], []
-                for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
-                    text = text.as_buffer() if text.is_valid else b""
-                    runs, stay, at = [], [], 0
-                    if found.is_valid:
-                        low, high = (np.asarray(found.values.field(k)) for k in ("low", "high"))
-                        by_low = np.argsort(low)
-                        low, high = low[by_low], np.maximum.accumulate(high[by_low]) + window - 1
-                        opens = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
-                        runs = list(zip(low[opens].tolist(), high[np.append(opens[1:], len(low)) - 1].tolist(), strict=True))
-                    view = memoryview(text)
-                    for low, high in runs:
-                        stay.append(view[at:low])
-                        at = high
-                    stay.append(view[at:])
-                    spans.append([{"low": a, "high": b} for a, b in runs])
-                    kept.append(b"".join(stay))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text").cast(pa.binary()), pa.array(spans, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), pa.array(kept, pa.binary())],
-                    names=["doc_id", "bytes", "removed", "kept"],
-                )
+        for batch in batches:
+            removed = []
+            for found in batch.column("found"):
+                low, high = (np.asarray(found.values.field(k)) for k in ("low", "high"))
+                by_low = np.argsort(low)
+                low, high = low[by_low], np.maximum.accumulate(high[by_low]) + window - 1
+                opens = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+                removed.append([{"low": a, "high": b} for a, b in zip(low[opens].tolist(), high[np.append(opens[1:], len(low)) - 1].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, runs_type)], names=["row", "removed"])
 
     return run
 
 
+def without(data: Column, removed: Column) -> Column:
+    """The bytes that aren't in the runs. Pieces are joined as strings of one character a byte, and not one by one."""
+    ends = F.transform(removed, lambda run: run["high"])
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), ends)
+    stops = F.concat(F.transform(removed, lambda run: run["low"]), F.array(F.length(data).cast("bigint")))
+    piece = lambda p: F.decode(F.substring(data, (p["starts"] + 1).cast("int"), (p["stops"] - p["starts"]).cast("int")), "ISO-8859-1")
+    joined = F.array_join(F.transform(F.arrays_zip(starts.alias("starts"), stops.alias("stops")), piece), "")
+    return F.when(F.size(removed) == 0, data).otherwise(F.encode(joined, "ISO-8859-1"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST_SEGMENTS) -> DataFrame:
     """For each row of ``docs``: doc_id, bytes (of the text), removed (runs of bytes from low to high - 1) and kept (the bytes that stay)."""
     ship_package(docs.sparkSession)
@@ -345,7 +342,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         every = every.unionByName(part)
     every = stage(every, "found")
     places = rows.join(every, ["anchor", "segment"]).select("row", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
-    places = places.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("found"))
-    return texts.join(places, "row", "left").select("doc_id", "text", "found").mapInArrow(
-        _merge(window), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bytes binary, removed array<struct<low bigint, high bigint>>, kept binary"
-    )
+    # One row's ranges are a part of its text.
+    runs = places.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("found")).mapInArrow(_merge(window), "row bigint, removed array<struct<low:bigint,high:bigint>>")
+    none = F.expr("cast(array() as array<struct<low:bigint,high:bigint>>)")
+    whole = texts.join(runs, "row", "left").select("doc_id", F.col("text").cast("binary").alias("bytes"), F.coalesce("removed", none).alias("removed"))
+    return whole.withColumn("kept", without(F.col("bytes"), F.col("removed")))
