@@ -49,6 +49,8 @@ TOOLS = (
 #: Spark's names of variant types by JSON Schema's.
 TYPES = {"integer": "BIGINT", "string": "STRING", "boolean": "BOOLEAN"}
 
+#: Calls of a block that a fold goes through in one row.
+BLOCK = 512
 NO_TURN = -(1 << 63)
 
 
@@ -97,18 +99,44 @@ def reached(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known
 
 
+def blocks(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, at, block) of calls (conv_id, call_id, at): calls of about BLOCK places in a row share a block, and a block has about BLOCK calls at most."""
+    placed = calls.withColumn("block", F.floor(F.col("at") / BLOCK))
+    sizes = placed.groupBy("conv_id", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    return placed.join(sizes, ["conv_id", "block"]).withColumn("block", F.struct("block", F.pmod(F.xxhash64("call_id"), F.col("parts")).alias("part"))).drop("parts")
+
+
+def folded(terms: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of what a fold through each block settles, the latest call first.
+
+    ``terms``: conv_id, call_id, at, block, terms (array of (hops, needs)): a call's level is the largest of its terms, and a term that needs another call
+    has that call's level more. A call that needs one outside its block or earlier in the fold's way isn't settled."""
+    order = F.reverse(F.array_sort(F.collect_list(F.struct("at", "call_id", "terms"))))  # BLOCK calls or so
+    none = F.expr("cast(map() as map<string,bigint>)")
+
+    def settle(known, call):
+        each = F.transform(call["terms"], lambda t: t["hops"] + F.when(t["needs"].isNull(), F.lit(0).cast("bigint")).otherwise(F.try_element_at(known, t["needs"])))
+        return F.when(F.exists(each, lambda x: x.isNull()), known).otherwise(F.map_concat(known, F.create_map(call["call_id"], F.array_max(each))))
+
+    by_block = terms.groupBy("conv_id", "block").agg(order.alias("calls"))
+    return by_block.select("conv_id", F.explode(F.aggregate("calls", none, settle)).alias("call_id", "level"))
+
+
 def levels(edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, hops, cycle) of the calls of ``edges`` (conv_id, call_id, needs): the longest chain of needs, or that there is none.
+    """(conv_id, call_id, hops, cycle) of the calls of ``edges`` (conv_id, call_id, needs, at): the longest chain of needs, or that there is none.
 
     Each call's level is the largest of levels of others plus so many hops, and of a constant. A round settles
     calls without open needs, and puts a call's one open need in the place of the call itself wherever that is
     needed, so chains shrink by half. A call that comes to need itself, or by more hops than its chat has calls,
     is in a cycle. Where nothing can be replaced, what is open needs a cycle, for the last of a chain would be
-    settled. So rounds end, and their number is the logarithm of the longest chain for each call with several
-    open needs along it."""
+    settled. Calls with several open needs can't be shortened so; before each round a fold through blocks of calls in the
+    order of their turns settles all of them whose needs come later in the block (``at``), or are settled. So rounds
+    end, and their number is the logarithm of the longest chain and, where such calls need each other, the number of
+    blocks that their chain passes."""
     keys = ["conv_id", "call_id"]
     state = stage(edges.select(*keys, F.col("needs").alias("needs"), F.lit(1).cast("bigint").alias("hops"), F.lit(False).alias("cycle")), "needs")
     longest = state.groupBy("conv_id").agg(F.count_distinct("call_id").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    placed = stage(blocks(edges.select(*keys, "at").distinct()), "blocks")
     open_ = F.col("needs").isNotNull() & ~F.col("cycle")
     while True:
         calls = state.groupBy(*keys).agg(
@@ -125,6 +153,15 @@ def levels(edges: DataFrame) -> DataFrame:
         none = F.lit(None).cast("string")
         row = lambda needs, hops, cycle: F.struct(needs.alias("needs"), hops.cast("bigint").alias("hops"), cycle.alias("cycle"))
         no = F.lit(False)
+        if not met.where(open_ & (F.col("n_open") > 1)).isEmpty():
+            const = F.col("needs").isNull() | (F.coalesce("n_open", F.lit(0)) == 0)
+            term = F.struct((F.col("hops") + F.when(const & F.col("needs").isNotNull(), F.coalesce("least", F.lit(0))).otherwise(0)).cast("bigint").alias("hops"), F.when(~const, F.col("needs")).alias("needs"))
+            sound = met.groupBy(*keys).agg(F.collect_list(term).alias("terms"), F.bool_or(F.col("cycle") | F.coalesce("bad", no)).alias("spoilt"), F.count_if(F.col("needs").isNotNull()).alias("n_own"))
+            found = stage(folded(sound.where("n_own > 0 AND NOT spoilt").select(*keys, "terms").join(placed, keys)), "folded")
+            if not found.isEmpty():
+                left = state.join(found.select(*keys), keys, "left_anti")
+                state = stage(left.unionByName(found.select(*keys, none.alias("needs"), F.col("level").alias("hops"), no.alias("cycle"))), "needs")
+                continue
         after = F.col("hops") + F.coalesce("least", F.lit(0))
         next_ = (
             F.when(~open_ | F.coalesce(stays, no), F.array(row(F.col("needs"), F.col("hops"), F.col("cycle"))))
@@ -155,8 +192,8 @@ def labels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     mine = known.select("conv_id", "call_id", F.col("label").alias("mine"))
     theirs = known.select("conv_id", F.col("call_id").alias("needs"), F.col("label").alias("theirs"))
     within = edges.join(mine, ["conv_id", "call_id"], "left").join(theirs, ["conv_id", "needs"], "left")
-    within = stage(within.where(F.coalesce("mine", "own")["turn"] == F.coalesce("theirs", "needed")["turn"]).select("conv_id", "call_id", "needs", F.coalesce("mine", "own")["turn"].alias("turn")), "within")
-    order = levels(within.select("conv_id", "call_id", "needs"))
+    within = stage(within.where(F.coalesce("mine", "own")["turn"] == F.coalesce("theirs", "needed")["turn"]).select("conv_id", "call_id", "needs", F.coalesce("mine", "own")["turn"].alias("turn"), F.col("own.turn").alias("at")), "within")
+    order = levels(within.select("conv_id", "call_id", "needs", "at"))
     own = within.select("conv_id", "call_id", "turn").distinct()
     return own.join(order, ["conv_id", "call_id"]).select(
         "conv_id", "call_id", F.struct(F.nullif(F.col("turn"), F.lit(NO_TURN)).alias("turn"), F.col("cycle").cast("int").alias("cycle"), F.when(F.col("cycle"), 0).otherwise(F.col("hops")).alias("hops")).alias("label")

@@ -529,6 +529,17 @@ def test_long_displaced_chains_take_few_rounds(spark, monkeypatch):
     assert got == {i: (n - 1, n - 1 - i) for i in range(n)} and len(staged) < 60
 
 
+def test_braids_of_a_thousand_calls_take_few_rounds(spark, monkeypatch):
+    """Each call needs the next two, in one chat as they are and in another with a need backwards now and then."""
+    n, staged = 1000, []
+    stage = tool_calls.stage
+    monkeypatch.setattr(tool_calls, "stage", lambda df, name="stage": staged.append(name) or stage(df, name))
+    needs = {i: [j for j in (i + 1, i + 2) if j < n] for i in range(n)}
+    rows = [(1, f"c{i}", i, "lookup", '{"id": 1}', [f"c{j}" for j in needs[i]], "x", "y", 1) for i in range(n)]
+    got = {x.turn: (x.order_turn, x.order_hops) for x in tool_calls.link(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS)).collect()}
+    assert got == {i: (n - 1, n - 1 - i) for i in range(n)} and len(staged) <= 36
+
+
 def test_query_tool_calls_equals_sql(spark):
     import duckdb
 
