@@ -189,25 +189,42 @@ def hull_area(points: np.ndarray) -> float:
     return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
 
 
+def regions(over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the set pixels (row by row), and for each the region it is in, from 0; pixels that touch at a corner are in one.
+
+    Each two neighbours point to the lesser of their roots, and all pointers are followed at once until none changes: a few
+    rounds, whatever a region's shape and size."""
+    pixels = np.flatnonzero(over)
+    place = np.full(over.size, -1)
+    place[pixels] = np.arange(len(pixels))
+    place = place.reshape(over.shape)
+    pairs = [(place[:, :-1], place[:, 1:]), (place[:-1], place[1:]), (place[:-1, :-1], place[1:, 1:]), (place[:-1, 1:], place[1:, :-1])]
+    one, other = (np.concatenate([p[side].ravel() for p in pairs]) for side in (0, 1))
+    both = (one >= 0) & (other >= 0)
+    one, other = one[both], other[both]
+    root = np.arange(len(pixels))
+    while True:
+        a, b = root[one], root[other]
+        apart = a != b
+        if not apart.any():
+            return pixels, np.unique(root, return_inverse=True)[1]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (next_ := root[root]).tobytes() != root.tobytes():
+            root = next_
+
+
 def detect(image: np.ndarray, sigma: float) -> list[tuple[float, float, float, int]]:
     """(x, y, flux, pixels) of the connected regions over median and deviation, brightest first."""
     middle = float(np.median(image))
     spread = 1.4826 * float(np.median(np.abs(image - middle)))
-    over = image > middle + sigma * spread
-    label = np.where(over, np.arange(1, image.size + 1).reshape(image.shape), 0)
-    while True:  # each region takes its largest number, a step further each round
-        padded = np.pad(label, 1)
-        spread_ = np.max([padded[i : i + image.shape[0], j : j + image.shape[1]] for i in range(3) for j in range(3)], axis=0)
-        next_ = np.where(over, spread_, 0)
-        if (next_ == label).all():
-            break
-        label = next_
-    out = []
-    for n in np.unique(label[label > 0]):
-        y, x = np.nonzero(label == n)
-        w = image[y, x] - middle
-        out.append((float((w * x).sum() / w.sum()), float((w * y).sum() / w.sum()), float(w.sum()), len(w)))
-    return sorted(out, key=lambda s: (-s[2], s[0], s[1]))
+    pixels, region = regions(image > middle + sigma * spread)
+    if not len(pixels):
+        return []
+    y, x = np.divmod(pixels, image.shape[1])
+    w = image.ravel()[pixels] - middle
+    flux = np.bincount(region, w)
+    rows = zip((np.bincount(region, w * x) / flux).tolist(), (np.bincount(region, w * y) / flux).tolist(), flux.tolist(), np.bincount(region).tolist(), strict=True)
+    return sorted(rows, key=lambda s: (-s[2], s[0], s[1]))
 
 
 def detect_until(image: np.ndarray, target: int, first: float, last: float, step: float) -> tuple[float, list[tuple[float, float, float, int]]]:

@@ -159,3 +159,41 @@ def test_what_cannot_be_demosaiced(spark):
             D.demosaic(tiles, ["frame"], 32, pattern, method)
     with pytest.raises(ValueError):
         T.stencil(tiles, ["frame"], 8, 9, lambda i, y, x: [i], ["v"])
+
+
+def test_regions_of_any_shape():
+    from tesselith.operators.kernels import detect, regions
+
+    spiral = np.zeros((41, 41), bool)
+    y, x, dy, dx = 20, 20, 0, 1
+    for step in range(1, 20):
+        for _ in range(2):
+            for _ in range(2 * step):
+                if 0 <= y < 41 and 0 <= x < 41:
+                    spiral[y, x] = True
+                y, x = y + dy, x + dx
+            dy, dx = dx, -dy
+    pixels, region = regions(spiral)
+    assert len(pixels) == spiral.sum() and set(region) == {0}
+    dots = np.zeros((9, 9), bool)
+    dots[::2, ::2] = True
+    assert len(set(regions(dots)[1])) == 25
+    dots[1::2, 1::2] = True
+    assert len(set(regions(dots)[1])) == 1 and len(regions(np.zeros((3, 3), bool))[0]) == 0
+    r = np.random.default_rng(1)
+    image = r.normal(0, 1, (60, 70))
+    got = detect(image, 1.0)
+    middle = float(np.median(image))
+    over = image > middle + 1.4826 * float(np.median(np.abs(image - middle)))
+    left, want = set(zip(*np.nonzero(over), strict=True)), []
+    while left:
+        todo, own = [left.pop()], []
+        while todo:
+            y, x = todo.pop()
+            own.append((y, x))
+            near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        w = np.array([image[p] - middle for p in own])
+        want.append((float((w * [p[1] for p in own]).sum() / w.sum()), float((w * [p[0] for p in own]).sum() / w.sum()), float(w.sum()), len(own)))
+    np.testing.assert_allclose(got, sorted(want, key=lambda s: -s[2]), rtol=1e-9)
