@@ -4,6 +4,15 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all it
 predecessor kept. ``run`` writes each stage's result as Parquet in the shared
 folder and rereads it as the next one's documents, so a lost executor costs no
 more than the stage at hand. All but the last return the columns of documents.
+
+Defined results: a null text is empty; empty texts and those without letters go in
+the first stage, and so do all where no row names its language. Of equal texts the largest doc_id stays, and of its repeated rows
+one. Rows without a doc_id go through all stages: of equal texts a row with an id
+goes before one without, each is a class of its own among near duplicates, they are
+compared with the benchmark like others, and are packed with a null doc_id. Ties
+go by doc_id. A very long text is cut by the last stage alone. Further columns are
+carried along by all stages but the last, whatever their names. An empty table, or
+one of which a stage keeps nothing, gives an empty result.
 """
 
 from __future__ import annotations
