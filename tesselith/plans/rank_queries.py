@@ -11,6 +11,8 @@ from tesselith.operators import stack_plan as P
 from tesselith.plans.inputs import pixels, view, with_views
 from tesselith.plans.registry import query
 from tesselith.plans.scalar_queries import TRAIL_SQL
+from tesselith.sources import fits, fits_sink
+from tesselith.staging import shared_folder
 
 WEIGHTS = {"fwhm": 0.4, "roundness": 0.3, "snr": 0.2, "rms": 0.1}
 LOWER = {"fwhm", "rms"}
@@ -384,12 +386,42 @@ _PLAN = f"""{TRAIL_SQL},
 )
 def stack_plan(spark, sf_dir):
     """Frames that have pixels, from their metrics to a weighted stack of each batch with its mask. ``level``: the value within the range of the code."""
+    found, _ = _stacked(spark, sf_dir)
+    level = F.when(F.col("valid") & (F.col("high") > F.col("low")), F.round((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")), 5))
+    return found.select("batch", "pos", F.round("value", 6).alias("value"), "n", "n_frames", "valid", F.coalesce(level, F.lit(0.0)).alias("level"))
+
+
+@query(
+    "stack_files",
+    with_views(
+        f"""WITH {_PLAN} SELECT night AS batch, pos // 8 AS y, pos % 8 AS x, CASE WHEN valid AND high > low THEN CAST(trunc(least(greatest((value - low) / (high - low), 0), 1) * 65535) AS INTEGER) ELSE 0 END AS code, valid, n_frames
+        FROM po JOIN pl USING (night)""",
+        "frames",
+        "pixels",
+    ),
+)
+def stack_files(spark, sf_dir):
+    """The same stacks as FITS files with masks and provenance, written and read back."""
+    found, chosen = _stacked(spark, sf_dir)
+    made = P.provenance(chosen, ["batch"], P.StackPlan())
+    rows = found.join(made.drop("n_frames"), "batch").withColumn("saturated", F.lit(False))
+    cards = {"BATCH": F.col("batch"), "NFRAMES": F.col("n_frames"), "METHOD": F.col("combination"), "REJECT": F.col("rejection"), "WMAX": F.col("largest_weight")}
+    keys = ["batch", "n_frames", "combination", "rejection", "largest_weight"]
+    name = F.concat(F.lit("stack_"), F.regexp_replace("batch", "[^A-Za-z0-9]", "_"), F.lit(".fits"))
+    folder = shared_folder(spark)
+    fits_sink.register(spark)
+    fits_sink.image_rows(rows, keys, name, 8, 8, cards).write.format("fits_images").mode("append").save(folder)
+    heads = fits.read_headers(spark, folder).select("path", F.element_at("cards", "BATCH").alias("batch"), F.element_at("cards", "NFRAMES").cast("bigint").alias("n_frames"))
+    pixel = fits.long_table(fits.read_tiles(spark, folder))
+    return pixel.join(heads, "path").select("batch", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col("v").cast("int").alias("code"), F.col("ok").alias("valid"), "n_frames")
+
+
+def _stacked(spark, sf_dir):
+    """The coded stacks, and the frames that they are made of."""
     frames = X.present_in(view(spark, sf_dir, "frames"), "frame_id", spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame_id")))
     # Scores and trails are relative to all frames of a batch, pixels or not.
     plan = P.StackPlan()
     known = P.annotated(view(spark, sf_dir, "frames"), "frame_id", ["batch"], plan).join(frames.select("frame_id"), "frame_id", "left_semi")
     chosen = P.selected(known, "frame_id", ["batch"], "path", plan).select(F.col("frame_id").alias("frame"), "batch", "stack_weight")
     rows = pixels(spark, sf_dir).drop("batch").join(chosen.select("frame", "batch"), "frame")
-    found = P.stacked(rows, chosen, ["batch", "pos"], ["batch"], plan)
-    level = F.when(F.col("valid") & (F.col("high") > F.col("low")), F.round((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")), 5))
-    return found.select("batch", "pos", F.round("value", 6).alias("value"), "n", "n_frames", "valid", F.coalesce(level, F.lit(0.0)).alias("level"))
+    return P.stacked(rows, chosen, ["batch", "pos"], ["batch"], plan), chosen

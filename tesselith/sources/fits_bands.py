@@ -36,7 +36,7 @@ HEADERS = f"{fits.HEADERS}, read_bytes bigint"
 BAND_BYTES = 64 << 20
 
 
-def _filesystem(path: str):
+def filesystem(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
@@ -46,7 +46,7 @@ class Ranged:
     """A file read by ranges, and how many bytes that took."""
 
     def __init__(self, path: str) -> None:
-        files, inner = _filesystem(path)
+        files, inner = filesystem(path)
         self.path, self.file, self.taken = path, files.open_input_file(inner), 0
         self.length = self.file.size()
 
@@ -136,7 +136,7 @@ class FitsReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        files, inner = _filesystem(self.path)
+        files, inner = filesystem(self.path)
         found = files.get_file_info(fs.FileSelector(inner, recursive=True)) if files.get_file_info(inner).type == fs.FileType.Directory else [files.get_file_info(inner)]
         head = self.path[: len(self.path) - len(inner)] if self.path.endswith(inner) else ""
         out: list[InputPartition] = []
