@@ -62,7 +62,8 @@ def stacked(pixels: DataFrame, frames: DataFrame, keys: list[str], group: list[s
         values = S.reject_or_combine(rows, keys, rule, plan.stack.combination).select(*keys, "value")
     sizes = pixels.select(*group, "frame").distinct().join(frames.select("frame"), "frame", "left_semi").groupBy(*group).agg(F.count(F.lit(1)).alias("n_frames"))
     covered = rows.groupBy(*keys).agg(F.count(S.sample()).alias("n")).join(sizes, group).withColumn("valid", S.enough(F.col("n"), F.col("n_frames")))
-    whole = values.join(covered, keys)
+    # A table: sums made twice may differ in their last digit, and then the largest value isn't the range's end.
+    whole = stage(values.join(covered, keys), "stacked")
     valid = F.when(F.col("valid"), F.col("value"))
     ranges = whole.groupBy(*group).agg(F.min(valid).alias("low"), F.max(valid).alias("high"))
     coded = F.when(F.col("valid"), S.encode_uint16(F.col("value"), F.col("low"), F.col("high"))).otherwise(0)
