@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselith.llm import queries, suffix_dedup
+from tesselith.staging import stage
 
 
 def by_brute_force(texts: list[bytes], window: int) -> list[tuple]:
@@ -70,6 +71,26 @@ def test_windows_of_400_bytes_that_differ_at_their_ends(spark):
     assert [r[1] for r in removals(spark, texts)] == [400, 400, 0, 0]
 
 
+def test_segments_of_one_common_anchor_are_divided(spark):
+    small = {"adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "16"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        segment = F.col("id")
+        kinds = stage(spark.range(0, 40_000, 1, 8).select(F.when(segment % 2 == 0, 0).otherwise(segment - segment % 3).alias("anchor"), segment.alias("segment")), "contents")
+        joined = suffix_dedup._with_others(kinds, "anchor")
+        got = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    anchors = [0 if i % 2 == 0 else i - i % 3 for i in range(40_000)]
+    sizes = Counter(anchors)
+    assert sorted(map(tuple, got)) == sorted((a, i, sizes[a]) for i, a in enumerate(anchors) if sizes[a] > 1)
+    assert "skew=true" in plan
+
+
 def test_no_documents(spark):
     assert removals(spark, []) == []
 
