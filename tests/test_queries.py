@@ -73,3 +73,23 @@ def test_graph_bfs_is_a_forest(spark):
     found = {r.node: r for r in QUERIES["graph_bfs"](spark, SF).collect()}
     for r in found.values():
         assert r.parent is None or (found[r.parent].hops == r.hops - 1 and r.cumulative_rms >= found[r.parent].cumulative_rms - 1e-9)
+
+
+def test_grow_takes_few_jobs_for_long_chains(spark, monkeypatch):
+    """Two chains of 400 places, whose rounds are over a hundred, in one block or many; short ones as by single rounds."""
+    from pyspark.sql import functions as F
+
+    from tesselith.operators import graphs
+
+    nodes = spark.range(800).select((F.col("id") % 2).alias("batch"), (F.col("id") * 7 % 5003).alias("node"), F.floor(F.col("id") / 2).alias("place")).withColumn("anchor", F.col("place").isin(0, 211) & ((F.col("place") == 0) | (F.col("batch") == 1)))
+    other = nodes.select("batch", F.col("node").alias("other"), F.col("place").alias("p"))
+    edges = nodes.join(other, "batch").where(F.abs(F.col("place") - F.col("p")).between(1, 3))
+    edges = edges.select("batch", "node", "other", F.when(F.col("node") % 41 != 0, (F.col("node") * F.col("other")) % 17 / 10.0).alias("rms"), ((F.col("node") + F.col("other")) % 4 != 0).alias("works"))
+    written = []
+    real = graphs.stage
+    monkeypatch.setattr(graphs, "stage", lambda df, name="stage": (written.append(name), real(df, name))[1])
+    found = lambda most, **sizes: sorted(map(tuple, graphs.grow(nodes.where(f"place < {most}"), edges, **sizes).collect()), key=repr)
+    whole = found(400)
+    assert len(written) <= 6 and max(r[3] for r in whole) > 80
+    assert found(400, block=64, halo=40) == whole
+    assert found(24, block=8, halo=24) == found(24, halo=3) == found(24)
