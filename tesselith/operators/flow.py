@@ -27,9 +27,9 @@ def without_transform(frames: DataFrame, flow: DataFrame, key: str, revision: in
 
 
 def present_in(frames: DataFrame, key: str, *others: DataFrame) -> DataFrame:
-    """The frames whose key is in each of the other tables."""
+    """The frames whose key is in each of the other tables. Merged: keys that are few bytes on disk may be too many for the driver to broadcast."""
     for other in others:
-        frames = frames.join(other.select(key), key, "left_semi")
+        frames = frames.join(other.select(key).hint("merge"), key, "left_semi")
     return frames
 
 

@@ -30,7 +30,8 @@ def percentile_ranks(frames: DataFrame, key: str, metrics: list[str], group: lis
     share = F.col("place") / F.greatest(F.col("n") - 1, F.lit(1))
     lower = F.create_map(*(x for m in metrics for x in (F.lit(m), F.lit(LOWER_IS_BETTER.get(m, False)))))
     ranked = places.withColumn("rank", F.when(F.element_at(lower, F.col("metric")), 1 - share).otherwise(share)).drop("place", "n")
-    return long.join(ranked, [*group, "metric", "value"]).drop("value")
+    # Merged, as are joins by frame: by the size on disk that Spark goes by, the driver would be given tables to broadcast that don't fit it.
+    return long.join(ranked.hint("merge"), [*group, "metric", "value"]).drop("value")
 
 
 def quality_scores(frames: DataFrame, key: str, weights: dict[str, float], group: list[str] | None = None) -> DataFrame:
@@ -47,7 +48,7 @@ def quality_scores(frames: DataFrame, key: str, weights: dict[str, float], group
     total = float(sum(weights.values()))
     names = F.array(*(F.lit(m) for m in sorted(weights)))
     empty = F.create_map().cast("map<string,double>")
-    joined = frames.select(*group, key).join(scored, key, "left")
+    joined = frames.select(*group, key).join(scored.hint("merge"), key, "left")
     available = F.coalesce("available", F.lit(0.0))
     eligible = (available > 0) & (available / total >= ELIGIBLE - 1e-9)
     return joined.select(

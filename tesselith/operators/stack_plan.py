@@ -30,7 +30,8 @@ def annotated(frames: DataFrame, key: str, group: list[str], plan: StackPlan) ->
     severe = M.trail_excluded(F.col("trail_class"), F.col("trail_confidence"))
     excluded = F.when(severe, "severe_trailing") if plan.trail_policy == "exclude_severe" else F.lit(None).cast("string")
     # Tables: what follows asks for the frames several times over, and they are few beside their pixels.
-    return stage(frames.join(trails, key).join(scores, key).withColumn("excluded", excluded), "annotated")
+    # Joins by frame are merged: tables that are small on disk may have too many frames for the driver to broadcast.
+    return stage(frames.join(trails.hint("merge"), key).join(scores.hint("merge"), key).withColumn("excluded", excluded), "annotated")
 
 
 def selected(frames: DataFrame, key: str, group: list[str], path: str, plan: StackPlan) -> DataFrame:
@@ -45,14 +46,14 @@ def selected(frames: DataFrame, key: str, group: list[str], path: str, plan: Sta
     # A frame without a score counts like one of the best.
     raw = R.policy_weight(M.score_weight(F.coalesce("score", F.lit(1.0)), F.col("trail_class")), F.col("trail_class"), plan.trail_policy)
     weighed = stay.withColumn("weight", raw)
-    return stage(stay.join(R.stack_weights(weighed, key, "weight", group), key), "selected")
+    return stage(stay.join(R.stack_weights(weighed, key, "weight", group).hint("merge"), key), "selected")
 
 
 def stacked(pixels: DataFrame, frames: DataFrame, keys: list[str], group: list[str], plan: StackPlan) -> DataFrame:
     """(keys, value, n, n_frames, valid, code, low, high): the reduction of the selected ``frames`` (frame, stack_weight).
 
     ``valid``: enough of the frames have a sample there; ``code``: the value on 16 bits between the group's least and largest valid ones."""
-    rows = pixels.join(frames.select("frame", "stack_weight"), "frame")
+    rows = pixels.join(frames.select("frame", "stack_weight").hint("merge"), "frame")
     rule = None if plan.stack.rejection == "none" else S.Rejection(plan.stack.rejection, plan.stack.low, plan.stack.high)
     if plan.stack.combination == "quality_weighted":
         values = S.weighted_mean(rows, keys, F.col("stack_weight"), rule).select(*keys, "value")
@@ -60,10 +61,10 @@ def stacked(pixels: DataFrame, frames: DataFrame, keys: list[str], group: list[s
         values = S.combine(rows, keys, plan.stack.combination).select(*keys, "value")
     else:
         values = S.reject_or_combine(rows, keys, rule, plan.stack.combination).select(*keys, "value")
-    sizes = pixels.select(*group, "frame").distinct().join(frames.select("frame"), "frame", "left_semi").groupBy(*group).agg(F.count(F.lit(1)).alias("n_frames"))
+    sizes = pixels.select(*group, "frame").distinct().join(frames.select("frame").hint("merge"), "frame", "left_semi").groupBy(*group).agg(F.count(F.lit(1)).alias("n_frames"))
     covered = rows.groupBy(*keys).agg(F.count(S.sample()).alias("n")).join(sizes, group).withColumn("valid", S.enough(F.col("n"), F.col("n_frames")))
     # A table: sums made twice may differ in their last digit, and then the largest value isn't the range's end.
-    whole = stage(values.join(covered, keys), "stacked")
+    whole = stage(values.join(covered.hint("merge"), keys), "stacked")
     valid = F.when(F.col("valid"), F.col("value"))
     ranges = whole.groupBy(*group).agg(F.min(valid).alias("low"), F.max(valid).alias("high"))
     coded = F.when(F.col("valid"), S.encode_uint16(F.col("value"), F.col("low"), F.col("high"))).otherwise(0)

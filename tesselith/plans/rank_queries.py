@@ -421,7 +421,7 @@ def _stacked(spark, sf_dir):
     frames = X.present_in(view(spark, sf_dir, "frames"), "frame_id", spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("frame_id")))
     # Scores and trails are relative to all frames of a batch, pixels or not.
     plan = P.StackPlan()
-    known = P.annotated(view(spark, sf_dir, "frames"), "frame_id", ["batch"], plan).join(frames.select("frame_id"), "frame_id", "left_semi")
+    known = P.annotated(view(spark, sf_dir, "frames"), "frame_id", ["batch"], plan).join(frames.select("frame_id").hint("merge"), "frame_id", "left_semi")
     chosen = P.selected(known, "frame_id", ["batch"], "path", plan).select(F.col("frame_id").alias("frame"), "batch", "stack_weight")
-    rows = pixels(spark, sf_dir).drop("batch").join(chosen.select("frame", "batch"), "frame")
+    rows = pixels(spark, sf_dir).drop("batch").join(chosen.select("frame", "batch").hint("merge"), "frame")
     return P.stacked(rows, chosen, ["batch", "pos"], ["batch"], plan), chosen

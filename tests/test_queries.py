@@ -141,3 +141,19 @@ def test_suppress_close_lists_no_pairs(spark, monkeypatch):
             walk.append(r)
     assert sorted(found) == sorted((r.frame, r.star) for r in walk)
     assert not any("Broadcast" in plan for plan in staged)
+
+
+BY_ROW = r"BroadcastHashJoin \[[^\]]*(frame|frame_id|metric|pos|py)#"
+
+
+def test_stack_plan_broadcasts_no_frames(spark, monkeypatch):
+    """Joins by frame, metric value or position are merged in all that stack_plan stages and returns."""
+    import re
+
+    from tesselith.operators import stack_plan as P
+
+    plans, real = [], P.stage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(P, "stage", lambda df, name="stage": (plans.append(plan(df)), real(df, name))[1])
+    plans.append(plan(QUERIES["stack_plan"](spark, SF)))
+    assert len(plans) == 4 and not any(re.search(BY_ROW, p) for p in plans)
