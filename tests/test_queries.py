@@ -157,3 +157,18 @@ def test_stack_plan_broadcasts_no_frames(spark, monkeypatch):
     monkeypatch.setattr(P, "stage", lambda df, name="stage": (plans.append(plan(df)), real(df, name))[1])
     plans.append(plan(QUERIES["stack_plan"](spark, SF)))
     assert len(plans) == 4 and not any(re.search(BY_ROW, p) for p in plans)
+
+
+def test_stack_files_broadcasts_no_frames(spark, monkeypatch):
+    """What stack_files writes and reads back is made of merged joins by frame."""
+    import re
+
+    from tesselith.operators import stack_plan as P
+    from tesselith.sources import fits_sink
+
+    plans, stage, images = [], P.stage, fits_sink.image_rows
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(P, "stage", lambda df, name="stage": (plans.append(plan(df)), stage(df, name))[1])
+    monkeypatch.setattr(fits_sink, "image_rows", lambda *a: (plans.append(plan(a[0])), images(*a))[1])
+    assert QUERIES["stack_files"](spark, SF).count() > 0
+    assert len(plans) == 4 and not any(re.search(BY_ROW, p) for p in plans)
