@@ -38,7 +38,8 @@ def warp(stack: DataFrame, keys: list[str], inverse: Affine, height: int, width:
         four = F.explode(F.array(*(F.struct((F.floor("sy") + i).alias("py"), (F.floor("sx") + j).alias("px"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("part")) for i in (0, 1) for j in (0, 1)))).alias("n")
         parts = placed.select(*keys, "y", "x", four).select(*keys, "y", "x", "n.*").where("part > 0")
     source = stack.select(*keys, F.col("y").cast("bigint").alias("py"), F.col("x").cast("bigint").alias("px"), "v", "ok")
-    total = parts.join(source, [*keys, "py", "px"]).groupBy(*keys, "y", "x").agg(F.sum(F.col("part") * F.col("v")).alias("v"), F.bool_and("ok").alias("ok"), F.sum("part").alias("whole"))
+    # Merged: pixels that are few bytes on disk are too many for the driver to broadcast.
+    total = parts.join(source.hint("merge"), [*keys, "py", "px"]).groupBy(*keys, "y", "x").agg(F.sum(F.col("part") * F.col("v")).alias("v"), F.bool_and("ok").alias("ok"), F.sum("part").alias("whole"))
     return total.where("whole > 1 - 1e-9").drop("whole")
 
 

@@ -172,3 +172,10 @@ def test_stack_files_broadcasts_no_frames(spark, monkeypatch):
     monkeypatch.setattr(fits_sink, "image_rows", lambda *a: (plans.append(plan(a[0])), images(*a))[1])
     assert QUERIES["stack_files"](spark, SF).count() > 0
     assert len(plans) == 4 and not any(re.search(BY_ROW, p) for p in plans)
+
+
+def test_warps_broadcast_no_pixels(spark):
+    import re
+
+    for name in ("warp_bilinear", "warp_nearest"):
+        assert not re.search(BY_ROW, QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
